@@ -215,4 +215,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     contaminated. Rows with a null id are kept.
     """
     bad = benchmark_hits(docs, benchmark, id_col, text_col, **how).where("contaminated").select(F.col("doc_id").alias("_gf_id")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_gf_id"], "left_anti")
+    # written first: the join then knows how few ids there are, and broadcasts them only if they are
+    return docs.join(written(bad, "contaminated"), F.col(id_col) == F.col("_gf_id"), "left_anti")
