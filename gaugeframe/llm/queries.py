@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, near_dups, piece_fst, quality, secrets, token_store
+from . import decontam, licenses, line_dedup, near_dups, piece_fst, quality, secrets, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_fst.piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -47,9 +51,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality": op3_quality,
+    "op4_line_dedup": op4_line_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_files": op6_token_files,
     "op7_license_scan": op7_license_scan,
     "op8_decontaminate": op8_decontaminate,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.DIGEST_SQL}
