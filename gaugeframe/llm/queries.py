@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, line_dedup, merkle, near_dups, piece_fst, quality, secrets, token_store
+from . import decontam, licenses, line_dedup, merkle, near_dups, piece_fst, quality, secrets, token_store, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
     "op7_license_scan": op7_license_scan,
     "op8_decontaminate": op8_decontaminate,
+    "op9_url_filter": op9_url_filter,
     "op10_merkle": op10_merkle,
 }
 ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.DIGEST_SQL}
