@@ -7,9 +7,9 @@ confirmed on the full sets. With 120 maps, 240 values in 40 bands of 6, a pair a
 missed with probability (1 - 0.8^6)^40 < 6e-6.
 
 Groups never become all their pairs. Documents with equal sets are one class with one representative.
-In each band bucket every member is compared with the bucket's smallest; only where a bucket then
-still holds more than one component are pairs across components compared, so that no candidate pair
-between different components stays untested.
+In each band bucket every member is compared with the bucket's lead. Where members of a lead are then
+still of several components, a bound on what two members can share rules out pairs before they are
+made (see ``_across``); all others are compared, so that no candidate pair goes untested.
 """
 
 from __future__ import annotations
@@ -127,13 +127,41 @@ def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their full sets and of what they share."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
     other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
-    both = pairs.join(one, "a").join(other, "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("shared"), (F.size("of_a") + F.size("of_b")).cast("long").alias("sizes"))
-    return shared.where(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).select("a", "b")
+    size = lambda x: F.size(x).cast("long")
+    return pairs.join(one, "a").join(other, "b").select(*pairs.columns, size("of_a").alias("n_a"), size("of_b").alias("n_b"), size(F.array_intersect("of_a", "of_b")).alias("shared"))
+
+
+def _across(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in a cell that can still be alike.
+
+    ``cells``: (a: the lead, b: a member, n_b, shared with the lead, linked to it, component). Two
+    members share at most the smaller of what they share with the lead, plus t shingles outside it. So
+    where sizes alone don't leave a pair possible at t = 0, both have an outside shingle in common, and
+    t must make up the difference. One of the two isn't linked to the lead, or they'd be one component.
+    """
+    most, part = 100 + percent, percent
+    x = cells.where("not linked").select("a", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("shared").alias("s_x"), F.col("component").alias("of_x"))
+    c = cells.select("a", F.col("b").alias("c"), F.col("n_b").alias("n_c"), F.col("shared").alias("s_c"), F.col("component").alias("of_c"))
+    lacking = part * (F.col("n_x") + F.col("n_c")) - most * F.least("s_x", "s_c")
+    differ = (F.col("x") != F.col("c")) & (F.col("of_x") != F.col("of_c")) & (100 * F.least("n_x", "n_c") >= part * F.greatest("n_x", "n_c"))
+    # possible at t = 0: only members within a span of sizes, found by bands of 5 %
+    band = lambda n: F.floor(F.log(n) / F.log(F.lit(1.05))).cast("int")
+    low, high = F.col("n_x") * (part / 100), F.col("s_x") * (most / part) - F.col("n_x")
+    spans = x.where(high >= low).withColumn("band", F.explode(F.sequence(band(low), band(high))))
+    sizes = spans.join(c.withColumn("band", band(F.col("n_c"))), ["a", "band"]).where(differ & (lacking <= 0)).select("x", "c")
+    # otherwise: by the shingles outside the lead
+    lead = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
+    own = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
+    outside = written(cells.select("a", "b").join(lead, "a").join(own, "b").select("a", "b", F.explode(F.array_except("of_b", "of_a")).alias("shingle")), "outside")
+    of_x = x.join(outside.withColumnRenamed("b", "x"), ["a", "x"])
+    of_c = c.join(outside.withColumnRenamed("b", "c"), ["a", "c"])
+    common = of_x.join(of_c, ["a", "shingle"]).where(differ & (lacking > 0)).groupBy("a", "x", "c").agg(F.count(F.lit(1)).alias("t"), F.first(lacking).alias("lacking"))
+    shingles = common.where(most * F.col("t") >= F.col("lacking")).select("x", "c")
+    return sizes.unionByName(shingles).select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -158,26 +186,29 @@ def near_duplicates(
     signed = written(rows.mapInArrow(_signed(shingle_words, permutations, rows_in_band), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
     # equal sets: one class, named by its smallest document
     full = signed.where("doc_id is not null and n_shingles > 0")
-    classes = written(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    buckets = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
-    shared = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("last")).where("last != lead.rep")
-    shared = written(shared.select("bucket", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")), "buckets")
+    classes = written(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    buckets = classes.select(F.explode("bands").alias("bucket"), "rep")
+    shared = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     members = written(buckets.join(shared, "bucket"), "members")
-    alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)  # noqa: E731  sizes alone can rule a pair out
-    stars = members.where((F.col("lead") != F.col("rep")) & alike(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    # a bucket's lead is the member that meets most others over all its buckets: the middle of its group
+    middle = members.groupBy("rep").agg(F.sum("size").alias("meets"))
+    leads = members.join(middle, "rep").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("rep")).alias("minus"))).alias("lead")).select("bucket", (-F.col("lead.minus")).alias("lead"))
+    stars = members.join(leads, "bucket").where(F.col("lead") != F.col("rep")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     stars = written(stars, "stars")
     sets = written(_among(rows, members.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(_full_sets(shingle_words), "doc_id long, shingles array<long>"), "sets")
-    linked = components(_confirmed(stars, sets, percent))
-    # buckets that still hold several components: test the pairs across them
-    placed = members.join(linked, members["rep"] == linked["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    left = placed.join(mixed, "bucket")
-    one = left.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-    other = left.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-    across = one.join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & alike(F.col("n_a"), F.col("n_b")))
-    across = written(across.select("a", "b", "of_a", "of_b").distinct().join(stars, ["a", "b"], "left_anti"), "across")
-    more = written(_confirmed(across.select("a", "b"), sets, percent).join(across, ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), "links")
+    alike = 100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))
+    tested = written(_compared(stars, sets).withColumn("linked", alike), "tested")
+    linked = components(tested.where("linked").select("a", "b"))
+    # cells whose members are of several components: test the pairs across them
+    of_b = linked.select(F.col("node").alias("b"), "component")
+    placed = written(tested.join(of_b, "b", "left").withColumn("component", F.coalesce("component", "b")), "placed")
+    mixed = placed.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("a")
+    across = written(_across(written(placed.join(mixed, "a"), "cells"), sets, percent), "across")
+    at = linked.withColumnRenamed("node", "at")
+    more = _compared(across, sets).where(alike).select("a", "b")
+    for end in ("a", "b"):  # links between documents become links between components
+        more = more.join(at.select(F.col("at").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    more = written(more.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), "links")
     if not more.isEmpty():
         joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("into"))
         linked = linked.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component")).unionByName(
