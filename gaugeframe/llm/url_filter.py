@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizer, Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +35,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def grams(host: Column, path: Column) -> Column:
-    """Hash bins of the character n-grams of host and path, which never share a bin's meaning."""
+    """Distinct hash bins of the character n-grams of host and path, hashed with different seeds."""
     text = lambda kind, part: F.concat(F.lit(kind), part, F.lit("$"))
     # a lookahead matches at every place, so all n-grams come from one pass
     found = [F.regexp_extract_all(text(kind, part), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for kind, part in (("h^", host), ("p^", path)) for n in SIZES]
     seeded = lambda seed: lambda x: F.pmod(F.xxhash64(x, F.lit(seed)), F.lit(BINS)).cast("int")
-    return F.concat(*(F.transform(g, seeded(k // len(SIZES))) for k, g in enumerate(found)))
+    return F.array_distinct(F.concat(*(F.transform(g, seeded(k // len(SIZES))) for k, g in enumerate(found))))
 
 
 def train(spark: SparkSession, table: DataFrame | None = None, ridge: float = 0.002) -> tuple[list[float], float]:
@@ -52,20 +52,23 @@ def train(spark: SparkSession, table: DataFrame | None = None, ridge: float = 0.
     if table is None:
         rows = F.array(*(F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in examples()))
         table = spark.range(1).select(F.inline(rows))
-    table = table.where("label in (0, 1)").select(F.col("label").cast("double").alias("label"), grams(*host_and_path(F.col("url"))).alias("grams"))
+    table = table.where("label in (0, 1)").select(F.col("label").cast("double").alias("label"), grams(*host_and_path(F.col("url"))).cast("array<string>").alias("grams"))
     kinds = {r["label"] for r in table.select("label").distinct().collect()}
     if len(kinds) < 2:
         return [0.0] * BINS, {frozenset([1.0]): 5.0, frozenset([0.0]): -5.0}.get(frozenset(kinds), 0.0)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.try_divide(F.size(F.filter("grams", lambda g: g == b)).cast("double"), F.sqrt(F.size("grams"))))
-    rows = table.select("label", array_to_vector(F.transform(counts, lambda x: F.coalesce(x, F.lit(0.0)))).alias("features")).repartition(1).cache()
-    model = LogisticRegression(maxIter=60, regParam=ridge, standardization=False).fit(rows)
+    bins = CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=BINS, binary=True).fit(table)
+    rows = Normalizer(inputCol="counts", outputCol="features").transform(bins.transform(table)).select("label", "features").coalesce(1).cache()
+    model = LogisticRegression(maxIter=40, regParam=ridge, standardization=False).fit(rows)
     rows.unpersist()
-    return [float(w) for w in model.coefficients], float(model.intercept)
+    weights = [0.0] * BINS
+    for name, weight in zip(bins.vocabulary, model.coefficients):
+        weights[int(name)] = float(weight)
+    return weights, float(model.intercept)
 
 
 def probability(found: Column, weights: Sequence[float], intercept: float) -> Column:
     """The probability that a page with these n-grams is one to block."""
-    table = F.transform(F.split(F.lit(",".join(map(repr, weights))), ","), lambda x: x.cast("double"))  # folded to a constant
+    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded to a constant
     total = F.aggregate(found, F.lit(0.0), lambda acc, g: acc + F.get(table, g))
     return 1 / (1 + F.exp(-(F.coalesce(F.try_divide(total, F.sqrt(F.size(found))), F.lit(0.0)) + intercept)))
 
