@@ -101,16 +101,17 @@ def match(one: DataFrame, other: DataFrame, by: Sequence[str], id_col: str, at:
     A group is one frame of one series, small by nature; groups are solved side by side.
     """
     def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in [*by, "a", "b", "distance"]})
         a, b = a.sort_values(id_col), b.sort_values(id_col)
         d = np.sqrt(((a[list(at)].to_numpy(float)[:, None] - b[list(at)].to_numpy(float)[None]) ** 2).sum(2))
         far = 1e6 * (1 + reach)
-        pairs = [(i, j) for i, j in assign(np.where(d <= reach, d, far)) if d[i, j] <= reach]
-        return pd.DataFrame([{**{c: a[c].iloc[0] for c in by}, "a": a[id_col].iloc[i], "b": b[id_col].iloc[j], "distance": d[i, j]} for i, j in pairs], columns=[*by, "a", "b", "distance"])
+        pairs = [(i, j) for i, j in assign(np.where(d <= reach, d, far)) if d[i, j] <= reach] if d.size else []
+        i, j = [p[0] for p in pairs], [p[1] for p in pairs]
+        left, right = a.iloc[i].reset_index(drop=True), b[id_col].iloc[j].reset_index(drop=True)
+        return left[[*by]].assign(a=left[id_col], b=right, distance=np.array([d[p] for p in pairs], float))
 
     kinds = {f.name: f.dataType.simpleString() for f in one.schema.fields}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), f"a {kinds[id_col]}", f"b {kinds[id_col]}", "distance double"])
+    one, other = one.join(other.select(*by).distinct(), list(by), "left_semi"), other.join(one.select(*by).distinct(), list(by), "left_semi")
     return one.groupBy(*by).cogroup(other.groupBy(*by)).applyInPandas(solve, schema)
 
 

@@ -122,15 +122,15 @@ def fit_curves(df: DataFrame, by: Sequence[str], t: str, y: str, least: int = 8)
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in by)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[t, y]).sort_values(t)
-        if len(pdf) < least:
-            return pd.DataFrame({c: [] for c in [*by, "line_rss", "curve_rss", "middle", "rise"]})
+        pdf = pdf.sort_values(t)
         x, v = pdf[t].to_numpy(float), pdf[y].to_numpy(float)
         line = np.polyval(np.polyfit(x, v, 1), x) if np.ptp(x) else np.full_like(v, v.mean())
         p, rss = fit_logistic4(x, v)
         return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "line_rss": float(((v - line) ** 2).sum()), "curve_rss": rss, "middle": p[3], "rise": 4.394 / abs(p[2]) if p[2] else None}])
 
-    return df.select(*by, t, y).groupBy(*by).applyInPandas(fit, f"{keys}, line_rss double, curve_rss double, middle double, rise double")
+    rows = df.select(*by, t, y).where(F.col(t).isNotNull() & F.col(y).isNotNull())
+    long = rows.groupBy(*by).count().where(F.col("count") >= least).select(*by)
+    return rows.join(long, list(by), "left_semi").groupBy(*by).applyInPandas(fit, f"{keys}, line_rss double, curve_rss double, middle double, rise double")
 
 
 def mixtures(profiles: DataFrame, label: str, feature: str, value: str, references: DataFrame) -> DataFrame:
