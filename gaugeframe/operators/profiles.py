@@ -123,3 +123,42 @@ def top_fraction(df: DataFrame, by: Sequence[str], order: Sequence[Column], valu
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     rows = df.withColumn("_rank", rank).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     return rows.where(F.col("_rank") <= F.greatest(F.ceil(F.col("_n") * fraction), F.lit(1))).groupBy(*by).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+def background(hist: DataFrame, by: Sequence[str], smooth: int, z: float, floor: float = 1.0) -> DataFrame:
+    """Background level and spread of a histogram, and the threshold ``level + z * spread``.
+
+    Counts are smoothed by a centred mean; the level is the fullest bin (the first among equals), and
+    the spread comes from the bins at or left of it, as half of a Gaussian; it is at least ``floor``.
+    """
+    w = Window.partitionBy(*by).orderBy("bin")
+    rows = hist.withColumn("_s", F.round(F.avg("n").over(w.rowsBetween(-smooth, smooth)), 6))
+    mode = rows.groupBy(*by).agg(F.min_by("bin", F.struct(-F.col("_s"), F.col("bin"))).alias("level"))
+    left = rows.join(mode, list(by)).where("bin <= level")
+    second = F.sum(F.col("n") * (F.col("bin") - F.col("level")) * (F.col("bin") - F.col("level"))) / F.sum("n")
+    spread = F.greatest(F.sqrt(second), F.lit(floor))
+    return left.groupBy(*by, "level").agg(spread.alias("spread")).withColumn("threshold", F.col("level") + z * F.col("spread"))
+
+
+def region_table(pixels: DataFrame, by: Sequence[str], label: str, x: str, y: str, value: str) -> DataFrame:
+    """Area, centroid, mean and maximum of each labelled region of pixel rows; label 0 is background."""
+    return pixels.where(F.col(label) != 0).groupBy(*by, label).agg(F.count(F.lit(1)).alias("area"), F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+
+
+def illumination(pixels: DataFrame, frame: str, x: str, y: str, value: str) -> DataFrame:
+    """The field of a stack: per frame over its median, then the median over frames at each pixel."""
+    middle = pixels.groupBy(frame).agg(F.median(value).alias("_m"))
+    return pixels.join(middle, frame).groupBy(x, y).agg(F.median(F.try_divide(value, "_m")).alias("field"))
+
+
+def mask_overlap(pixels: DataFrame, by: Sequence[str], time: str, pixel: str) -> DataFrame:
+    """Jaccard index and relative change of area between the masks of neighbouring times.
+
+    A mask is one row per pixel it holds. Shared pixels come from each pixel's own next time, so no two
+    masks are paired.
+    """
+    nxt = F.lead(time).over(Window.partitionBy(*by, pixel).orderBy(time))
+    areas = pixels.groupBy(*by, time).agg(F.count(F.lit(1)).alias("area")).withColumn("next", F.lead(time).over(Window.partitionBy(*by).orderBy(time))).withColumn("next_area", F.lead("area").over(Window.partitionBy(*by).orderBy(time)))
+    shared = pixels.withColumn("next", nxt).where("next is not null").groupBy(*by, time, "next").agg(F.count(F.lit(1)).alias("shared"))
+    both = areas.where("next is not null").join(shared, [*by, time, "next"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    return both.select(*by, time, "next", (F.col("shared") / (F.col("area") + F.col("next_area") - F.col("shared"))).alias("jaccard"), (F.col("next_area") / F.col("area") - 1).alias("growth"))

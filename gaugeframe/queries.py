@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as fx
-from .operators import joins, matrix, profiles, search, series, stats
+from .operators import joins, learn, matrix, profiles, search, series, stats
 from .plans import verify
 from .plans.spec import Panel
 from .streaming import windows
@@ -144,6 +144,33 @@ def top_fraction(spark, d):
     return _r(profiles.top_fraction(_t(spark, d, "lineitem"), ["l_suppkey"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")], "l_extendedprice", 0.1), "mean")
 
 
+@query("""with h as (select event_type, least(cast(floor(value / 5) as bigint), 99) as bin, count(*) as n from events where value between 0 and 500 group by 1, 2),
+  s as (select event_type, bin, n, round(avg(n) over (partition by event_type order by bin rows between 2 preceding and 2 following), 6) as s from h), m as (select event_type, arg_min(bin, (-s, bin)) as level from s group by 1),
+  l as (select event_type, level, greatest(sqrt(sum(n * (bin - level) * (bin - level)) / sum(n)), 1.0) as spread from s join m using (event_type) where bin <= level group by 1, 2)
+  select event_type, level, round(spread, 6) as spread, round(level + 2.5 * spread, 6) as threshold from l""")
+def background(spark, d):
+    h = profiles.histogram(_t(spark, d, "events"), "value", 0.0, 500.0, 100, ["event_type"])
+    return _r(profiles.background(h, ["event_type"], 2, 2.5), "spread", "threshold", digits=6)
+
+
+@query("""select l_suppkey, l_linenumber, count(*) as area, round(avg(l_quantity), 5) as cx, round(avg(l_discount), 5) as cy, round(avg(l_extendedprice), 3) as mean, max(l_extendedprice) as "max" from lineitem where l_linenumber <> 0 group by 1, 2""")
+def region_table(spark, d):
+    return _r(_r(profiles.region_table(_t(spark, d, "lineitem"), ["l_suppkey"], "l_linenumber", "l_quantity", "l_discount", "l_extendedprice"), "cx", "cy", digits=5), "mean", digits=3)
+
+
+@query("""with m as (select l_returnflag, median(l_extendedprice) as m from lineitem group by 1) select l_quantity, l_linenumber, round(median(l_extendedprice / m), 5) as field from lineitem join m using (l_returnflag) group by 1, 2""")
+def illumination(spark, d):
+    return _r(profiles.illumination(_t(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_linenumber", "l_extendedprice"), "field", digits=5)
+
+
+@query("""with p as (select distinct user_id % 10 as g, date_diff('day', timestamp '2020-01-01', ts) // 7 as week, user_id as px from events), a as (select g, week, count(*) as area, lead(week) over w as nxt, lead(count(*)) over w as na from p group by 1, 2 window w as (partition by g order by week)),
+  s as (select g, week, nxt, count(*) as k from (select g, week, lead(week) over (partition by g, px order by week) as nxt from p) where nxt is not null group by 1, 2, 3)
+  select a.g, a.week, a.nxt as "next", round(coalesce(k, 0) / (area + na - coalesce(k, 0)), 6) as jaccard, round(na / area - 1, 6) + 0 as growth from a left join s on a.g = s.g and a.week = s.week and a.nxt = s.nxt where a.nxt is not null""")
+def mask_overlap(spark, d):
+    p = _t(spark, d, "events").select((F.col("user_id") % 10).alias("g"), F.expr("timestampdiff(DAY, timestamp_ntz'2020-01-01 00:00:00', ts) div 7").alias("week"), F.col("user_id").alias("px")).distinct()
+    return _r(profiles.mask_overlap(p, ["g"], "week", "px"), "jaccard", "growth", digits=6)
+
+
 # --- matrices: suppliers by brands of their parts, the value being a quantity --------------------
 
 
@@ -322,6 +349,36 @@ def nearest_centroid(spark, d):
     return _r(joins.nearest_centroid(_t(spark, d, "embeddings"), "vec_id", "embedding", "label"), "r", digits=5)
 
 
+@query()
+def label_transfer(spark, d):
+    e = _t(spark, d, "embeddings")
+    return learn.transfer_labels(e.where("vec_id % 50 = 0"), e.where("vec_id % 50 != 0"), "vec_id", "embedding", "label", 8, 15)
+
+
+@query()
+def marker_weights(spark, d):
+    return learn.marker_weights(_t(spark, d, "embeddings"), "embedding", "label")
+
+
+@query()
+def batch_neighbours(spark, d):
+    e = _t(spark, d, "embeddings").where("vec_id % 50 = 0").withColumn("batch", (F.col("vec_id") % 100 == 0).cast("int"))
+    return learn.batch_neighbours(e, "vec_id", "batch", "embedding", [0, 1], 3)
+
+
+@query()
+def communities(spark, d):
+    e = _t(spark, d, "embeddings")
+    near = joins.knn(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 6).where("q != r")
+    return learn.communities(near.select(F.col("q").alias("a"), F.col("r").alias("b"), (1 / (1 + F.col("distance"))).alias("weight")), 4)
+
+
+@query()
+def chosen_features(spark, d):
+    labels = _t(spark, d, "supplier").withColumnRenamed("s_suppkey", "l_suppkey")
+    return learn.chosen_features(_matrix(spark, d), labels, "l_suppkey", "p_brand", "v", "s_nationkey", 60, 0.8)
+
+
 # --- series -------------------------------------------------------------------------------------
 
 
