@@ -17,7 +17,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from math import inf
 
@@ -29,7 +30,9 @@ from .common import id_and_text, small_batches
 
 SPACE = "▁"
 #: Memo sizes of one Python worker; a full memo is emptied.
-MOST_SEGMENTS, MOST_PAIRS, MOST_CHARS = 400_000, 500_000, 48
+MOST_SEGMENTS, MOST_PAIRS, MOST_CHARS, MOST_STEMS = 1_000_000, 500_000, 48, 150_000
+#: Lengths at which the states of a segment's beginning are kept, the longest first.
+STEMS = (9, 6)
 
 
 class Merges:
@@ -37,7 +40,6 @@ class Merges:
 
     def __init__(self, ranks: dict[str, int]):
         self.ranks = ranks
-        self.memo: dict[tuple[str, str], bool] = {}
         self.ends: dict[str, tuple[list, list]] = {}
 
     def split(self, piece: str) -> tuple[str, str] | None:
@@ -77,21 +79,14 @@ class Merges:
 
         Merges happen by rank, the leftmost first among equals.
         """
-        key = (a, b)
-        known = self.memo.get(key)
-        if known is None:
-            if len(self.memo) >= MOST_PAIRS:
-                self.memo.clear()
-            known = True
-            for x, x_made, x_merged in self._edges(a)[1]:
-                for y, y_made, y_merged in self._edges(b)[0]:
-                    rank = self.ranks.get(x + y)
-                    if rank is not None:
-                        when = max(rank, x_made, y_made)
-                        if when < x_merged and when <= y_merged:
-                            known = False
-            self.memo[key] = known
-        return known
+        for x, x_made, x_merged in self._edges(a)[1]:
+            for y, y_made, y_merged in self._edges(b)[0]:
+                rank = self.ranks.get(x + y)
+                if rank is not None:
+                    when = max(rank, x_made, y_made)
+                    if when < x_merged and when <= y_merged:
+                        return False
+        return True
 
 
 class PieceTransducer:
@@ -110,7 +105,10 @@ class PieceTransducer:
         foreign = "".join(c for c in "\n\t\r" if c not in chars)
         spanning = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
         self.segment = None if spanning else re.compile((f"[{foreign}]|" if foreign else "") + f"{SPACE}+[^{SPACE}{foreign}]*|[^{SPACE}{foreign}]+")
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}  # ids as packed 32-bit integers
+        self.known: dict[int, bool] = {}
+        self.stems: dict[str, tuple[tuple, tuple]] = {}
+        self.names = {i: p for p, i in self.pieces.items()}
         by_id = {i: p.replace(SPACE, " ").encode() for p, i in pieces.items()}
         self.output = by_id | {i: bytes([b]) for b, i in enumerate(byte_ids)}
 
@@ -182,55 +180,67 @@ class PieceTransducer:
     def _only(self, text: str) -> tuple[int, ...]:
         """The one path of finite weight that a byte-pair acceptor leaves.
 
-        Each prefix has one such path too, so a position keeps a single state: its last piece.
+        Each prefix has one such path too, so a position keeps a single state: its last piece. States
+        of a few stems are kept, since most new segments begin like an earlier one.
         """
-        pieces, accepts, known, longest = self.pieces, self.merges.accepts, self.merges.memo, self.longest
-        last: list[str] = [""]
-        before = [0]
-        for end in range(1, len(text) + 1):
+        pieces, known, longest, n = self.pieces, self.known, self.longest, len(text)
+        last, before = [-1], [0]  # -1: the start, or a character without a piece; anything may follow
+        for size in STEMS:
+            if n > size and (stem := self.stems.get(text[:size])):
+                last, before = list(stem[0]), list(stem[1])
+                break
+        for end in range(len(last), n + 1):
             for start in range(end - longest if end > longest else 0, end):
-                piece = text[start:end]
-                if piece in pieces:
+                piece = pieces.get(text[start:end], -1)
+                if piece >= 0:
                     prior = last[start]
-                    if prior in pieces:
-                        ok = known.get((prior, piece))
+                    if prior >= 0:
+                        ok = known.get(prior << 32 | piece)
                         if ok is None:
-                            ok = accepts(prior, piece)
+                            ok = self._accepts(prior, piece)
                         if not ok:
                             continue
                     break
             # the innermost piece is a single character, whether or not the vocabulary has it
             last.append(piece)
             before.append(start)
+            if end in STEMS and end < n:
+                if len(self.stems) >= MOST_STEMS:
+                    self.stems.clear()
+                self.stems[text[:end]] = (tuple(last), tuple(before))
         out: list[tuple[int, ...]] = []
-        at = len(text)
+        at = n
         while at:
-            piece = last[at]
-            out.append((pieces[piece],) if piece in pieces else tuple(self.byte_ids[b] for b in piece.encode()) if self.byte_ids else (self.unk,))
+            out.append((last[at],) if last[at] >= 0 else tuple(self.byte_ids[b] for b in text[before[at] : at].encode()) if self.byte_ids else (self.unk,))
             at = before[at]
         return tuple(chain.from_iterable(reversed(out)))
 
-    def path(self, segment: str) -> tuple[int, ...]:
+    def _accepts(self, a: int, b: int) -> bool:
+        if len(self.known) >= MOST_PAIRS:
+            self.known.clear()
+        ok = self.known[a << 32 | b] = self.merges.accepts(self.names[a], self.names[b])
+        return ok
+
+    def path(self, segment: str) -> bytes:
         ids = self.memo.get(segment)
         if ids is None:
-            ids = self._only(segment) if self.merges and not self.weights else self._shortest(segment)
+            found = self._only(segment) if self.merges and not self.weights else self._shortest(segment)
+            ids = array("i", found).tobytes()
             if len(segment) <= MOST_CHARS:
                 if len(self.memo) >= MOST_SEGMENTS:
                     self.memo.clear()
                 self.memo[segment] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         normal = self.normalise(text)
-        if self.segment is None:
-            return list(self.path(normal)) if normal else []
-        segments = self.segment.findall(normal)
+        segments = self.segment.findall(normal) if self.segment else [normal] * bool(normal)
         found = list(map(self.memo.get, segments))
         if None in found:
             found = list(map(self.path, segments))
-        return list(chain.from_iterable(found))
+        return np.frombuffer(b"".join(found), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The inverse transduction: pieces and bytes back to text, without the dummy prefix."""
         raw = b"".join(map(self.output.get, ids)) if self.byte_ids else b"".join(self.output.get(i, b" \xe2\x81\x87 ") for i in ids)
         text = raw.decode("utf-8", "replace")
@@ -252,7 +262,7 @@ def _encoded(path: str):
         machine = _machine(path)
         for batch in small_batches(batches, 4 << 20):
             ids = [machine.encode(t or "") for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(map(np.array, ids, [np.int32] * len(ids)), pa.list_(pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return rows
 
@@ -288,9 +298,9 @@ def _round_trip(path: str):
             n, crc, digest, same = [], [], [], []
             for text in batch["text"].to_pylist():
                 ids = machine.encode(text or "")
-                back = machine.decode(ids)
+                back = machine.decode(ids.tolist())
                 n.append(len(ids))
-                crc.append(zlib.crc32(np.array(ids, "<u4").tobytes()))
+                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 digest.append(hashlib.sha256(back.encode()).hexdigest())
                 same.append(back == (text or ""))
             yield pa.RecordBatch.from_arrays(
