@@ -9,6 +9,7 @@ occurrence lookup by rank and select, without the ids being expanded.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ class WaveletMatrix:
         width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         planes, zeros, ranks = [], [], []
         for b in range(width - 1, -1, -1):
-            bits = (ids >> b & 1).astype(bool)
+            bits = (ids & ids.dtype.type(1 << b)) != 0
             packed = np.packbits(bits)
             ones = np.add.reduceat(_ONES[packed], np.arange(0, len(packed), _STEP // 8)) if len(packed) else np.empty(0, np.int64)
             planes.append(packed.tobytes())
@@ -128,7 +129,10 @@ _LETTER, _NUMBER, _SPACE, _OTHER, _UNSEEN = 0, 1, 2, 3, 4
 #: English endings that stay with their apostrophe.
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: A worker's memo of words; emptied when full.
-MOST_WORDS = 400_000
+MOST_WORDS = 1_000_000
+#: How byte-level models write bytes: printable ones as themselves, the rest, in order, from U+0100 on.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: 0x100 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class ByteTokenizer:
@@ -145,18 +149,19 @@ class ByteTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.words = self.model.model.tokenize
         self.split = ByteLevel(add_prefix_space=False, use_regex=True)
         self.kind = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
         self.classes = np.full(0x110000, _UNSEEN, np.uint8)
         self.memo: dict[str, bytes] = {}
+        self.factors = [np.empty(0, np.uint64)] * 2
 
     def _class(self, char: str) -> int:
         alone = lambda other: len(self.split.pre_tokenize_str(other + char)) == 1
         return _LETTER if alone("a") else _NUMBER if alone("1") else _OTHER if alone("!") else _SPACE
 
-    def starts(self, text: str, firsts: np.ndarray) -> np.ndarray:
-        """Where words start in joined texts that begin at ``firsts``."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    def starts(self, text: str, points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Where words start in joined texts, given with their code points, that begin at ``firsts``."""
         n = len(points)
         if not n:
             return np.empty(0, np.int64)
@@ -189,28 +194,50 @@ class ByteTokenizer:
                         break
         return np.flatnonzero(start)
 
+    def _equal(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first place of each distinct word, number of its distinct word for every word)."""
+        inside = np.arange(len(points), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+        longest = int(sizes.max())
+        if longest > len(self.factors[0]):
+            rng = np.random.default_rng(longest)
+            self.factors = [rng.integers(1, 1 << 63, 2 * longest, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+        one, other = (np.add.reduceat((points + np.uint64(1)) * f[inside], starts) for f in self.factors)
+        _, first, number = np.unique(one, return_index=True, return_inverse=True)
+        if (other != other[first][number]).any():  # unequal words under one hash: take the pair of hashes
+            _, first, number = np.unique(np.column_stack([one, other]), axis=0, return_index=True, return_inverse=True)
+        return first, number.ravel()
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, from the memo or the library."""
+        found = list(map(self.memo.get, words))
+        if None in found:
+            fresh = [w for w, f in zip(words, found) if f is None]
+            if len(self.memo) + len(fresh) > MOST_WORDS:
+                self.memo.clear()
+            code = "H" if self.kind is np.uint16 else "I"
+            new = {w: array(code, [t.id for t in self.words(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_CHARS))]).tobytes() for w in fresh}
+            found = [new[w] if f is None else f for w, f in zip(words, found)]
+            self.memo |= {w: f for w, f in new.items() if len(w) <= 64}
+        return found
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        sizes = np.array([len(t) for t in texts], np.int64)
+        lengths = np.array([len(t) for t in texts], np.int64)
         text = "".join(texts)
-        begins = np.cumsum(sizes) - sizes
-        starts = self.starts(text, begins[sizes > 0])
-        parts, counts = [], np.zeros(len(starts), np.int64)
-        ends = np.append(starts[1:], len(text))
-        for at in range(0, len(starts), 1 << 18):
-            words = [text[a:b] for a, b in zip(starts[at : at + (1 << 18)].tolist(), ends[at : at + (1 << 18)].tolist())]
-            found = list(map(self.memo.get, words))
-            if None in found:
-                fresh = list({w for w, f in zip(words, found) if f is None})
-                if len(self.memo) + len(fresh) > MOST_WORDS:
-                    self.memo.clear()
-                new = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(fresh, self.model.encode_batch_fast(fresh, add_special_tokens=False))}
-                found = [new[w] if f is None else f for w, f in zip(words, found)]
-                self.memo |= {w: f for w, f in new.items() if len(w) <= 64}
-            parts.append(b"".join(found))
-            counts[at : at + len(words)] = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.frombuffer(b"".join(parts), self.kind)
-        bounds = np.concatenate([[0], np.cumsum(counts // self.kind().itemsize)])
+        begins = np.cumsum(lengths) - lengths
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = self.starts(text, points, begins[lengths > 0])
+        if not len(starts):
+            return [np.empty(0, self.kind)] * len(texts)
+        sizes = np.diff(starts, append=len(text))
+        first, number = self._equal(points, starts, sizes)
+        found = self._ids([text[a : a + n] for a, n in zip(starts[first].tolist(), sizes[first].tolist())])
+        # lay the ids of each word in order: a gather from the distinct words' ids
+        each = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
+        flat = np.frombuffer(b"".join(found), self.kind)
+        counts = each[number]
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat((np.cumsum(each) - each)[number] - bounds[:-1], counts) + np.arange(bounds[-1])]
         cuts = bounds[np.searchsorted(starts, np.append(begins, len(text)))]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
