@@ -112,6 +112,7 @@ def match(one: DataFrame, other: DataFrame, by: Sequence[str], id_col: str, at:
     kinds = {f.name: f.dataType.simpleString() for f in one.schema.fields}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), f"a {kinds[id_col]}", f"b {kinds[id_col]}", "distance double"])
     one, other = one.join(other.select(*by).distinct(), list(by), "left_semi"), other.join(one.select(*by).distinct(), list(by), "left_semi")
+    other = other.select(*(F.col(c).alias(c) for c in other.columns))  # so that both may come from one table
     return one.groupBy(*by).cogroup(other.groupBy(*by)).applyInPandas(solve, schema)
 
 

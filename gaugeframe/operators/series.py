@@ -160,3 +160,30 @@ def split_scan(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3)
     error = F.round(yy - F.coalesce(slope * xy, F.lit(0.0)) + F.col("ryy") - F.col("ry") * F.col("ry") / F.col("m"), 3)
     best = rows.withColumn("slope", slope).withColumn("sse", error)
     return best.groupBy(*by).agg(F.min(F.struct("sse", "cut", "slope")).alias("b")).select(*by, "b.cut", "b.slope", "b.sse")
+
+
+def centred_slope(df: DataFrame, by: Sequence[str], t: str, y: str, width: float) -> DataFrame:
+    """(y(t + w/2) - y(t - w/2)) / w with both ends on straight lines; null where an end is outside."""
+    ends = df.select(*by, F.col(t).alias("at"), F.explode(F.array(F.lit(-0.5 * width), F.lit(0.5 * width))).alias("_d"))
+    grid = ends.select(*by, (F.col("at") + F.col("_d")).alias("end"), "at", "_d")
+    values = interpolate(df, by, t, y, grid.select(*by, "end"), "end").groupBy(*by, "end").agg(F.max(y).alias("_y"))
+    both = grid.join(values, [*by, "end"], "left")
+    side = lambda s: F.max(F.when(F.col("_d") == s * 0.5 * width, F.col("_y")))
+    return both.groupBy(*by, "at").agg(((side(1) - side(-1)) / width).alias("slope")).withColumnRenamed("at", t)
+
+
+def blocked_error(df: DataFrame, by: Sequence[str], t: str, y: str, folds: int) -> DataFrame:
+    """Root mean square error of a straight line, each contiguous fold predicted from the others.
+
+    A fold's line comes from the whole's sums less its own, so one pass serves all folds.
+    """
+    w = Window.partitionBy(*by)
+    rows = df.where(F.col(t).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(t).cast("double").alias("x"), F.col(y).cast("double").alias("v"))
+    rows = rows.withColumn("fold", F.least(F.floor((F.row_number().over(w.orderBy("x", "v")) - 1) * folds / F.count(F.lit(1)).over(w)), F.lit(folds - 1)))
+    sums = lambda c: [F.sum(F.lit(1.0)).alias(f"n{c}"), F.sum("x").alias(f"x{c}"), F.sum("v").alias(f"v{c}"), F.sum(F.col("x") * F.col("x")).alias(f"xx{c}"), F.sum(F.col("x") * F.col("v")).alias(f"xv{c}")]
+    rest = rows.groupBy(*by, "fold").agg(*sums("f")).join(rows.groupBy(*by).agg(*sums("a")), list(by))
+    n, x, v, xx, xv = (F.col(f"{c}a") - F.col(f"{c}f") for c in ("n", "x", "v", "xx", "xv"))
+    slope = F.try_divide(n * xv - x * v, n * xx - x * x)
+    lines = rest.select(*by, "fold", slope.alias("slope"), F.try_divide(v - slope * x, n).alias("start"))
+    off = F.col("v") - F.col("start") - F.col("slope") * F.col("x")
+    return rows.join(lines, [*by, "fold"]).groupBy(*by).agg(F.sqrt(F.avg(off * off)).alias("rmse"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as fx
-from .operators import joins, learn, matrix, profiles, search, series, stats
+from .operators import joins, learn, matrix, profiles, search, series, space, stats
 from .plans import verify
 from .plans.spec import Panel
 from .streaming import windows
@@ -489,6 +489,59 @@ def split_scan(spark, d):
     return _r(series.split_scan(b, ["l_returnflag"], "l_quantity", "y").withColumn("sse", F.col("sse") / 1e6), "slope", "sse")
 
 
+@query(f"""with {SERIES}, l as (select user_id, hours as t0, value as y0, lead(hours) over w as t1, lead(value) over w as y1 from series window w as (partition by user_id order by s)),
+  g as (select user_id, s, hours, d, hours + d as p from series, (select unnest([-12.0, 12.0]) as d)),
+  v as (select g.user_id, s, d, max(case when t0 = p then y0 else y0 + (y1 - y0) * (p - t0) / (t1 - t0) end) as y from g left join l on l.user_id = g.user_id and t0 <= p and (p < t1 or t0 = p) group by 1, 2, 3)
+  select user_id, s, round((max(y) filter (d > 0) - max(y) filter (d < 0)) / 24, 5) + 0 as slope from v group by 1, 2""")
+def centred_slope(spark, d):
+    s = _series(spark, d)
+    return _r(series.centred_slope(s, ["user_id"], "hours", "value", 24.0).join(s.select("user_id", "hours", "s"), ["user_id", "hours"]), "slope", digits=5).select("user_id", "s", "slope")
+
+
+@query(f"""with {SERIES}, r as (select user_id, hours as x, value as v, least(floor((row_number() over (partition by user_id order by hours, value) - 1) * 5 / count(*) over (partition by user_id)), 4) as fold from series),
+  f as (select a.user_id, a.fold, regr_slope(b.v, b.x) as m, regr_intercept(b.v, b.x) as c from (select distinct user_id, fold from r) a join r b on a.user_id = b.user_id and a.fold <> b.fold group by 1, 2)
+  select user_id, round(sqrt(avg((v - c - m * x) ** 2)), 3) as rmse from r join f using (user_id, fold) group by 1""")
+def blocked_error(spark, d):
+    return _r(series.blocked_error(_series(spark, d), ["user_id"], "hours", "value", 5), "rmse", digits=3)
+
+
+POINTS = "p as (select p_brand as g, p_partkey as id, cast(p_size as double) as x, p_retailprice / 50 as y from part)"
+
+
+def _points(spark, d):
+    return _t(spark, d, "part").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 50).alias("y"))
+
+
+@query(f"""with {POINTS} select a.g, a.id, round(min(case when sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 4 then sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) end), 6) as distance from p a left join p b on a.g = b.g and b.id % 10 = 0 where a.id % 10 <> 0 group by 1, 2""")
+def near_distance(spark, d):
+    p = _points(spark, d)
+    return _r(space.near_distance(p.where("id % 10 != 0"), p.where("id % 10 = 0"), ["g"], "x", "y", 4.0), "distance", digits=6).select("g", "id", "distance")
+
+
+@query()
+def tracks(spark, d):
+    p = _points(spark, d).withColumn("frame", F.col("id") % 7)
+    return space.tracks(p, ["g"], "frame", "id", ["x", "y"], 3.0)
+
+
+@query()
+def regions(spark, d):
+    return space.regions(_points(spark, d).withColumn("y", F.floor("y")), ["g"], "x", "y")
+
+
+@query("""with r as (select l_suppkey, l_orderkey * 10 + l_linenumber as n, l_linenumber = 1 as title from lineitem qualify row_number() over (partition by l_suppkey, l_orderkey * 10 + l_linenumber) = 1)
+  select l_suppkey, n, cast(sum(case when title then 1 else 0 end) over (partition by l_suppkey order by n) as bigint) as block from r""")
+def title_blocks(spark, d):
+    r = _t(spark, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"), (F.col("l_linenumber") == 1).alias("title")).distinct()
+    return space.title_blocks(r, ["l_suppkey"], "n", F.col("title")).drop("title")
+
+
+@query("""select k, bool_or(s = 1) and bool_or(s = 2) as shared from (select distinct p_size as k, 1 as s from part where p_retailprice > 1200 union all select distinct cast(l_quantity as integer), 2 from lineitem where l_discount > 0.05) group by 1""")
+def feature_sets(spark, d):
+    a, b = _t(spark, d, "part").where("p_retailprice > 1200").select(F.col("p_size").alias("k")), _t(spark, d, "lineitem").where("l_discount > 0.05").select(F.col("l_quantity").cast("int").alias("k"))
+    return a.intersect(b).withColumn("shared", F.lit(True)).unionByName(a.union(b).distinct().exceptAll(a.intersect(b)).withColumn("shared", F.lit(False)))
+
+
 # --- statistics ---------------------------------------------------------------------------------
 
 WELCH = """select p_brand, avg(v) filter (f = 'A') - avg(v) filter (f = 'R') as difference, var_samp(v) filter (f = 'A') / count(*) filter (f = 'A') as ea, var_samp(v) filter (f = 'R') / count(*) filter (f = 'R') as eb, count(*) filter (f = 'A') as na, count(*) filter (f = 'R') as nb
