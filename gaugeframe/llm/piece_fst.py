@@ -30,9 +30,9 @@ from .common import id_and_text, small_batches
 
 SPACE = "▁"
 #: Memo sizes of one Python worker; a full memo is emptied.
-MOST_SEGMENTS, MOST_PAIRS, MOST_CHARS, MOST_STEMS = 1_000_000, 500_000, 48, 150_000
-#: Lengths at which the states of a segment's beginning are kept, the longest first.
-STEMS = (9, 6)
+MOST_SEGMENTS, MOST_PAIRS, MOST_CHARS = 400_000, 300_000, 48
+#: Segments searched together.
+MOST_TOGETHER = 10_000
 
 
 class Merges:
@@ -107,7 +107,7 @@ class PieceTransducer:
         self.segment = None if spanning else re.compile((f"[{foreign}]|" if foreign else "") + f"{SPACE}+[^{SPACE}{foreign}]*|[^{SPACE}{foreign}]+")
         self.memo: dict[str, bytes] = {}  # ids as packed 32-bit integers
         self.known: dict[int, bool] = {}
-        self.stems: dict[str, tuple[tuple, tuple]] = {}
+        self._compile()
         self.names = {i: p for p, i in self.pieces.items()}
         by_id = {i: p.replace(SPACE, " ").encode() for p, i in pieces.items()}
         self.output = by_id | {i: bytes([b]) for b, i in enumerate(byte_ids)}
@@ -180,16 +180,11 @@ class PieceTransducer:
     def _only(self, text: str) -> tuple[int, ...]:
         """The one path of finite weight that a byte-pair acceptor leaves.
 
-        Each prefix has one such path too, so a position keeps a single state: its last piece. States
-        of a few stems are kept, since most new segments begin like an earlier one.
+        Each prefix has one such path too, so a position keeps a single state: its last piece.
         """
         pieces, known, longest, n = self.pieces, self.known, self.longest, len(text)
         last, before = [-1], [0]  # -1: the start, or a character without a piece; anything may follow
-        for size in STEMS:
-            if n > size and (stem := self.stems.get(text[:size])):
-                last, before = list(stem[0]), list(stem[1])
-                break
-        for end in range(len(last), n + 1):
+        for end in range(1, n + 1):
             for start in range(end - longest if end > longest else 0, end):
                 piece = pieces.get(text[start:end], -1)
                 if piece >= 0:
@@ -204,10 +199,6 @@ class PieceTransducer:
             # the innermost piece is a single character, whether or not the vocabulary has it
             last.append(piece)
             before.append(start)
-            if end in STEMS and end < n:
-                if len(self.stems) >= MOST_STEMS:
-                    self.stems.clear()
-                self.stems[text[:end]] = (tuple(last), tuple(before))
         out: list[tuple[int, ...]] = []
         at = n
         while at:
@@ -215,6 +206,88 @@ class PieceTransducer:
             at = before[at]
         return tuple(chain.from_iterable(reversed(out)))
 
+    def _compile(self) -> None:
+        """The piece transducer as sorted arrays: (state, character) -> state, and a state's piece."""
+        steps: dict[int, int] = {}
+        ends = [-1]
+        for text, piece in self.pieces.items():
+            at = 0
+            for c in text:
+                key = at << 21 | ord(c)
+                if key not in steps:
+                    steps[key] = len(ends)
+                    ends.append(-1)
+                at = steps[key]
+            ends[at] = piece
+        self.keys = np.array(sorted(steps), np.int64)
+        self.next = np.array([steps[k] for k in self.keys.tolist()], np.int64)
+        self.ends = np.array(ends, np.int64)
+
+    def _arcs(self, points: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of every piece in joined segments; ``stop``: each place's segment end."""
+        at = np.arange(len(points))
+        start, state, found = at, np.zeros(len(at), np.int64), []
+        while len(start):
+            key = state << 21 | points[at]
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            alive = self.keys[i] == key
+            start, at, state = start[alive], at[alive] + 1, self.next[i[alive]]
+            piece = self.ends[state]
+            whole = piece >= 0
+            found.append((start[whole], at[whole], piece[whole]))
+            more = at < stop[start]
+            start, at, state = start[more], at[more], state[more]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _together(self, segments: list[str]) -> dict[str, bytes]:
+        """``_only`` for many distinct segments at once, all advancing one position at a time."""
+        lengths = np.array([len(s) for s in segments])
+        text = "".join(segments)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begins = np.cumsum(lengths) - lengths
+        owner = np.repeat(np.arange(len(segments)), lengths)
+        start, end, piece = self._arcs(points, (begins + lengths)[owner])
+        single = np.zeros(len(points), bool)
+        single[start[end == start + 1]] = True
+        odd = np.unique(owner[~single])  # with a character that is no piece: one by one
+        out = {segments[i]: array("i", self._only(segments[i])).tobytes() for i in odd.tolist()}
+        keep = ~np.isin(owner[start], odd)
+        start, end, piece = start[keep], end[keep], piece[keep]
+        of = owner[start]
+        depth = end - begins[of]
+        order = np.lexsort((start, depth))
+        start, end, piece, of, depth = start[order], end[order], piece[order], of[order], depth[order]
+        # a segment of n characters has n + 1 slots
+        last, before = np.full(len(points) + len(segments), -1, np.int64), np.zeros(len(points) + len(segments), np.int64)
+        bounds = np.searchsorted(depth, np.arange(1, int(depth.max(initial=0)) + 2))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            slot_a, slot_b, p = start[a:b] + of[a:b], end[a:b] + of[a:b], piece[a:b]
+            prior = last[slot_a]
+            ok = prior < 0
+            pairs, number = np.unique(prior[~ok] << 32 | p[~ok], return_inverse=True)
+            pairs = pairs.tolist()
+            known = [self._accepts(k >> 32, k & 0xFFFFFFFF) if v is None else v for k, v in zip(pairs, list(map(self.known.get, pairs)))]
+            ok[~ok] = np.array(known, bool)[number]
+            where, one = np.unique(slot_b[ok], return_index=True)
+            last[where], before[where] = p[ok][one], slot_a[ok][one]
+        # walk all paths back together
+        live = np.setdiff1d(np.arange(len(segments)), odd)
+        at, owners, labels = begins[live] + lengths[live] + live, [], []
+        while len(live):
+            owners.append(live)
+            labels.append(last[at])
+            at = before[at]
+            go = at > begins[live] + live
+            at, live = at[go], live[go]
+        if owners:
+            owners, labels = np.concatenate(owners)[::-1], np.concatenate(labels)[::-1]
+            order = np.argsort(owners, kind="stable")
+            raw = labels[order].astype(np.int32).tobytes()
+            cuts = (4 * np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(segments)))])).tolist()
+            odd_ones = set(odd.tolist())
+            out |= {s: raw[cuts[i] : cuts[i + 1]] for i, s in enumerate(segments) if i not in odd_ones}
+        return out
+
     def _accepts(self, a: int, b: int) -> bool:
         if len(self.known) >= MOST_PAIRS:
             self.known.clear()
@@ -222,23 +295,29 @@ class PieceTransducer:
         return ok
 
     def path(self, segment: str) -> bytes:
-        ids = self.memo.get(segment)
-        if ids is None:
-            found = self._only(segment) if self.merges and not self.weights else self._shortest(segment)
-            ids = array("i", found).tobytes()
-            if len(segment) <= MOST_CHARS:
-                if len(self.memo) >= MOST_SEGMENTS:
-                    self.memo.clear()
-                self.memo[segment] = ids
-        return ids
+        """Ids of one segment, without the memo."""
+        return array("i", self._only(segment) if self.merges and not self.weights else self._shortest(segment)).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; segments that aren't in the memo are searched together."""
+        normal = [self.normalise(t) for t in texts]
+        segments = [self.segment.findall(t) if self.segment else [t] * bool(t) for t in normal]
+        found = [list(map(self.memo.get, s)) for s in segments]
+        fresh = {s for own, ids in zip(segments, found) if None in ids for s, i in zip(own, ids) if i is None}
+        new: dict[str, bytes] = {}
+        if fresh:
+            short = [s for s in fresh if len(s) <= MOST_CHARS] if self.merges and not self.weights else []
+            for i in range(0, len(short), MOST_TOGETHER):
+                new |= self._together(short[i : i + MOST_TOGETHER])
+            new |= {s: self.path(s) for s in fresh if s not in new}
+            found = [[new[s] if i is None else i for s, i in zip(own, ids)] if None in ids else ids for own, ids in zip(segments, found)]
+            if len(self.memo) + len(new) > MOST_SEGMENTS:
+                self.memo.clear()
+            self.memo |= {s: i for s, i in new.items() if len(s) <= MOST_CHARS}
+        return [np.frombuffer(b"".join(ids), np.int32) for ids in found]
 
     def encode(self, text: str) -> np.ndarray:
-        normal = self.normalise(text)
-        segments = self.segment.findall(normal) if self.segment else [normal] * bool(normal)
-        found = list(map(self.memo.get, segments))
-        if None in found:
-            found = list(map(self.path, segments))
-        return np.frombuffer(b"".join(found), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The inverse transduction: pieces and bytes back to text, without the dummy prefix."""
@@ -260,8 +339,8 @@ def _machine(path: str) -> PieceTransducer:
 def _encoded(path: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(path)
-        for batch in small_batches(batches, 4 << 20):
-            ids = [machine.encode(t or "") for t in batch["text"].to_pylist()]
+        for batch in small_batches(batches, 2 << 20):
+            ids = machine.encode_all([t or "" for t in batch["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return rows
@@ -279,7 +358,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 def _decoded(path: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(path)
-        for batch in small_batches(batches, 4 << 20):
+        for batch in small_batches(batches, 2 << 20):
             texts = [machine.decode(i or []) for i in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -294,10 +373,10 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
 def _round_trip(path: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(path)
-        for batch in small_batches(batches, 4 << 20):
+        for batch in small_batches(batches, 2 << 20):
             n, crc, digest, same = [], [], [], []
-            for text in batch["text"].to_pylist():
-                ids = machine.encode(text or "")
+            texts = batch["text"].to_pylist()
+            for text, ids in zip(texts, machine.encode_all([t or "" for t in texts])):
                 back = machine.decode(ids.tolist())
                 n.append(len(ids))
                 crc.append(zlib.crc32(ids.astype("<u4").tobytes()))

@@ -94,6 +94,8 @@ def test_shortest_paths_are_the_library_ids(pieces, real_docs):
         assert own.decode(ids) == library.decode(ids)
     some = [w for t in texts for w in own.segment.findall(own.normalise(t))[:40] if len(w) < 200]
     assert all(own._shortest(w) == own._only(w) for w in some)
+    together = own._together(list(dict.fromkeys(some)))
+    assert all(np.frombuffer(together[w], np.int32).tolist() == list(own._only(w)) for w in some)
 
 
 def test_acceptor_leaves_one_path(pieces):
@@ -113,6 +115,7 @@ def test_acceptor_leaves_one_path(pieces):
         for t in map("".join, product("abc", repeat=n)):
             want = tuple(ranks[p] for p in merge(t))
             assert m._shortest(t) == m._only(t) == want, t
+            assert np.frombuffer(m._together([t])[t], np.int32).tolist() == list(want)
 
 
 def test_unigram_weights_give_the_lightest_path():
