@@ -27,7 +27,7 @@ from .graph import components
 PERMUTATIONS, ROWS = 120, 6
 #: Ids are broadcast up to this many (16 MB), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 

@@ -132,7 +132,8 @@ _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 MOST_WORDS = 1_000_000
 #: How byte-level models write bytes: printable ones as themselves, the rest, in order, from U+0100 on.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_BYTE_CHARS = {b: 0x100 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_OTHERS = [b for b in range(256) if b not in _PRINTED]
+_BYTE_CHARS = [chr(b if b in _PRINTED else 0x100 + _OTHERS.index(b)) for b in range(256)]
 
 
 class ByteTokenizer:
@@ -215,7 +216,7 @@ class ByteTokenizer:
             if len(self.memo) + len(fresh) > MOST_WORDS:
                 self.memo.clear()
             code = "H" if self.kind is np.uint16 else "I"
-            new = {w: array(code, [t.id for t in self.words(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_CHARS))]).tobytes() for w in fresh}
+            new = {w: array(code, [t.id for t in self.words("".join(map(_BYTE_CHARS.__getitem__, w.encode("utf-8", "surrogatepass"))))]).tobytes() for w in fresh}
             found = [new[w] if f is None else f for w, f in zip(words, found)]
             self.memo |= {w: f for w, f in new.items() if len(w) <= 64}
         return found
