@@ -459,7 +459,7 @@ def ends_summary(spark, d):
 @query(f"""with {SERIES}, k as (select user_id, value - lag(value) over (partition by user_id order by s) as dv, arg_max(value, s) over (partition by user_id) - arg_min(value, s) over (partition by user_id) as net from series)
   select user_id, round(max(abs(dv)), 5) as max_step, round(any_value(net), 5) + 0 as net, round(avg(case when sign(dv) = sign(net) then 1.0 when dv is not null then 0.0 end), 6) as consistency from k group by 1""")
 def step_summary(spark, d):
-    return _r(series.step_summary(_series(spark, d), ["user_id"], "s", "value"), "max_step", "net", "consistency", digits=5).withColumn("consistency", F.round("consistency", 6))
+    return _r(_r(series.step_summary(_series(spark, d), ["user_id"], "s", "value"), "max_step", "net", digits=5), "consistency", digits=6)
 
 
 @query(f"""with {SERIES}, b as (select user_id, cast(floor(hours / 24) as bigint) as day, avg(value) as v from series group by 1, 2), m as (select day, median(v) as m from b group by 1), o as (select user_id, day, v - m as off from b join m using (day)), p as (select day, 1.4826 * median(abs(off)) as sp from o group by 1)
@@ -600,10 +600,10 @@ def bh(spark, d):
 
 
 @query("""with p as (select o_orderkey, o_orderpriority as g, case when o_orderkey % 11 <> 0 then o_totalprice / 1e9 end as p from orders), r as (select *, count(p) over (partition by g) as n, row_number() over (partition by g order by p nulls last, o_orderkey) as k from p)
-  select o_orderkey, case when p is not null then round(least(max((n - k + 1) * p) over (partition by g order by k rows unbounded preceding), 1), 8) end as q from r""")
+  select o_orderkey, case when p is not null then round(least(max((n - k + 1) * p) over (partition by g order by k rows unbounded preceding), 1), 11) end as q from r""")
 def holm(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice") / 1e9).alias("p"))
-    return _r(stats.holm(o, ["o_orderpriority"], "p", "o_orderkey"), "q", digits=8).select("o_orderkey", "q")
+    return _r(stats.holm(o, ["o_orderpriority"], "p", "o_orderkey"), "q", digits=11).select("o_orderkey", "q")
 
 
 @query()
@@ -724,9 +724,9 @@ def pivot_lag(spark, d):
     return _t(spark, d, "events").groupBy("user_id").agg((of("click") - of("view")).alias("lag"))
 
 
-@query("""select event_type, time_bucket(interval '4 hours', ts, timestamp '1970-01-01') as "start", time_bucket(interval '4 hours', ts, timestamp '1970-01-01') + interval '4 hours' as "end", round(avg(value), 5) as mean, count(value) as n from events group by 1, 2, 3""")
+@query("""select event_type, time_bucket(interval '4 hours', ts, timestamp '1970-01-01') as "start", time_bucket(interval '4 hours', ts, timestamp '1970-01-01') + interval '4 hours' as "end", round(avg(value), 8) as mean, count(value) as n from events group by 1, 2, 3""")
 def tumbling(spark, d):
-    return _r(windows.fixed_bins(_t(spark, d, "events"), "ts", "event_type", "value", "4 hours"), "mean", digits=5)
+    return _r(windows.fixed_bins(_t(spark, d, "events"), "ts", "event_type", "value", "4 hours"), "mean", digits=8)
 
 
 @query("""with g as (select user_id, ts, case when ts >= lag(ts) over w + interval '6 hours' or lag(ts) over w is null then 1 else 0 end as new from events window w as (partition by user_id order by ts)),
