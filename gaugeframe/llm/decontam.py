@@ -14,13 +14,13 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, small_batches, written
+from .common import id_and_text, resident, small_batches, written
 
 #: Characters that are no part of a word: all of ASCII but digits and letters.
 SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -89,18 +89,15 @@ def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(chars(at[a][0]), chars(at[b - 1][1])) for a, b in spans]
 
 
-_MACHINES: dict[str, object] = {}
+def _scan(shared, key: str, whole: bool):
+    """Arrow function: for each document its words, merged word spans, character spans and items.
 
-
-def _scan(shared, key: str):
-    """Arrow function: for each document its words, merged word spans, character spans and items."""
+    ``whole``: there is one block, so the result follows at once.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _MACHINES:  # a Python worker runs many tasks
-            _MACHINES.clear()
-            _MACHINES[key] = _automaton(shared.value) if shared.value else None
-        machine = _MACHINES[key]
-        for batch in small_batches(batches):
+        machine = resident(("windows", key), lambda: _automaton(shared.value) if shared.value else None)
+        for batch in small_batches(batches, 4 << 20):
             n_words, spans, offsets, items = [], [], [], []
             for text in batch["text"].to_pylist():
                 words = _clean(words_of(text))
@@ -122,10 +119,11 @@ def _scan(shared, key: str):
                 spans.append([x for s in hit for x in s])
                 offsets.append([x for s in char_spans(text, hit) for x in s] if hit else [])
                 items.append(sorted(found))
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["row_key"], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))],
                 ["doc_id", "row_key", "n_words", "word_spans", "char_spans", "item_ids"],
             )
+            yield from _finish([out]) if whole else [out]
 
     return rows
 
@@ -133,7 +131,7 @@ def _scan(shared, key: str):
 _SCANNED = "doc_id long, row_key string, n_words long, word_spans array<long>, char_spans array<long>, item_ids array<long>"
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_hit, digests, spans = [], [], []
         for words, items in zip(batch["word_spans"].to_pylist(), batch["item_ids"].to_pylist()):
@@ -191,7 +189,7 @@ def benchmark_hits(
     for block in range(blocks):
         mine = patterns if blocks == 1 else patterns.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast({r["window"]: r["items"] for r in mine.collect()})
-        one = rows.mapInArrow(_scan(shared, f"{id(shared)}-{spark.sparkContext.applicationId}-{block}"), _SCANNED)
+        one = rows.mapInArrow(_scan(shared, f"{id(shared)}-{spark.sparkContext.applicationId}-{block}", blocks == 1), _FINISHED if blocks == 1 else _SCANNED)
         found = one if found is None else found.unionByName(one)
     if blocks > 1:
         many = found.groupBy("doc_id", "row_key").agg(
@@ -203,7 +201,8 @@ def benchmark_hits(
         )
         # each block returned every row once, so equal rows come `blocks` times each
         found = many.withColumn("again", F.explode(F.sequence(F.lit(1), (F.col("times") / blocks).cast("int")))).drop("times", "again")
-    return found.mapInArrow(_finish, _FINISHED).select(
+        found = found.mapInArrow(_finish, _FINISHED)
+    return found.select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "char_spans"
     )
 

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, small_batches, written
+from .common import id_and_text, resident, small_batches, written
 from .graph import components
 
 PERMUTATIONS, ROWS = 120, 6
 #: Ids are broadcast up to this many (16 MB), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
-MOST_WORDS = 200_000
+MOST_WORDS = 150_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -43,9 +43,6 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(29))
@@ -56,7 +53,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(resident("words", _Words).__getitem__, words), np.uint64, len(words))
     k = min(size, len(words))
     out = h[: len(h) - k + 1].copy()
     for j in range(1, k):
@@ -95,7 +92,7 @@ def _signed(size: int, permutations: int, rows_in_band: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in small_batches(batches, 4 << 20):
+        for batch in small_batches(batches, 2 << 20):
             sets = [shingle_set(t, size) for t in batch["text"].to_pylist()]
             full = [s for s in sets if len(s)]
             keys = iter(band_keys(signatures(full, permutations), rows_in_band).view(np.int64) if full else [])
@@ -114,7 +111,7 @@ def _signed(size: int, permutations: int, rows_in_band: int):
 
 def _full_sets(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 4 << 20):
+        for batch in small_batches(batches, 2 << 20):
             sets = [shingle_set(t, size).view(np.int64) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
@@ -148,6 +145,8 @@ def _across(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     c = cells.select("a", F.col("b").alias("c"), F.col("n_b").alias("n_c"), F.col("shared").alias("s_c"), F.col("component").alias("of_c"))
     lacking = part * (F.col("n_x") + F.col("n_c")) - most * F.least("s_x", "s_c")
     differ = (F.col("x") != F.col("c")) & (F.col("of_x") != F.col("of_c")) & (100 * F.least("n_x", "n_c") >= part * F.greatest("n_x", "n_c"))
+    # t is no more than what either has outside the lead
+    enough = lacking <= most * F.least(F.col("n_x") - F.col("s_x"), F.col("n_c") - F.col("s_c"))
     # possible at t = 0: only members within a span of sizes, found by bands of 5 %
     band = lambda n: F.floor(F.log(n) / F.log(F.lit(1.05))).cast("int")
     low, high = F.col("n_x") * (part / 100), F.col("s_x") * (most / part) - F.col("n_x")
@@ -159,7 +158,7 @@ def _across(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     outside = written(cells.select("a", "b").join(lead, "a").join(own, "b").select("a", "b", F.explode(F.array_except("of_b", "of_a")).alias("shingle")), "outside")
     of_x = x.join(outside.withColumnRenamed("b", "x"), ["a", "x"])
     of_c = c.join(outside.withColumnRenamed("b", "c"), ["a", "c"])
-    common = of_x.join(of_c, ["a", "shingle"]).where(differ & (lacking > 0)).groupBy("a", "x", "c").agg(F.count(F.lit(1)).alias("t"), F.first(lacking).alias("lacking"))
+    common = of_x.join(of_c, ["a", "shingle"]).where(differ & (lacking > 0) & enough).groupBy("a", "x", "c").agg(F.count(F.lit(1)).alias("t"), F.first(lacking).alias("lacking"))
     shingles = common.where(most * F.col("t") >= F.col("lacking")).select("x", "c")
     return sizes.unionByName(shingles).select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
 

@@ -26,11 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, small_batches
+from .common import id_and_text, resident, small_batches
 
 SPACE = "▁"
 #: Memo sizes of one Python worker; a full memo is emptied.
-MOST_SEGMENTS, MOST_PAIRS, MOST_CHARS = 400_000, 300_000, 48
+MOST_SEGMENTS, MOST_PAIRS, MOST_CHARS = 200_000, 200_000, 48
 #: Segments searched together.
 MOST_TOGETHER = 10_000
 
@@ -326,14 +326,9 @@ class PieceTransducer:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
-_LOADED: dict[str, PieceTransducer] = {}
-
-
 def _machine(path: str) -> PieceTransducer:
     """One compiled machine a Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = PieceTransducer.from_file(path)
-    return _LOADED[path]
+    return resident(("pieces", path), lambda: PieceTransducer.from_file(path))
 
 
 def _encoded(path: str):

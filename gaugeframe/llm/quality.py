@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, small_batches, written
+from .common import id_and_text, resident, short_batches, small_batches, written
 
 BLOCK_BYTES, DICT_BYTES, LEVEL = 512, 110_000, 3
 
@@ -68,7 +68,7 @@ def held_out(id_col: str = "doc_id"):
 
 def _some_blocks(most: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 4 << 20):
             ids, labels, blocks = [], [], []
             for i, y, text in zip(batch["doc_id"].to_pylist(), batch["label"].to_pylist(), batch["text"].to_pylist()):
                 own = _blocks(text)
@@ -92,8 +92,8 @@ def _dictionary(blocks: list[bytes]) -> tuple[bytes, bool]:
 
 def _raw_scores(model: Model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad = model.compressors()
-        for batch in small_batches(batches):
+        good, bad = resident(("quality", model.good, model.bad), model.compressors)
+        for batch in small_batches(batches, 4 << 20):
             x = np.array([difference(t, good, bad) for t in batch["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([batch["label"], pa.array(x, pa.float64())], ["label", "x"])
 
@@ -153,8 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _scores(model: Model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad = model.compressors()
-        for batch in small_batches(batches):
+        good, bad = resident(("quality", model.good, model.bad), model.compressors)
+        for batch in small_batches(batches, 4 << 20):
             p = model.probability(np.array([difference(t, good, bad) for t in batch["text"].to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(p, pa.float64())], ["doc_id", "score"])
 
@@ -173,8 +173,8 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 def _passing(model: Model, text_col: str, least: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad = model.compressors()
-        for batch in small_batches(batches):
+        good, bad = resident(("quality", model.good, model.bad), model.compressors)
+        for batch in small_batches(batches, 4 << 20):
             p = model.probability(np.array([difference(t, good, bad) for t in batch[text_col].to_pylist()]))
             yield batch.filter(pa.array(p >= least))
 
@@ -183,4 +183,5 @@ def _passing(model: Model, text_col: str, least: float):
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` without documents that score below ``least``: all columns, nothing shuffled."""
+    short_batches(docs.sparkSession)
     return docs.mapInArrow(_passing(model, text_col, least), docs.schema)

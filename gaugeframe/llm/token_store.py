@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, scratch_dir, small_batches
+from .common import id_and_text, resident, scratch_dir, small_batches
 
 END_ID = 2
 SEGMENT_IDS = 2_000_000
@@ -243,13 +243,8 @@ class ByteTokenizer:
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
-_LOADED: dict[str, ByteTokenizer] = {}
-
-
 def _tokenizer(path: str) -> ByteTokenizer:
-    if path not in _LOADED:
-        _LOADED[path] = ByteTokenizer(path)
-    return _LOADED[path]
+    return resident(("tokens", path), lambda: ByteTokenizer(path))
 
 
 _SEGMENT = "shard int, segment int, n_ids long, planes array<binary>, zeros array<long>, ranks array<binary>, doc_ids array<long>, doc_sizes array<long>"
