@@ -41,7 +41,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"), runs=True)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Secret scans, licence scans and decontamination against brute force."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -114,6 +115,50 @@ def test_license_units(make_docs):
     assert all(rows[i].n_matches == 0 and rows[i].license is None for i in range(4, 4 + len(ODD)))
 
 
+PUBLISHED = {
+    "mit": ["free of charge", "subject to the following conditions:", "substantial portions of the Software."],
+    "apache-2.0-header": ['Version 2.0 (the "License");', "compliance with the License.", "LICENSE-2.0", "distributed on an"],
+    "gpl-3.0-header": ["any later version.", "GNU General Public License", "PARTICULAR PURPOSE."],
+}
+
+
+@pytest.mark.parametrize("name", PUBLISHED)
+def test_licences_over_several_paragraphs(make_docs, name):
+    text = licenses.TEMPLATES[name]
+    for cut in PUBLISHED[name]:
+        text = text.replace(cut + " ", cut + "\n\n", 1)
+    assert text.count("\n\n") > 1
+    before, after = "An İntroduction to it.\n\n" + "some other words of prose " * 90 + "\n\n", "\n\n" + "then what comes after it " * 90
+    docs = make_docs([before + text + after, before + text + after + text + after, text[: len(text) // 3] + after, "words " * 50])
+    one, two, part, none = licenses.scan_licenses(docs, runs=True).orderBy("doc_id").collect()
+    at = len(before)
+    assert (one.license, one.dice) == (name, 1.0) and f"{name}:{at}:{at + len(text) - 1}" in one.spans.split(",")
+    again = at + len(text) + len(after)
+    assert f"{name}:{at}:{at + len(text) - 1}" in two.spans.split(",") and f"{name}:{again}:{again + len(text) - 1}" in two.spans.split(",")
+    assert f"{name}:" not in part.spans and none.n_matches == 0
+
+
+def test_notices_within_a_line(make_docs):
+    docs = make_docs(["Some text. All rights reserved. More", "İ (c) me, all  RIGHTS\nreserved; released under the MIT License. x", "all the rights are not reserved", "x\nAll Rights  RESERVED\ny", *ODD])
+    rows = [r.spans for r in licenses.scan_licenses(docs, runs=True).orderBy("doc_id").collect()]
+    assert rows == ["all-rights-reserved:11:30", "all-rights-reserved:10:30,mit-notice:22:65", "", "all-rights-reserved:2:22", *[""] * len(ODD)]
+    assert licenses.Matcher({"w": "wtfpl", "e": ""}, 0.8).scan("under WTFPL, or so", runs=True) == [(6, 11, "w", 1.0)]
+
+
+def test_runs_are_the_likest_of_all_stretches():
+    rng, words = random.Random(3), "a b c d e f".split()
+    for _ in range(300):
+        template, text = (" ".join(rng.choices(words, k=k)) for k in (rng.randint(2, 7), rng.randint(2, 25)))
+        own, n = licenses.bigrams(template), len(template.split()) - 1
+        split = text.split()
+        for threshold in (0.5, 0.8):
+            most = int((2 - threshold) / threshold * n + 1e-9)
+            stretches = [licenses.bigrams(" ".join(split[i:j])) for i in range(len(split)) for j in range(i + 2, min(len(split), i + most + 1) + 1)]
+            want = max((2 * len(own & s) / (len(own) + len(s)) for s in stretches), default=0)
+            got = max((r[3] for r in licenses.Matcher({"t": template}, threshold).runs(text)), default=0)
+            assert got == (want if want >= threshold else 0), (template, text)
+
+
 def brute_hits(text, items, size=13):
     split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in (t or ""))) if w]
     words, hit, found = split(text), set(), set()
