@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
@@ -186,10 +187,11 @@ def benchmark_hits(
     if blocks > 1:
         rows = rows.withColumn("row_key", F.md5("text"))
     found = None
+    call = uuid.uuid4().hex  # workers outlive calls, so the key must never come again
     for block in range(blocks):
         mine = patterns if blocks == 1 else patterns.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast({r["window"]: r["items"] for r in mine.collect()})
-        one = rows.mapInArrow(_scan(shared, f"{id(shared)}-{spark.sparkContext.applicationId}-{block}", blocks == 1), _FINISHED if blocks == 1 else _SCANNED)
+        one = rows.mapInArrow(_scan(shared, f"{call}-{block}", blocks == 1), _FINISHED if blocks == 1 else _SCANNED)
         found = one if found is None else found.unionByName(one)
     if blocks > 1:
         many = found.groupBy("doc_id", "row_key").agg(

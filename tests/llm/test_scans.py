@@ -203,3 +203,12 @@ def test_decontamination_offsets_and_repeated_rows(make_docs, spark):
     kept = decontam.decontaminate(docs, bench)
     assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["clean text", "x"]
     assert decontam.benchmark_hits(docs, bench.where("false")).where("n_hit > 0").count() == 0
+
+
+def test_another_benchmark_never_meets_an_old_automaton(make_docs, spark, monkeypatch):
+    monkeypatch.setattr(decontam, "id", lambda _: 1, raising=False)  # addresses may come again
+    docs = make_docs(["one two", "three four"])
+    for _ in range(2):
+        for k, text in enumerate(["one two", "three four"]):
+            rows = decontam.benchmark_hits(docs, spark.createDataFrame([(k, text)], "item_id long, text string")).collect()
+            assert {r.doc_id: r.n_hit for r in rows} == {k: 2, 1 - k: 0}
