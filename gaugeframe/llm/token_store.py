@@ -8,6 +8,7 @@ occurrence lookup by rank and select, without the ids being expanded.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -142,14 +143,24 @@ class ByteTokenizer:
     The library's byte-level split cuts a text into words that it encodes one by one. The same cuts
     are found here for many texts at once with array operations on character classes; the library
     itself tells the class of each new character and the ids of each new word.
+
+    ``encode_special_tokens`` is the library's flag: if true, special tokens that stand in a text are
+    cut like any other characters; if false, as the library is loaded, they are ids of their own. Added
+    tokens that aren't special are always ids of their own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = encode_special_tokens
+        added = self.model.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items() if not (encode_special_tokens and t.special)}
+        #: At one place the longest added token counts, also one that is then cut like other text.
+        self.cut = re.compile("|".join(map(re.escape, sorted((t.content for t in added.values()), key=len, reverse=True)))) if self.added else None
+        #: If false, some take blanks with them or must be whole words: such texts go to the library.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
         self.words = self.model.model.tokenize
         self.split = ByteLevel(add_prefix_space=False, use_regex=True)
         self.kind = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
@@ -223,6 +234,32 @@ class ByteTokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
+        marked = [k for k, t in enumerate(texts) if self.cut.search(t)] if self.cut else []
+        if not marked:
+            return self._encode(texts)
+        if not self.plain:
+            theirs = set(marked)
+            own = self._encode(["" if k in theirs else t for k, t in enumerate(texts)])
+            for k in marked:
+                own[k] = np.array(self.model.encode(texts[k], add_special_tokens=False).ids, self.kind)
+            return own
+        # texts between added tokens are cut on their own
+        parts, tokens, ends = [], [], []
+        for t in texts:
+            at = 0
+            for m in self.cut.finditer(t):
+                if m[0] in self.added:
+                    parts.append(t[at : m.start()])
+                    tokens.append([self.added[m[0]]])
+                    at = m.end()
+            parts.append(t[at:])
+            tokens.append([])
+            ends.append(len(parts))
+        pieces = [np.append(ids, np.array(token, self.kind)) for ids, token in zip(self._encode(parts), tokens)]
+        return [np.concatenate(pieces[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without added tokens."""
         lengths = np.array([len(t) for t in texts], np.int64)
         text = "".join(texts)
         begins = np.cumsum(lengths) - lengths
@@ -243,8 +280,8 @@ class ByteTokenizer:
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
-def _tokenizer(path: str) -> ByteTokenizer:
-    return resident(("tokens", path), lambda: ByteTokenizer(path))
+def _tokenizer(path: str, encode_special_tokens: bool) -> ByteTokenizer:
+    return resident(("tokens", path, encode_special_tokens), lambda: ByteTokenizer(path, encode_special_tokens))
 
 
 _SEGMENT = "shard int, segment int, n_ids long, planes array<binary>, zeros array<long>, ranks array<binary>, doc_ids array<long>, doc_sizes array<long>"
@@ -262,9 +299,9 @@ def _segment(shard: int, segment: int, docs: list, ids: list[np.ndarray]) -> pa.
     )
 
 
-def _shards(path: str, end_id: int, most: int):
+def _shards(path: str, end_id: int, most: int, encode_special_tokens: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, shard, segment = _tokenizer(path), TaskContext.get().partitionId(), 0
+        tokenizer, shard, segment = _tokenizer(path, encode_special_tokens), TaskContext.get().partitionId(), 0
         end = np.array([end_id], tokenizer.kind)
         docs, ids, held = [], [], 0
         for batch in small_batches(batches, 4 << 20):
@@ -282,15 +319,16 @@ def _shards(path: str, end_id: int, most: int):
     return rows
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, out_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> None:
+def write_token_files(docs: DataFrame, tokenizer_path: str, out_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, encode_special_tokens: bool = True) -> None:
     """Encode every document, append ``end_id``, and write shards in ascending document order.
 
     Null and empty texts become the end id alone. Null ids come first; documents that share an id are
     ordered by their texts. Further columns are ignored; an empty table gives a folder of no rows.
+    ``encode_special_tokens``: as for ``ByteTokenizer``.
     """
     rows = id_and_text(docs, id_col, text_col)
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(_shards(tokenizer_path, end_id, segment_ids), _SEGMENT).write.option("compression", "zstd").parquet(out_path)
+    ordered.mapInArrow(_shards(tokenizer_path, end_id, segment_ids, encode_special_tokens), _SEGMENT).write.option("compression", "zstd").parquet(out_path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Token files and the SentencePiece transducer against the libraries, round trips and brute force."""
 
+import tempfile
 import zlib
 from itertools import product
 
@@ -8,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import piece_fst, token_store
+from gaugeframe.llm import piece_fst, queries, token_store
 from gaugeframe.llm.common import scratch_dir
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -33,6 +34,38 @@ def test_word_cuts_give_the_library_ids(library, real_docs):
     assert [g.tolist() for g in got] == library(texts)
 
 
+MARKED = ["a<|endoftext|>b", "<|endoftext|>", "a <|endoftext|> don<|endoftext|>'t  <|endoftext|><|endoftext|>", "<|endoftext|", "<|endoftext|>\n x"]
+
+
+def test_added_tokens_are_ids_of_their_own(real_docs):
+    from tokenizers import AddedToken, Tokenizer
+
+    library, own = Tokenizer.from_file(BPE), token_store.ByteTokenizer(BPE, encode_special_tokens=False)
+    texts = ODD + MARKED + [r.text for r in real_docs.collect()]
+    assert [g.tolist() for g in own.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode(MARKED[:1])[0].tolist() == [64, 50256, 65]
+    for how in ({}, {"lstrip": True, "rstrip": True}, {"single_word": True}):
+        path = f"{tempfile.mkdtemp(prefix='spark-')}/t.json"
+        library = Tokenizer.from_file(BPE)
+        library.add_tokens([AddedToken("end", normalized=False, **how), AddedToken("endo", normalized=False, **how)])
+        library.save(path)
+        for flag in (False, True):
+            library.encode_special_tokens = flag
+            texts = ODD + MARKED + ["an end of endoend  endo x", "bend"]
+            assert [g.tolist() for g in token_store.ByteTokenizer(path, flag).encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_the_query_takes_added_tokens(spark, make_docs):
+    from tokenizers import Tokenizer
+
+    folder = tempfile.mkdtemp(prefix="spark-")
+    make_docs(MARKED).write.parquet(f"{folder}/documents.parquet")
+    ids = [np.array([*e.ids, 2], "<u4") for e in Tokenizer.from_file(BPE).encode_batch(MARKED, add_special_tokens=False)]
+    ends = np.cumsum([len(i) for i in ids]).tolist()
+    got = sorted(map(tuple, queries.op6_token_files(spark, folder).collect()))
+    assert got == [(k, end - len(i), len(i), zlib.crc32(i.tobytes())) for k, (i, end) in enumerate(zip(ids, ends))]
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 511, 512, 513, 5000])
 def test_wavelet_matrix(n):
     ids = np.random.default_rng(n).integers(0, 700, n).astype(np.uint16)
