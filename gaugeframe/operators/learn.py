@@ -82,10 +82,14 @@ def chosen_features(x: DataFrame, labels: DataFrame, row: str, feature: str, val
     return counts.crossJoin(F.broadcast(null)).select(feature, "n", "n_shuffled", F.try_divide(F.col("n") - F.col("_m"), F.col("_s")).alias("z"))  # one row on the right
 
 
-def batch_neighbours(df: DataFrame, id_col: str, batch: str, vector: str, batches: Sequence, k: int) -> DataFrame:
-    """Each row's k nearest rows within every batch, so that no batch crowds out another."""
+def batch_neighbours(df: DataFrame, id_col: str, batch: str, vector: str, batches: Sequence, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """Each row's k nearest rows within every batch, so that no batch crowds out another.
+
+    ``queries``: the rows to find neighbours of, where not all of ``df``.
+    """
+    queries = df if queries is None else queries
     found = None
     for b in batches:
-        one = joins.knn(df, df.where(F.col(batch) == b), id_col, vector, k).withColumn("batch", F.lit(b))
+        one = joins.knn(queries, df.where(F.col(batch) == b), id_col, vector, k).withColumn("batch", F.lit(b))
         found = one if found is None else found.unionByName(one)
     return found

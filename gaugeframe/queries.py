@@ -362,14 +362,14 @@ def marker_weights(spark, d):
 
 @query()
 def batch_neighbours(spark, d):
-    e = _t(spark, d, "embeddings").where("vec_id % 50 = 0").withColumn("batch", (F.col("vec_id") % 100 == 0).cast("int"))
-    return learn.batch_neighbours(e, "vec_id", "batch", "embedding", [0, 1], 3)
+    e = _t(spark, d, "embeddings").withColumn("batch", (F.col("vec_id") % 100 < 50).cast("int"))
+    return learn.batch_neighbours(e, "vec_id", "batch", "embedding", [0, 1], 3, e.where("vec_id % 50 = 0"))
 
 
 @query()
 def communities(spark, d):
     e = _t(spark, d, "embeddings")
-    near = joins.knn(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 6).where("q != r")
+    near = joins.knn(e, e, "vec_id", "embedding", 6).where("q != r")  # all rows: distances grow with their square
     return learn.communities(near.select(F.col("q").alias("a"), F.col("r").alias("b"), (1 / (1 + F.col("distance"))).alias("weight")), 4)
 
 
