@@ -75,7 +75,14 @@ MOST_STRINGS = 64
 
 
 def _trigrams(strings: set[str]) -> object:
-    return _join("or", [_join("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in strings])
+    """Trigrams are of UTF-8 bytes, as the index is; each byte is written as one character."""
+    raw = [s.encode("utf-8", "surrogatepass").decode("latin-1") for s in strings]
+    return _join("or", [_join("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in raw])
+
+
+def _folded(code: int) -> str:
+    """The index folds A-Z and nothing else."""
+    return chr(code + 32) if 0x41 <= code <= 0x5A else chr(code)
 
 
 def _small_class(arg) -> set[str] | None:
@@ -83,9 +90,9 @@ def _small_class(arg) -> set[str] | None:
     chars: set[str] = set()
     for kind, v in arg:
         if kind is op.LITERAL:
-            chars.add(chr(v).lower())
+            chars.add(_folded(v))
         elif kind is op.RANGE and v[1] - v[0] < 8:
-            chars |= {chr(c).lower() for c in range(v[0], v[1] + 1)}
+            chars |= {_folded(c) for c in range(v[0], v[1] + 1)}
         else:
             return None
     return chars if len(chars) <= 8 else None
@@ -100,7 +107,7 @@ def _walk(nodes) -> tuple[set[str] | None, object]:
         strings: set[str] | None = None
         own: object = True
         if code is op.LITERAL:
-            strings = {chr(arg).lower()}
+            strings = {_folded(arg)}
         elif code is op.IN:
             strings = _small_class(arg)
         elif code is op.SUBPATTERN:
@@ -125,9 +132,25 @@ def _walk(nodes) -> tuple[set[str] | None, object]:
     return (run if exact else None), _join("and", [query, _trigrams(run)])
 
 
+def _any_case(nodes) -> bool:
+    """Whether some group of the parsed expression is set to ignore case."""
+    for code, arg in nodes:
+        if code is op.SUBPATTERN and (arg[1] & re.IGNORECASE or _any_case(arg[3])):
+            return True
+        if code is op.BRANCH and any(map(_any_case, arg[1])) or code in (op.MAX_REPEAT, op.MIN_REPEAT) and _any_case(arg[2]):
+            return True
+    return False
+
+
 def trigram_query(pattern: str) -> object:
-    """The Boolean trigram query of a regular expression; True where none is mandatory."""
-    return _walk(_parser.parse(pattern))[1]
+    """The Boolean trigram query of a regular expression; True where none is mandatory.
+
+    An expression that ignores case has none: letters beyond A-Z also match other cases of theirs.
+    """
+    nodes = _parser.parse(pattern)
+    if nodes.state.flags & re.IGNORECASE or _any_case(nodes):
+        return True
+    return _walk(nodes)[1]
 
 
 def _named(query: object) -> set[str]:
@@ -145,7 +168,7 @@ class Index:
 
     def __init__(self, trigrams: list[str]):
         self.slots = {t: i for i, t in enumerate(trigrams)}
-        self.table = np.zeros(1 << 24, np.uint8)  # trigram code -> slot + 1
+        self.table = np.zeros(1 << 24, np.min_scalar_type(len(trigrams)))  # trigram code -> slot + 1
         for t, i in self.slots.items():
             a, b, c = t.encode("latin-1")
             self.table[a << 16 | b << 8 | c] = i + 1

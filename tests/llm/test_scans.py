@@ -68,6 +68,16 @@ def test_every_match_satisfies_its_trigram_query():
     assert secrets.trigram_query("x*abc|q") is True
 
 
+def test_rules_beyond_ascii(make_docs):
+    rules = [secrets.Rule("cle", "clé_[a-z]{8,}", 0, 1), secrets.Rule("key", "密钥:[0-9]+", 0, 1), secrets.Rule("case", "(?i)ÉTÉ[0-9]+", 0, 1), secrets.Rule("part", "x(?i:É)yz", 0, 1), secrets.Rule("up", "ÉAB", 0, 1)]
+    rules += [secrets.Rule(f"r{i}", f"{chr(97 + i % 26)}{chr(97 + i // 26)}q{i}", 0, 1) for i in range(400)]
+    text = "a clé_abcdefghij 密钥:123 été77 ÉTÉ5 xéyz ÉAB éAB bbq27 " + "zoq389"
+    got = secrets.scan_secrets(make_docs([text, None]), more_rules=tuple(rules)).orderBy("doc_id").collect()
+    want = sorted((m.start(), k, m.end(), r.kind) for k, r in enumerate(rules) for m in re.finditer(r.pattern, text))
+    assert got[0].spans == ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in want) and len(want) == 8
+    assert got[1].spans == ""
+
+
 def test_more_rules_only_add_spans(make_docs):
     rows = secrets.scan_secrets(make_docs(SECRET_TEXTS)).collect()
     kinds = {s.split(":")[0] for r in rows for s in r.spans.split(",") if s}
