@@ -5,8 +5,8 @@ cut into short blocks, each compressed by itself with either dictionary, so that
 weigh on every part of a long text. The difference of the two summed sizes over their total is the
 raw figure; a logistic curve fitted on other labelled documents turns it into a probability.
 
-Fitting takes a bounded sample: ``per_class`` labelled documents of either class, chosen by hash, half
-for the dictionaries and half for the curve.
+Fitting takes a bounded sample: ``per_class`` labelled documents of either class, chosen by hash. Up to
+half of them, whole texts of ``dictionary_bytes`` together, make a dictionary; the rest fit the curve.
 """
 
 from __future__ import annotations
@@ -66,19 +66,24 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def _some_blocks(most: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 4 << 20):
-            ids, labels, blocks = [], [], []
-            for i, y, text in zip(batch["doc_id"].to_pylist(), batch["label"].to_pylist(), batch["text"].to_pylist()):
-                own = _blocks(text)
-                own = own[:: -(-len(own) // most)] if own else []
-                ids += [i] * len(own)
-                labels += [y] * len(own)
-                blocks += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(blocks, pa.binary())], ["doc_id", "label", "block"])
+def _all_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches, 4 << 20):
+        labels, blocks = [], []
+        for y, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist()):
+            own = _blocks(text)
+            labels += [y] * len(own)
+            blocks += own
+        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(blocks, pa.binary())], ["label", "block"])
 
-    return rows
+
+def _for_dictionary(rows: list[tuple[int, int]], most: int) -> set[int]:
+    """Ids of whole texts, in the order given, of ``most`` bytes together; half of the rows at most."""
+    out: set[int] = set()
+    for doc, size in rows:
+        if len(out) < (len(rows) + 1) // 2 and size <= most:
+            out.add(doc)
+            most -= size
+    return out
 
 
 def _dictionary(blocks: list[bytes]) -> tuple[bytes, bool]:
@@ -117,11 +122,11 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return float(w[0]), float(w[1] / scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3000, blocks_per_doc: int = 24) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3000, dictionary_bytes: int = 8 << 20) -> Model:
     """Learn from labelled documents that aren't held out.
 
-    At most ``2 * per_class`` label rows and, of the documents for the dictionaries, evenly spaced
-    ``blocks_per_doc`` blocks each reach the driver; the curve's documents are scored whole, on the
+    At most ``2 * per_class`` label rows reach the driver and, for either dictionary, whole texts of
+    up to ``dictionary_bytes``; the other documents are for the curve and are scored whole, on the
     executors. The curve weighs the classes as they occur among the labels. Null labels and null ids
     are left out. With one class missing, every score is that of the label counts alone.
     """
@@ -137,8 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # at most 2 * per_class rows of two numbers
     sample = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, label int")
     texts = written(id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id"), "labelled")
-    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
-    rows = texts.where(half).mapInArrow(_some_blocks(blocks_per_doc), "doc_id long, label int, block binary").orderBy(F.xxhash64("block"), "doc_id").collect()
+    sizes = texts.select("doc_id", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(order, "doc_id").collect()
+    ids = set().union(*(_for_dictionary(list({r["doc_id"]: r["size"] for r in sizes if r["label"] == y}.items()), dictionary_bytes) for y in (0, 1)))
+    half = F.col("doc_id").isin(sorted(ids)) if ids else F.lit(False)
+    rows = texts.where(half).mapInArrow(_all_blocks, "label int, block binary").orderBy(F.xxhash64("block"), "block").collect()
     model = Model(*(_dictionary([bytes(r["block"]) for r in rows if r["label"] == y]) for y in (1, 0)))
     scored = texts.where(~half).mapInArrow(_raw_scores(model), "label int, x double").collect()
     if len({r["label"] for r in scored}) < 2:  # so few labels that one half lacks a class

@@ -25,6 +25,29 @@ def test_held_out_accuracy_and_ranking(fitted):
     assert sum(g >= 0.5 for g in good) / len(good) > 0.97
 
 
+def test_scores_match_an_independent_scorer(fitted, real_docs):
+    """Block by block with the library itself, from the dictionaries' bytes and the curve."""
+    import math
+
+    import zstandard
+
+    docs, _, model = fitted
+    assert not model.good[1] and not model.bad[1]
+    sides = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d, _ in (model.good, model.bad)]
+    rows = {r.doc_id: r for r in quality.score_quality(real_docs, model).collect()}
+    for d in real_docs.collect():
+        raw = (d.text or "").encode()
+        good, bad = (sum(len(c.compress(raw[i : i + 512])) for i in range(0, len(raw), 512)) for c in sides)
+        x = (bad - good) / (good + bad) if raw else 0.0
+        p = 1 / (1 + math.exp(-(model.a + model.b * x)))
+        assert abs(rows[d.doc_id].score - p) < 1e-9 and rows[d.doc_id].predicted == (p >= 0.5)
+
+
+def test_dictionary_takes_whole_texts_within_its_bound():
+    assert quality._for_dictionary([(1, 50), (2, 70), (3, 40), (4, 5), (5, 1), (6, 1)], 100) == {1, 3, 4}
+    assert quality._for_dictionary([(1, 500)], 100) == set() and quality._for_dictionary([], 9) == set()
+
+
 def test_fold_and_bounds(fitted):
     docs, _, model = fitted
     rows = quality.score_quality(docs, model).collect()
