@@ -1,89 +1,155 @@
 """A small labelled URL table to train the URL filter on: 1 is a page to block."""
 
-# Invented addresses; hosts under reserved names or of no particular site.
+# Addresses made up for this table under reserved names, from what spam and ordinary sites
+# commonly call themselves. None is taken from a table that the filter judges.
 BLOCKED = """
-http://cheap-pills.shop.example/buy/viagra-online
-https://www.cheap-pills.example.com/en/12
-http://best-pills-online.example.net/order/cialis
-https://pills-discount.example.org/en/sale
-https://discount-pharmacy.example.com/no-prescription
-http://online-pharmacy.example.net/cheap/meds
-https://spam-farm.example.com/en/1
-http://spam-farm.example.net/fr/22
-https://www.spam-links.example.org/links/page2
-https://blog.spam-network.example.com/en/seo-links
-http://link-farm.example.net/en/directory
-https://seo-link-farm.example.org/backlinks
-http://casino-bonus.example.com/free-spins
-https://www.online-casino.example.net/en/slots
-https://m.casino-jackpot.example.org/poker
-http://poker-bets.example.com/bet/now
-https://sports-betting.example.net/odds/bonus
-https://win-money-fast.example.org/en/cash
-http://free-money.example.com/claim/prize
-https://get-rich-quick.example.net/en/offer
-https://payday-loans.example.com/apply-now
-http://fast-loans.example.org/en/cash-advance
-https://xxx-videos.example.com/en/watch
-http://adult-cams.example.net/live
-https://hot-xxx.example.org/porn/1
-https://porn-tube.example.com/video/88
-http://sexy-dating.example.net/singles
-https://replica-watches.example.com/rolex-cheap
-http://fake-bags.example.org/replica/louis
-https://cheap-bags-outlet.example.net/sale/discount
-http://warez-download.example.com/crack/keygen
-https://free-cracks.example.net/serial/keygen
-https://torrent-warez.example.org/full-crack
-http://click-here-now.example.com/prize/winner
-https://weight-loss-miracle.example.net/diet-pills
-http://miracle-diet.example.org/lose-fat-fast
-https://crypto-doubler.example.com/earn/bitcoin
-http://bitcoin-giveaway.example.net/free/claim
-https://buy-followers.example.org/cheap/likes
-http://essay-writers-cheap.example.com/buy-essay
+http://grand-casino-slots.example.com/free-spins
+https://casino-royale-bonus.example.net/en/slots/jackpot
+https://www.vegas-casino-online.example.org/roulette
+http://jackpot-casino.example.org/signup-bonus
+https://live-poker-bonus.example.net/tables
+http://poker-jackpot-room.example.com/bonus/deposit
+https://betting-bonus.example.com/odds/today
+https://football-betting-tips.example.org/sure-win
+http://m.bet-and-win-slots.example.net/en/bonus
+https://viagra-without-prescription.example.com/order
+http://generic-viagra-online.example.net/buy
+https://www.buy-cialis-online.example.org/discount
+http://cialis-generic.example.com/no-prescription
+https://rx-pharmacy-discount.example.net/order/generic
+http://canadian-pharmacy-online.example.com/buy/meds
+https://diet-pills-miracle.example.org/order-now
+http://slimming-pills-shop.example.net/lose-weight-fast
+https://weight-loss-miracle.example.com/lose-20-pounds
+http://miracle-weight-loss-tea.example.org/buy-now
+https://payday-loans-instant.example.com/apply-now
+http://instant-cash-loans.example.net/no-credit-check
+https://quick-payday-cash.example.org/apply
+http://bad-credit-loans-instant.example.com/en/apply-now
+https://xxx-adult-videos.example.net/free
+http://free-xxx-porn.example.com/watch/1203
+https://porn-videos-hd.example.org/category/amateur
+http://adult-webcam-girls.example.com/live
+https://hot-girls-webcam.example.net/join-free
+http://adult-dating-singles.example.org/join-free
+https://meet-hot-singles.example.com/signup
+http://escort-girls-adult.example.net/booking
+https://replica-handbags-outlet.example.com/sale
+http://replica-rolex-watches.example.org/discount
+https://luxury-replica-outlet.example.net/handbags
+http://designer-outlet-discount.example.com/sale/replica
+https://full-version-crack.example.org/keygen/download
+http://software-keygen-crack.example.com/serial
+https://warez-full-download.example.net/crack
+http://serial-keygen-archive.example.org/warez
+https://free-movies-torrent-download.example.com/full-hd
+http://torrent-warez-movies.example.net/download
+https://double-your-bitcoin.example.org/invest
+http://bitcoin-investment-profit.example.com/double
+https://crypto-profit-robot.example.net/signup-bonus
+http://forex-profit-robot.example.org/make-money
+https://make-money-from-home-fast.example.com/join-free
+http://earn-cash-from-home.example.net/easy-money
+https://easy-money-online.example.org/earn
+http://claim-your-free-prize.example.com/winner
+https://free-gift-card-winner.example.net/claim
+http://iphone-winner-prize.example.org/claim-now
+https://www.lottery-winner-claim.example.com/prize
+http://buy-backlinks-seo.example.net/packages
+https://seo-backlinks-cheap.example.org/buy
+http://buy-instagram-followers.example.com/cheap
+https://cheap-followers-likes.example.net/buy
+http://cheap-essay-service.example.org/buy-essay
+https://buy-essay-papers-online.example.com/order
 """
 ALLOWED = """
-https://www.stone.example.com/en/148.html
-http://blog.river.example.net/en/960
-https://m.house.example.net/en/25#top
-https://thinking.example.org/en/770
-http://garden.example.com/fr/825?page=2
-https://weather.example.net/de/612
-https://history.example.org/es/247/
-http://www.library.example.com/catalogue/item/301
-https://news.example.net/2021/05/local-council-meets
-https://docs.example.org/guide/install.html
-http://university.example.net/physics/lectures/4
-https://museum.example.com/visit/opening-hours
-https://blog.cooking.example.org/recipes/bread
-http://forum.bikes.example.net/topic/1882
-https://wiki.maps.example.com/page/Rivers_of_France
-https://science.example.org/articles/cell-biology
-http://www.school.example.com/timetable
-https://music.example.net/artists/strings
-https://travel.example.org/en/italy/rome
-http://city.example.com/services/water
-https://research.example.net/papers/2019/17
-https://health.example.org/advice/sleep
-http://blog.farming.example.com/soil/compost
-https://sports.example.net/results/rowing
-https://www.theatre.example.org/programme
-http://api.tools.example.com/reference/v2/list
-https://astronomy.example.net/planets/saturn
-https://law.example.org/acts/1998/42
-http://m.trains.example.com/timetables/north
-https://art.example.net/gallery/prints
-https://ththre.example.com/fr/12
-http://ththing.example.net/en/469
-https://theran.example.org/de/51
-http://tionble.example.com/es/797#top
-https://www.tionsh.example.net/en/334/
-https://eneau.example.org/fr/77.html
-http://ciondo.example.com/es/914
-https://heiten.example.net/de/3?utm_source=feed
-https://blog.lichung.example.org/de/42
-http://ouelle.example.com/fr/8?page=2&ref=x
+https://www.county-library.example.org/opening-hours
+http://library.hillside-college.example.com/catalogue/search
+https://archive.town-museum.example.net/collections/pottery
+https://museum-of-glass.example.org/visit
+http://www.national-gallery.example.com/exhibitions/2019
+https://natural-history.example.net/fossils/ammonites
+https://news.evening-post.example.com/2021/05/council-budget
+http://www.daily-courier.example.org/politics/election-results
+https://weekly-herald.example.net/sport/rowing-results
+https://local-news.example.com/weather/forecast
+http://weather-service.example.org/forecast/north
+https://climate-data.example.net/stations/1042
+https://docs.photo-editor.example.com/guide/install.html
+http://docs.mailserver.example.org/manual/configuration
+https://developer.map-tools.example.net/reference/api
+https://wiki.gardeners.example.org/page/Tomato
+http://wiki.railways.example.com/page/Branch_line
+https://forum.woodworkers.example.net/topic/1882
+https://forum.cyclists.example.org/threads/winter-tyres
+http://questions.programmers.example.com/questions/40112/how-to-sort-a-list
+https://physics.river-university.example.org/lectures/4
+http://www.river-university.example.org/admissions
+https://chemistry.lake-university.example.net/staff/publications
+https://math.lake-university.example.net/seminars/algebra
+https://journal-of-botany.example.com/articles/2018/17
+http://papers.economics-institute.example.org/working/204
+https://medical-school.example.net/departments/cardiology
+https://health-advice.example.org/conditions/asthma
+http://city-hospital.example.com/patients/appointments
+https://www.city-council.example.org/services/recycling
+http://parks.city-council.example.org/bookings
+https://tax-office.example.net/forms/annual-return
+https://parliament-records.example.org/debates/1998/march
+http://law-reports.example.com/cases/appeal/77
+https://legal-aid.example.net/advice/housing
+https://village-school.example.org/term-dates
+http://primary-school.example.com/news/spring-fair
+https://music-conservatory.example.net/concerts/strings
+https://orchestra.example.org/season/programme
+http://folk-songs.example.com/lyrics/the-miller
+https://poetry-archive.example.org/poets/a-z
+https://classic-novels.example.net/chapters/12
+http://bread-recipes.example.com/sourdough
+https://family-kitchen.example.org/recipes/lentil-soup
+https://blog.hill-walker.example.net/2016/10/autumn-ridge
+http://blog.beekeeper.example.com/posts/swarming
+https://bird-watching.example.org/species/heron
+https://farm-diary.example.net/soil/compost
+http://train-timetables.example.com/routes/coast
+https://harbour-ferries.example.org/timetable/summer
+https://travel-notes.example.net/italy/rome
+https://walking-tours.example.com/en/old-town
+http://astronomy-club.example.org/planets/saturn
+https://space-agency.example.net/missions/orbiter
+https://chess-club.example.com/openings/french
+http://rowing-club.example.org/members
+https://football-league.example.net/fixtures
+https://language-school.example.com/fr/cours
+http://tourist-office.example.org/de/museen
+https://film-society.example.net/es/programa
+https://genealogy-records.example.com/parish/1851
+http://coin-collectors.example.org/catalogue/roman
+https://hardware-store.example.net/products/hinges
+https://bookshop.example.com/authors/history
+http://bicycle-repairs.example.org/prices
+https://bakery.example.net/about
+http://www.plumber-directory.example.com/contact
+https://charity-shop.example.org/donate
+https://open-data.example.net/datasets/rainfall
+http://statistics-office.example.com/tables/population
+https://software-foundation.example.org/projects/compiler
+http://mirror.software-foundation.example.org/releases/4.2
+https://crossword-puzzles.example.net/archive
+https://knitting-patterns.example.com/scarves
+http://dictionary.example.org/words/lantern
+https://encyclopedia.example.net/articles/volcano
+http://translation-bureau.example.com/services
+https://architects.example.org/portfolio/schools
+http://photo-club.example.net/galleries/landscape
+https://theatre.example.com/tickets/hamlet
+http://cinema.example.org/showtimes
+https://radio-station.example.net/schedule
+http://podcast.example.com/episodes/31
+https://veterinary-clinic.example.org/advice/cats
+https://insurance-office.example.net/claims/form
+http://post-office.example.com/tracking
+https://bank-branch.example.org/accounts/savings
 """
 
 

@@ -43,7 +43,7 @@ def grams(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(*(F.transform(g, seeded(k // len(SIZES))) for k, g in enumerate(found))))
 
 
-def train(spark: SparkSession, table: DataFrame | None = None, ridge: float = 0.002) -> tuple[list[float], float]:
+def train(spark: SparkSession, table: DataFrame | None = None, ridge: float = 0.0005) -> tuple[list[float], float]:
     """Weights by hash bin and the intercept, from a small table of (url, label); 1 means block.
 
     Null labels are left out. Without both labels the weights are 0 and the intercept gives the
@@ -57,9 +57,8 @@ def train(spark: SparkSession, table: DataFrame | None = None, ridge: float = 0.
     if len(kinds) < 2:
         return [0.0] * BINS, {frozenset([1.0]): 5.0, frozenset([0.0]): -5.0}.get(frozenset(kinds), 0.0)
     bins = CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=BINS, binary=True).fit(table)
-    rows = Normalizer(inputCol="counts", outputCol="features").transform(bins.transform(table)).select("label", "features").coalesce(1).cache()
+    rows = Normalizer(inputCol="counts", outputCol="features").transform(bins.transform(table)).select("label", "features").coalesce(1)
     model = LogisticRegression(maxIter=40, regParam=ridge, standardization=False).fit(rows)
-    rows.unpersist()
     weights = [0.0] * BINS
     for name, weight in zip(bins.vocabulary, model.coefficients):
         weights[int(name)] = float(weight)
