@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a weighted finite-state transduction.
 
-Three machines are compiled from a model file: the normaliser (space escaping, dummy prefix, space
-collapsing), the piece transducer (a path from characters to piece ids, with byte arcs for characters
+Three machines are compiled from a model file: the normaliser (character rules, space collapsing, dummy
+prefix, space escaping), the piece transducer (a path from characters to piece ids, with byte arcs for characters
 that no piece covers) and a bigram acceptor over pieces. A text's ids label the shortest path, in the
 tropical semiring, of their composition. A unigram model weighs piece arcs by its negated scores and
 accepts every bigram. A byte-pair model weighs all arcs 0 and its acceptor gives infinity to a bigram
@@ -35,6 +35,69 @@ MOST_SEGMENTS, MOST_PAIRS, MOST_CHARS = 200_000, 200_000, 48
 MOST_TOGETHER = 10_000
 
 
+def _rules(charsmap: bytes) -> dict[str, str]:
+    """The arcs of a model's character map: each source string and what is written for it.
+
+    The map is a double-array trie over bytes, then the targets, each ended by a zero byte.
+    """
+    if not charsmap:
+        return {}
+    size = int.from_bytes(charsmap[:4], "little")
+    units, targets = np.frombuffer(charsmap[4 : 4 + size], "<u4").tolist(), charsmap[4 + size :]
+    reach = lambda unit: (unit >> 10) << ((unit & 1 << 9) >> 6)
+    rules: dict[str, str] = {}
+    todo = [(reach(units[0]), b"")]
+    while todo:
+        at, source = todo.pop()
+        for byte in range(1, 256):
+            here = at ^ byte
+            if here < len(units) and units[here] & 0x800000FF == byte:
+                beyond = here ^ reach(units[here])
+                spelt = source + bytes([byte])
+                if units[here] >> 8 & 1:
+                    begin = units[beyond] & 0x7FFFFFFF
+                    rules[spelt.decode()] = targets[begin : targets.index(b"\0", begin)].decode()
+                todo.append((beyond, spelt))
+    return rules
+
+
+class Normaliser:
+    """The normaliser as a deterministic transducer over characters.
+
+    At its start state, the longest source string of ``rules`` that comes next is read and its target
+    written; any other character writes itself. With ``collapse``, a second state after a written space
+    writes no further ones, it is also where reading begins, and spaces at the end are taken back.
+    """
+
+    def __init__(self, rules: dict[str, str] | None = None, *, dummy_prefix: bool = True, collapse: bool = False):
+        self.rules, self.dummy_prefix, self.collapse = rules or {}, dummy_prefix, collapse
+        self.lengths: dict[str, list[int]] = {}  # by first character, the longest first
+        for first, n in sorted({(r[0], len(r)) for r in self.rules}, key=lambda x: -x[1]):
+            self.lengths.setdefault(first, []).append(n)
+        self.starts = re.compile("[" + "".join(map(re.escape, self.lengths)) + "]") if self.rules else None
+
+    def _arcs(self, text: str) -> Iterator[str]:
+        """What is written, arc by arc; stretches without rules come whole."""
+        at = 0
+        while m := self.starts.search(text, at):
+            i = m.start()
+            yield text[at:i]
+            n = next((n for n in self.lengths[text[i]] if text[i : i + n] in self.rules), 0)
+            yield self.rules[text[i : i + n]] if n else text[i]
+            at = i + (n or 1)
+        yield text[at:]
+
+    def __call__(self, text: str) -> str:
+        if self.rules:
+            text = "".join(self._arcs(text))
+        if self.collapse:
+            text = re.sub(" +", " ", text).lstrip(" ")
+        if not text:
+            return ""
+        text = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
+        return text.rstrip(SPACE) if self.collapse else text
+
+
 class Merges:
     """The bigram acceptor of a byte-pair model: which pieces may stand side by side."""
 
@@ -92,14 +155,15 @@ class Merges:
 class PieceTransducer:
     """Encodes and decodes with the vocabulary of a SentencePiece model."""
 
-    def __init__(self, pieces: dict[str, int], byte_ids: list[int], *, ranks: dict[str, int] | None = None, weights: dict[str, float] | None = None, unk: int = 0, dummy_prefix: bool = True, collapse: bool = False):
+    def __init__(self, pieces: dict[str, int], byte_ids: list[int], *, ranks: dict[str, int] | None = None, weights: dict[str, float] | None = None, unk: int = 0, dummy_prefix: bool = True, collapse: bool = False, rules: dict[str, str] | None = None):
         self.merges = Merges(ranks) if ranks is not None else None
         self.pieces = {p: i for p, i in pieces.items() if not self.merges or self.merges.reachable(p)}
         self.weights = weights or {}
         # a character without a piece costs more than any piece, as in the model's own search
         self.unknown = max(self.weights.values(), default=0.0) + 10.0 if weights else 0.0
         self.byte_ids, self.unk = byte_ids, unk
-        self.dummy_prefix, self.collapse = dummy_prefix, collapse
+        self.dummy_prefix = dummy_prefix
+        self.normalise = Normaliser(rules, dummy_prefix=dummy_prefix, collapse=collapse)
         self.longest = max(map(len, self.pieces), default=1)
         chars = set().union(*map(set, self.pieces)) if self.pieces else set()
         foreign = "".join(c for c in "\n\t\r" if c not in chars)
@@ -122,8 +186,8 @@ class PieceTransducer:
         norm, train = model.normalizer_spec, model.trainer_spec
         kind = type(model.pieces[0])
         normal = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kind.NORMAL}
-        if norm.precompiled_charsmap or not norm.escape_whitespaces or any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in model.pieces):
-            raise ValueError("only identity normalisers with escaped spaces and plain vocabularies are compiled")
+        if not norm.escape_whitespaces or train.treat_whitespace_as_suffix or any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in model.pieces):
+            raise ValueError("models with unescaped or trailing spaces, or with user-defined or unused pieces, aren't compiled")
         ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kind.BYTE}
         scores = {p: model.pieces[i].score for p, i in normal.items()}
         bpe = train.model_type == train.BPE
@@ -136,15 +200,9 @@ class PieceTransducer:
             unk=next((i for i, p in enumerate(model.pieces) if p.type == kind.UNKNOWN), 0),
             dummy_prefix=norm.add_dummy_prefix,
             collapse=norm.remove_extra_whitespaces,
+            rules=_rules(norm.precompiled_charsmap),
         )
 
-    def normalise(self, text: str) -> str:
-        if self.collapse:
-            text = re.sub(" +", " ", text.replace(SPACE, " ")).strip(" ")
-        if not text:
-            return ""
-        return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
-
     def _shortest(self, text: str) -> tuple[int, ...]:
         """Labels of the lightest path over one segment."""
         # a state: (weight, last piece or None, position before, state before)
@@ -222,6 +280,9 @@ class PieceTransducer:
         self.keys = np.array(sorted(steps), np.int64)
         self.next = np.array([steps[k] for k in self.keys.tolist()], np.int64)
         self.ends = np.array(ends, np.int64)
+        self.costs = np.zeros(max(self.pieces.values(), default=0) + 1)
+        for text, piece in self.pieces.items():
+            self.costs[piece] = self.weights.get(text, 0.0)
 
     def _arcs(self, points: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece) of every piece in joined segments; ``stop``: each place's segment end."""
@@ -240,7 +301,12 @@ class PieceTransducer:
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def _together(self, segments: list[str]) -> dict[str, bytes]:
-        """``_only`` for many distinct segments at once, all advancing one position at a time."""
+        """The shortest paths of many distinct segments at once, all advancing one position at a time.
+
+        The semiring's sum is the minimum over arcs into a position, its product adds an arc's weight.
+        A position keeps one state: without an acceptor the last piece doesn't matter, and with one
+        a single path has finite weight, so that all that are left weigh the same.
+        """
         lengths = np.array([len(s) for s in segments])
         text = "".join(segments)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -250,7 +316,7 @@ class PieceTransducer:
         single = np.zeros(len(points), bool)
         single[start[end == start + 1]] = True
         odd = np.unique(owner[~single])  # with a character that is no piece: one by one
-        out = {segments[i]: array("i", self._only(segments[i])).tobytes() for i in odd.tolist()}
+        out = {segments[i]: self.path(segments[i]) for i in odd.tolist()}
         keep = ~np.isin(owner[start], odd)
         start, end, piece = start[keep], end[keep], piece[keep]
         of = owner[start]
@@ -258,10 +324,18 @@ class PieceTransducer:
         order = np.lexsort((start, depth))
         start, end, piece, of, depth = start[order], end[order], piece[order], of[order], depth[order]
         # a segment of n characters has n + 1 slots
+        total = np.zeros(len(points) + len(segments)) if self.weights else None
         last, before = np.full(len(points) + len(segments), -1, np.int64), np.zeros(len(points) + len(segments), np.int64)
         bounds = np.searchsorted(depth, np.arange(1, int(depth.max(initial=0)) + 2))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             slot_a, slot_b, p = start[a:b] + of[a:b], end[a:b] + of[a:b], piece[a:b]
+            if self.weights:
+                weight = total[slot_a] + self.costs[p]
+                best = np.lexsort((slot_a, weight, slot_b))  # among equals the longest piece
+                where, one = np.unique(slot_b[best], return_index=True)
+                best = best[one]
+                last[where], before[where], total[where] = p[best], slot_a[best], weight[best]
+                continue
             prior = last[slot_a]
             ok = prior < 0
             pairs, number = np.unique(prior[~ok] << 32 | p[~ok], return_inverse=True)
@@ -306,7 +380,7 @@ class PieceTransducer:
         fresh = {s for own, ids in zip(segments, found) if None in ids for s, i in zip(own, ids) if i is None}
         new: dict[str, bytes] = {}
         if fresh:
-            short = [s for s in fresh if len(s) <= MOST_CHARS] if self.merges and not self.weights else []
+            short = [s for s in fresh if len(s) <= MOST_CHARS]
             for i in range(0, len(short), MOST_TOGETHER):
                 new |= self._together(short[i : i + MOST_TOGETHER])
             new |= {s: self.path(s) for s in fresh if s not in new}

@@ -131,6 +131,27 @@ def test_shortest_paths_are_the_library_ids(pieces, real_docs):
     assert all(np.frombuffer(together[w], np.int32).tolist() == list(own._only(w)) for w in some)
 
 
+@pytest.mark.parametrize("rule,collapse,prefix", [("nmt_nfkc", True, True), ("nfkc_cf", False, True), ("nmt_nfkc_cf", True, False), ("identity", True, True)])
+def test_compiled_normalisers_are_the_library_ones(real_docs, rule, collapse, prefix):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model, norm = sentencepiece_model_pb2.ModelProto(), sentencepiece_model_pb2.ModelProto()
+    with open(PIECES, "rb") as f:
+        model.ParseFromString(f.read())
+    norm.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    spec = model.normalizer_spec
+    spec.precompiled_charsmap, spec.remove_extra_whitespaces, spec.add_dummy_prefix = norm.normalizer_spec.precompiled_charsmap, collapse, prefix
+    path = f"{tempfile.mkdtemp(prefix='spark-')}/m.model"
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    own, library = piece_fst.PieceTransducer.from_file(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    odd = [*ODD, "ＡＢＣ　ﬁ  ㌔ ½ e\u0301 Å ｶﾞ", " \u00a0 \u200b x \u3000", "\u0344a", "ÀÉ STRASSE ß", "\t\n"]
+    for t in odd + [r.text for r in real_docs.collect()]:
+        assert own.normalise(t) == library.normalize(t), t
+        assert own.encode(t).tolist() == library.encode(t), t
+
+
 def test_acceptor_leaves_one_path(pieces):
     """All splits of short strings: the accepted one is what merging gives."""
     ranks = {p: i for i, p in enumerate(["ab", "bc", "aa", "abc", "cab", "aab", "bcab", "a", "b", "c"])}
@@ -164,6 +185,9 @@ def test_unigram_weights_give_the_lightest_path():
         for t in map("".join, product("ab ", repeat=n)):
             got = m.encode(t).tolist()
             assert abs(sum(costs[by_id[i]] for i in got) - lightest(m.normalise(t))) < 1e-9
+            # the search of many segments is the one path by path
+            for w in m.segment.findall(m.normalise(t)) if m.segment else [m.normalise(t)]:
+                assert not w or np.frombuffer(m._together([w])[w], np.int32).tolist() == list(m._shortest(w))
             assert m.decode(got) == t
     assert m.decode(m.encode("aéb").tolist()) == "aéb"
 
