@@ -5,8 +5,9 @@ of 13 consecutive words (all its words where it has fewer). One automaton holds
 document is scanned once however many items there are. Normalised word positions are mapped back
 to byte-exact character offsets of the original text.
 
-The automaton is broadcast, so its size is checked: windows beyond ``max_pattern_bytes`` are dealt
-into blocks by hash, each block is one automaton, and the hits of all blocks are merged by document.
+The automaton is broadcast, so its size is checked. Windows beyond ``max_pattern_bytes`` are joined
+instead: a bitmap of their hashes, of one fixed size, is broadcast, documents are scanned once for
+windows that it may hold, and a join on the windows' words settles which are there.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ import hashlib
 import re
 import uuid
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,11 +92,25 @@ def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(chars(at[a][0]), chars(at[b - 1][1])) for a, b in spans]
 
 
-def _scan(shared, key: str, whole: bool):
-    """Arrow function: for each document its words, merged word spans, character spans and items.
+def _spans(words: list[str], machine) -> tuple[list[tuple[int, int]], set[int]]:
+    """Word spans of every window's occurrences, and the items whose windows they are."""
+    hit: list[tuple[int, int]] = []
+    found: set[int] = set()
+    starts: list[int] = []
+    for end, (count, ids) in machine.iter(f" {' '.join(words)} "):
+        if not starts:
+            at = 0
+            for w in words:
+                starts.append(at)
+                at += len(w) + 1
+        last = bisect_right(starts, end - 1)  # words that start before the closing space
+        hit.append((last - count, last))
+        found.update(ids)
+    return hit, found
 
-    ``whole``: there is one block, so the result follows at once.
-    """
+
+def _scan(shared, key: str):
+    """Arrow function: the automaton's results for each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = resident(("windows", key), lambda: _automaton(shared.value) if shared.value else None)
@@ -103,52 +119,107 @@ def _scan(shared, key: str, whole: bool):
             for text in batch["text"].to_pylist():
                 words = _clean(words_of(text))
                 n_words.append(len(words))
-                hit, found = [], set()
-                if machine is not None and words:
-                    joined = f" {' '.join(words)} "
-                    starts: list[int] = []
-                    for end, (count, ids) in machine.iter(joined):
-                        if not starts:
-                            at = 0
-                            for w in words:
-                                starts.append(at)
-                                at += len(w) + 1
-                        last = bisect_right(starts, end - 1)  # words that start before the closing space
-                        hit.append((last - count, last))
-                        found.update(ids)
+                hit, found = _spans(words, machine) if machine is not None and words else ([], set())
                 hit = _merge(hit)
                 spans.append([x for s in hit for x in s])
                 offsets.append([x for s in char_spans(text, hit) for x in s] if hit else [])
                 items.append(sorted(found))
-            out = pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["row_key"], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))],
-                ["doc_id", "row_key", "n_words", "word_spans", "char_spans", "item_ids"],
-            )
-            yield from _finish([out]) if whole else [out]
+            yield _finished(batch["doc_id"], pa.array(n_words, pa.int64()), spans, offsets, items)
 
     return rows
 
 
-_SCANNED = "doc_id long, row_key string, n_words long, word_spans array<long>, char_spans array<long>, item_ids array<long>"
+#: Bits of the bitmap that stands for windows beyond one automaton: 16 MB, whatever their number.
+BITS = 1 << 27
+
+
+def _window_hashes(words: list[str], size: int) -> np.ndarray:
+    """One 64-bit hash for each run of ``size`` words."""
+    import xxhash
+
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    out = h[: len(h) - size + 1].copy()
+    for j in range(1, size):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - size + 1 + j]
+    return (out ^ (out >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
 
 
-def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits_of_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_hit, digests, spans = [], [], []
-        for words, items in zip(batch["word_spans"].to_pylist(), batch["item_ids"].to_pylist()):
-            merged = _merge(list(zip(words[::2], words[1::2])))
-            n_hit.append(sum(b - a for a, b in merged))
-            digests.append(hashlib.sha256(",".join(sorted({str(i) for i in items})).encode()).hexdigest())
-        for chars in batch["char_spans"].to_pylist():
-            spans.append([x for s in _merge(list(zip(chars[::2], chars[1::2]))) for x in s])
-        n_items = [len(set(i)) for i in batch["item_ids"].to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["row_key"], batch["n_words"], pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, pa.list_(pa.int64()))],
-            ["doc_id", "row_key", "n_words", "n_hit", "n_items", "items_sha256", "char_spans"],
-        )
+        at = np.array([int(_window_hashes(w.split(" "), w.count(" ") + 1)[0]) % BITS for w in batch["window"].to_pylist()], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at >> 6, pa.int64()), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64), pa.int64())], ["place", "bits"])
+
+
+_CANDIDATE = "struct<a:bigint,b:bigint,start:bigint,end:bigint,window:string>"
+
+
+def _candidates(shared, sizes: list[int]):
+    """Arrow function: for each document the windows whose hashes the bitmap holds."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        kind = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("window", pa.string())])
+        for batch in small_batches(batches, 4 << 20):
+            n_words, found = [], []
+            for text in batch["text"].to_pylist():
+                words = _clean(words_of(text))
+                n_words.append(len(words))
+                runs = []
+                for size in (k for k in sizes if k <= len(words)):
+                    at = (_window_hashes(words, size) % np.uint64(BITS)).astype(np.int64)
+                    runs += [(a, a + size) for a in np.flatnonzero(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).tolist()]
+                chars = char_spans(text, runs) if runs else []
+                found.append([{"a": a, "b": b, "start": x, "end": y, "window": " ".join(words[a:b])} for (a, b), (x, y) in zip(runs, chars)])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], pa.array(n_words, pa.int64()), pa.array(found, pa.list_(kind))], ["doc_id", "row_key", "n_words", "found"])
+
+    return rows
+
+
+def _joined(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Results by a join of windows, for more of them than one automaton may hold."""
+    spark = rows.sparkSession
+    sizes = [r["k"] for r in patterns.select((F.length("window") - F.length(F.replace("window", F.lit(" "))) + 1).alias("k")).distinct().collect()]  # at most WINDOW rows
+    marked = written(patterns.select("window").mapInArrow(_bits_of_windows, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")), "bits")
+    bits = np.zeros(BITS >> 6, np.uint64)
+    filled = marked.toArrow()  # at most BITS / 64 rows, 32 MB
+    bits[filled["place"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bits)
+    keyed = rows.withColumn("row_key", F.md5(F.coalesce("text", F.lit(""))))
+    seen = written(keyed.mapInArrow(_candidates(shared, sorted(sizes)), f"doc_id long, row_key string, n_words long, found array<{_CANDIDATE}>"), "candidates")
+    hits = seen.where(F.size("found") > 0).dropDuplicates(["doc_id", "row_key"]).select("doc_id", "row_key", F.explode("found").alias("f")).select("doc_id", "row_key", "f.*").join(patterns, "window")
+    pair = lambda one, other: F.collect_list(F.array(one, other))
+    many = hits.groupBy("doc_id", "row_key").agg(F.flatten(pair("a", "b")).alias("word_spans"), F.flatten(pair("start", "end")).alias("char_spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"))
+    many = many.withColumnsRenamed({"doc_id": "own_id", "row_key": "own_key"})
+    none = F.array().cast("array<bigint>")
+    both = seen.join(many, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("row_key") == F.col("own_key")), "left")
+    return both.select("doc_id", "n_words", *(F.coalesce(c, none).alias(c) for c in ("word_spans", "char_spans", "item_ids"))).mapInArrow(_merged, _FINISHED)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches, 4 << 20):
+        flat = lambda name: [[x for s in _merge(list(zip(v[::2], v[1::2]))) for x in s] for v in batch[name].to_pylist()]
+        # overlapping runs of words overlap in characters too; runs that touch have a gap between
+        words, chars = flat("word_spans"), batch["char_spans"].to_pylist()
+        places = [[x for a, b in zip(w[::2], w[1::2]) for x in _covering(a, b, own, c)] for w, own, c in zip(words, batch["word_spans"].to_pylist(), chars)]
+        yield _finished(batch["doc_id"], batch["n_words"], words, places, batch["item_ids"].to_pylist())
+
+
+def _covering(a: int, b: int, words: list[int], chars: list[int]) -> tuple[int, int]:
+    """The characters of the word span (a, b), from spans of which one starts with it and one ends with it."""
+    return chars[2 * words[::2].index(a)], chars[2 * words[1::2].index(b) + 1]
+
+
+def _finished(ids: pa.Array, n_words: pa.Array, spans: list[list[int]], chars: list[list[int]], items: list[list[int]]) -> pa.RecordBatch:
+    """Counts and digests from merged word spans, their characters and item ids."""
+    n_hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+    digests = [hashlib.sha256(",".join(sorted({str(i) for i in own})).encode()).hexdigest() for own in items]
+    return pa.RecordBatch.from_arrays(
+        [ids, n_words, pa.array(n_hit, pa.int64()), pa.array([len(set(i)) for i in items], pa.int64()), pa.array(digests, pa.string()), pa.array(chars, pa.list_(pa.int64()))],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "char_spans"],
+    )
 
 
-_FINISHED = "doc_id long, row_key string, n_words long, n_hit long, n_items long, items_sha256 string, char_spans array<long>"
+_FINISHED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, char_spans array<long>"
 
 
 def benchmark_hits(
@@ -181,29 +252,13 @@ def benchmark_hits(
         "windows",
     )
     size = patterns.agg(F.coalesce(F.sum(F.length("window") + 8 * F.size("items")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // max_pattern_bytes))
-    # doc_id may be null or repeated: the text's hash keeps such rows apart when blocks are merged
-    rows = id_and_text(docs, id_col, text_col).withColumn("row_key", F.lit(None).cast("string"))
-    if blocks > 1:
-        rows = rows.withColumn("row_key", F.md5("text"))
-    found = None
-    call = uuid.uuid4().hex  # workers outlive calls, so the key must never come again
-    for block in range(blocks):
-        mine = patterns if blocks == 1 else patterns.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast({r["window"]: r["items"] for r in mine.collect()})
-        one = rows.mapInArrow(_scan(shared, f"{call}-{block}", blocks == 1), _FINISHED if blocks == 1 else _SCANNED)
-        found = one if found is None else found.unionByName(one)
-    if blocks > 1:
-        many = found.groupBy("doc_id", "row_key").agg(
-            F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_list("word_spans")).alias("word_spans"),
-            F.flatten(F.collect_list("char_spans")).alias("char_spans"),
-            F.flatten(F.collect_list("item_ids")).alias("item_ids"),
-            F.count(F.lit(1)).alias("times"),
-        )
-        # each block returned every row once, so equal rows come `blocks` times each
-        found = many.withColumn("again", F.explode(F.sequence(F.lit(1), (F.col("times") / blocks).cast("int")))).drop("times", "again")
-        found = found.mapInArrow(_finish, _FINISHED)
+    rows = id_and_text(docs, id_col, text_col)
+    if size > max_pattern_bytes:
+        found = _joined(rows, patterns)
+    else:
+        shared = spark.sparkContext.broadcast({r["window"]: r["items"] for r in patterns.collect()})
+        # workers outlive calls, so the key must never come again
+        found = rows.mapInArrow(_scan(shared, uuid.uuid4().hex), _FINISHED)
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "char_spans"
     )

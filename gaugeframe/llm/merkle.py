@@ -77,19 +77,17 @@ def _in_ranges(docs: DataFrame) -> DataFrame:
     cuts = sorted(set(cuts)) if ranges > 1 else []
     if cuts:  # in two steps: which stretch of cuts, and how many of that stretch lie below
         step = max(1, int(len(cuts) ** 0.5))
-        coarse = F.lit(cuts[::step])
-        fine = F.array(*(F.lit(cuts[i : i + step]) for i in range(0, len(cuts), step)))
+        fine = docs.sparkSession.createDataFrame([(k + 1, cuts[i : i + step]) for k, i in enumerate(range(0, len(cuts), step))], "stretch int, cuts array<long>")
         below = lambda some: F.size(F.filter(some, lambda c: c < F.col("key")))
-        stretch = below(coarse)
-        number = F.when(stretch == 0, 0).otherwise((stretch - 1) * step + below(F.element_at(fine, F.greatest(stretch, F.lit(1)))))
-        docs = docs.withColumn("range", -number)
+        docs = docs.withColumn("stretch", below(F.lit(cuts[::step]))).join(F.broadcast(fine), "stretch", "left")
+        number = F.when(F.col("stretch") == 0, 0).otherwise((F.col("stretch") - 1) * step + below(F.col("cuts")))
+        docs = docs.withColumn("range", -number).drop("stretch", "cuts")
     else:
         docs = docs.withColumn("range", F.lit(0))
     # at most MOST_RANGES rows
     heads = docs.groupBy("range").agg(F.max("key").alias("head")).orderBy("range").collect()
     closes = [(h["head"], heads[i - 1]["range"]) for i, h in enumerate(heads)]
-    table = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("head"), F.lit(r).alias("closes")) for k, r in closes)) if closes else F.expr("cast(array() as array<struct<head:bigint,closes:int>>)"))
-    table = docs.sparkSession.range(1).select(table.alias("x")).select("x.*")
+    table = docs.sparkSession.createDataFrame(closes, "head long, closes int")
     both = docs.join(F.broadcast(table), docs["key"] == table["head"], "left")
     place = lambda r, copy: F.struct(r.alias("range"), F.lit(copy).alias("copy"))
     places = F.when(F.col("closes").isNull(), F.array(place(F.col("range"), False))).otherwise(F.array(place(F.col("range"), False), place(F.col("closes"), True)))
@@ -112,7 +110,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     two = one.select("doc_id", "range", "copy", "key", "text", n.cast("long").alias("n_chars"), "edited", fingerprint(F.col("text")).alias("fingerprint"))
     three = two.withColumn("next_print", F.lead("fingerprint").over(order)).where("not copy")
     four = three.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_print")
+    places = F.transform(differing_paragraphs(F.col("fingerprint"), F.col("edited_fingerprint")), lambda p: F.concat(p["section"].cast("string"), F.lit(":"), p["paragraph"].cast("string")))
     return four.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"),
+        F.array_join(places, ",").alias("edited_places"),
     )

@@ -36,13 +36,22 @@ with split as (
   select doc_id, k, unnest(range(1, len(w) - k + 2)) as p, w from split, (select distinct k from windows) where doc_id is not null and len(w) >= k
 ), hits as (
   select doc_id, p, l.k, item_id from (select doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') as s from places) l join windows o on l.k = o.k and l.s = o.s
+), runs as (
+  select doc_id, min(q) as a, max(q) as b, count(*) as n from (
+    select *, q - row_number() over (partition by doc_id order by q) as g from (select distinct doc_id, unnest(range(p, p + k)) as q from hits)
+  ) group by doc_id, g
+), gaps as (
+  select doc_id, w, regexp_extract_all(text, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') as g, cast(regexp_matches(text, '^[\x00-\x2F\x3A-\x60\x7B-\x7F]') as int) as lead
+  from (select s.doc_id, w, {_FOLD} as text from split s semi join runs r on s.doc_id = r.doc_id)
+), ends as (
+  select doc_id, n, list_sum(list_transform(w[1 : a - 1] || g[1 : a - 1 + lead], lambda x: length(x))) as x, list_sum(list_transform(w[1 : b] || g[1 : b - 1 + lead], lambda x: length(x))) as y from runs join gaps using (doc_id)
 ), covered as (
-  select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + k)) as q from hits) group by 1
+  select doc_id, sum(n) as n_hit, string_agg(cast(coalesce(x, 0) as bigint) || ':' || cast(y as bigint), ',' order by y) as spans from ends group by 1
 ), items as (
   select doc_id, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from (select distinct doc_id, item_id from hits) group by 1
 )
-select s.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
-  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+select s.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(spans, '') as spans
 from split s left join covered c on c.doc_id = s.doc_id left join items i on i.doc_id = s.doc_id where s.doc_id is not null
 """
 
@@ -60,11 +69,14 @@ with texts as (
 ), prints as (
   select doc_id, kind, sha256(array_to_string(list_transform(t, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))), '')) || ':'
     || array_to_string(list_transform(t, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda h: h[1:{SHORT}]), '.')), ',')), ';') as f,
-    list_distinct(list_transform(flatten(flatten(t)), lambda h: h[1:{SHORT}])) as leaves from trees
+    list_distinct(list_transform(flatten(flatten(t)), lambda h: h[1:{SHORT}])) as leaves, t from trees
 )
 select e.doc_id, length(e.text) as n_chars, sha256(edited) as edited_sha256, o.f as fingerprint, d.f as edited_fingerprint,
   case when o.f = d.f then 1.0 else coalesce(2.0 * len(list_intersect(o.leaves, d.leaves)) / nullif(len(o.leaves) + len(d.leaves), 0), 0.0) end::double as near_edited,
-  case when o.f = x.f then 1.0 else coalesce(2.0 * len(list_intersect(o.leaves, x.leaves)) / nullif(len(o.leaves) + len(x.leaves), 0), 0.0) end::double as near_next
+  case when o.f = x.f then 1.0 else coalesce(2.0 * len(list_intersect(o.leaves, x.leaves)) / nullif(len(o.leaves) + len(x.leaves), 0), 0.0) end::double as near_next,
+  array_to_string(flatten(list_transform(range(1, greatest(len(o.t), len(d.t)) + 1), lambda i: case when o.t[i] is not distinct from d.t[i] then []::varchar[] else list_filter(
+    list_transform(range(1, greatest(coalesce(len(o.t[i]), 0), coalesce(len(d.t[i]), 0)) + 1), lambda j: case when o.t[i][j] is distinct from d.t[i][j] then (i - 1) || ':' || (j - 1) end),
+    lambda x: x is not null) end)), ',') as edited_places
 from edits e join prints o on o.doc_id = e.doc_id and o.kind = 'own' join prints d on d.doc_id = e.doc_id and d.kind = 'edited' join prints x on x.doc_id = e.next_id and x.kind = 'own'
 """
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, licenses, line_dedup, merkle, near_dups, piece_fst, quality, secrets, token_store, url_filter
 from .oracles import ORACLES as ORACLES
@@ -45,8 +46,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the offsets stay the operator's own: SQL has no twin of them
-    return decontam.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("char_spans")
+    hits = decontam.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    ends = F.filter("char_spans", lambda _, i: i % 2 == 1)
+    spans = F.zip_with(F.filter("char_spans", lambda _, i: i % 2 == 0), ends, lambda a, b: F.concat(a.cast("string"), F.lit(":"), b.cast("string")))
+    return hits.withColumn("spans", F.array_join(spans, ",")).drop("char_spans")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
