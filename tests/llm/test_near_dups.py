@@ -116,3 +116,38 @@ def test_components(spark):
                 todo += near[v]
     assert got == seen
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_an_id_with_several_texts(make_docs):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (0, a + " end"), (7, b), (7, b), (1, b), (-4, None)]
+    docs = make_docs(rows)
+    assert order(near_dups.near_duplicates(docs, shingle_words=2).collect()) == order(brute(rows, 2))
+    assert order((r.doc_id, r.text) for r in near_dups.drop_near_duplicates(docs, shingle_words=2).collect()) == order([rows[i] for i in (1, 2, 6)])
+
+
+def _pairs_made(monkeypatch, docs):
+    made = []
+    across = near_dups._across
+
+    def counted(cells, percent):
+        made.append(across(cells, percent).count())
+        return across(cells, percent)
+
+    monkeypatch.setattr(near_dups, "_across", counted)
+    rows = near_dups.near_duplicates(docs, shingle_words=2).collect()
+    monkeypatch.undo()
+    return made[0], rows
+
+
+def test_pairs_grow_with_a_group_not_its_square(make_docs, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, edited(rng, base, rng.randrange(1, 40))) for i in range(600)]
+    few, _ = _pairs_made(monkeypatch, make_docs(rows[:300]))
+    many, got = _pairs_made(monkeypatch, make_docs(rows))
+    assert many <= 3 * few + 600 and many <= len(rows)
+    assert order(got) == order(brute(rows, 2))
+    # repeated rows make no further pairs
+    again, _ = _pairs_made(monkeypatch, make_docs(rows + [rows[0]] * 50 + rows[:100]))
+    assert again == many
