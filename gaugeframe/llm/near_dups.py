@@ -29,6 +29,8 @@ from .graph import components
 PERMUTATIONS, ROWS = 120, 6
 #: Ids are broadcast up to this many (16 MB), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
+#: Members of a lead that one task takes at a time.
+PART_MEMBERS = 1000
 MOST_WORDS = 150_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -140,18 +142,38 @@ def _member_sets(rows: DataFrame, classes: DataFrame, members: DataFrame, size:
     return nodes.select("node", "set_key").join(sets, "set_key").select("node", "shingles")
 
 
-def _star_tests(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _in_parts(rows: DataFrame, tables: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (a, b, ...) with a ``part`` of their lead a, and (a, parts) of the leads that have several.
+
+    A lead of many members would be one task; its members are dealt over parts by hash. Leads with
+    several parts are at most one in ``PART_MEMBERS`` rows.
+    """
+    sizes = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART_MEMBERS)
+    hot = tables.write(sizes.select("a", F.ceil(F.col("n") / PART_MEMBERS).cast("int").alias("parts")), name)
+    few = hot.count() <= BROADCAST_IDS
+    dealt = rows.join(F.broadcast(hot) if few else hot, "a", "left")
+    return dealt.withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts"), hot
+
+
+def _for_parts(leads: DataFrame, hot: DataFrame) -> DataFrame:
+    """One row of each lead for each of its parts."""
+    parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    return leads.join(hot, "a", "left").withColumn("part", F.explode(parts)).drop("parts")
+
+
+def _star_tests(stars: DataFrame, sets: DataFrame, percent: int, tables: Scratch) -> DataFrame:
     """Each lead a and member b: sizes, the shingles in one set but not the other, and whether they are linked."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     apart = F.concat(F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a"))
     size = lambda x: F.size(x).cast("long")
-    rows = stars.join(one, "a").join(other, "b").select("a", "b", size("of_a").alias("n_a"), size("of_b").alias("n_b"), apart.alias("apart"))
+    stars, hot = _in_parts(stars, tables, "hot")
+    rows = stars.join(_for_parts(one, hot), ["a", "part"]).join(other, "b").select("a", "b", size("of_a").alias("n_a"), size("of_b").alias("n_b"), apart.alias("apart"))
     # 100 * shared >= percent * union, written with the number of shingles apart
     return rows.withColumn("linked", (100 - percent) * (F.col("n_a") + F.col("n_b")) >= (100 + percent) * size("apart"))
 
 
-def _across(cells: DataFrame, percent: int) -> DataFrame:
+def _across(cells: DataFrame, percent: int, tables: Scratch) -> DataFrame:
     """Pairs (a: the lead, x, c, needed) of different components whose differences may overlap enough.
 
     ``cells``: (a, b: a member, excess, apart, component, inside: whether it's the lead's component).
@@ -168,7 +190,8 @@ def _across(cells: DataFrame, percent: int) -> DataFrame:
     low = cells.groupBy("a").agg(F.min("excess").alias("least"), F.min(F.when(~F.col("inside"), F.col("excess"))).alias("least_outside"))
     # the fewest that any pair of a member can need; one of a pair is outside
     fewest = F.greatest(F.lit(1), needed(F.col("excess") + F.when(F.col("inside"), F.col("least_outside")).otherwise(F.col("least"))))
-    members = cells.join(low, "a").select("a", "b", "component", "excess", "inside", fewest.alias("fewest"), "apart")
+    dealt, hot = _in_parts(cells, tables, "hot-cells")
+    members = dealt.join(_for_parts(low, hot), ["a", "part"]).select("a", "b", "component", "excess", "inside", fewest.alias("fewest"), "apart")
     held = members.where(F.size("apart") >= F.col("fewest")).select("a", "b", "component", "excess", "inside", "fewest", F.explode("apart").alias("shingle"))
     known = held.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     own = Window.partitionBy("a", "b")
@@ -186,10 +209,10 @@ def _across(cells: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", F.col("b_x").alias("x"), F.col("b_c").alias("c"), t.alias("needed")).distinct()
 
 
-def _linked_across(cells: DataFrame, percent: int) -> DataFrame:
+def _linked_across(cells: DataFrame, percent: int, tables: Scratch) -> DataFrame:
     """Links (a, b) between the components that ``cells`` still have, as pairs of components."""
     side = lambda name: cells.select("a", F.col("b").alias(name), F.col("apart").alias(f"apart_{name}"), F.col("component").alias(f"of_{name}"))
-    pairs = _across(cells, percent).join(side("x"), ["a", "x"]).join(side("c"), ["a", "c"])
+    pairs = _across(cells, percent, tables).join(side("x"), ["a", "x"]).join(side("c"), ["a", "c"])
     alike = pairs.where(F.size(F.array_intersect("apart_x", "apart_c")) >= F.col("needed"))
     return alike.select(F.col("of_x").alias("a"), F.col("of_c").alias("b")).distinct()
 
@@ -237,8 +260,8 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
     leads = members.join(middle, "node").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("node")).alias("minus"))).alias("lead")).select("bucket", (-F.col("lead.minus")).alias("lead"))
     stars = members.join(leads, "bucket").where(F.col("lead") != F.col("node")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     sets = _member_sets(rows, classes, members, shingle_words, tables)
-    tested = tables.write(_star_tests(tables.write(stars, "stars"), sets, percent), "tested")
-    tables.drop("buckets", "members", "nodes", "sets", "stars")
+    tested = tables.write(_star_tests(tables.write(stars, "stars"), sets, percent, tables), "tested")
+    tables.drop("buckets", "members", "nodes", "sets", "stars", "hot")
     linked = components(tested.where("linked").select("a", "b"))
     # cells whose members are of several components: look for links across them
     at = linked.withColumnRenamed("node", "at")
@@ -251,8 +274,8 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
     mixed = placed.where("not inside").select("a").distinct()
     cells = tables.write(placed.join(mixed, "a", "left_semi").join(tested.select("a", "b", "apart"), ["a", "b"]), "cells")
     tables.drop("tested", "placed")
-    more = tables.write(_linked_across(cells, percent), "links")
-    tables.drop("cells")
+    more = tables.write(_linked_across(cells, percent, tables), "links")
+    tables.drop("cells", "hot-cells")
     if not more.isEmpty():
         joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("into"))
         linked = linked.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component")).unionByName(
