@@ -71,17 +71,18 @@ def group_means(x: DataFrame, labels: DataFrame, row: str, feature: str, value:
 def feature_correlations(x: DataFrame, rows: DataFrame, row: str, feature: str, value: str) -> DataFrame:
     """Pearson correlation of each two features over all rows, absent values being 0.
 
-    Products come from rows that hold both; a pair that no row holds has the product 0 and is left
-    out. Meant for a chosen set of features: a row gives the pairs of its own features.
+    Products come from rows that hold both, each row giving the pairs of its own features; for a pair
+    that no row holds they are 0. Meant for a chosen set of features: the result has all their pairs.
     """
     m = feature_moments(x, rows, feature, value).where("sd > 0").select(feature, "mean", "sd")
-    a = x.select(F.col(row), F.col(feature).alias("a"), F.col(value).alias("va"))
-    b = x.select(F.col(row), F.col(feature).alias("b"), F.col(value).alias("vb"))
-    products = a.join(b, row).where("a < b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("s"))
+    own = x.groupBy(row).agg(F.array_sort(F.collect_list(F.struct(F.col(feature).alias("f"), F.col(value).cast("double").alias("v")))).alias("_held"))
+    pairs = F.flatten(F.transform("_held", lambda p, i: F.transform(F.slice("_held", i + 2, F.size("_held")), lambda q: F.struct(p["f"].alias("a"), q["f"].alias("b"), (p["v"] * q["v"]).alias("s")))))
+    products = own.select(F.inline(pairs)).groupBy("a", "b").agg(F.sum("s").alias("s"))
     n = rows.agg(F.count(F.lit(1)).alias("n"))
-    full = products.join(m.select(F.col(feature).alias("a"), F.col("mean").alias("ma"), F.col("sd").alias("sa")), "a")
-    full = full.join(m.select(F.col(feature).alias("b"), F.col("mean").alias("mb"), F.col("sd").alias("sb")), "b").crossJoin(F.broadcast(n))  # one row on the right
-    return full.select("a", "b", ((F.col("s") / F.col("n") - F.col("ma") * F.col("mb")) / (F.col("sa") * F.col("sb"))).alias("r"))
+    side = lambda name: m.select(F.col(feature).alias(name), F.col("mean").alias(f"m{name}"), F.col("sd").alias(f"s{name}"))
+    grid = side("a").join(side("b"), F.col("a") < F.col("b"))  # the result's own size
+    full = grid.join(products, ["a", "b"], "left").crossJoin(F.broadcast(n))  # one row on the right
+    return full.select("a", "b", ((F.coalesce("s", F.lit(0.0)) / F.col("n") - F.col("ma") * F.col("mb")) / (F.col("sa") * F.col("sb"))).alias("r"))
 
 
 def profile_correlations(one: DataFrame, other: DataFrame, label: str, feature: str, value: str) -> DataFrame:

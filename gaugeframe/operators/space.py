@@ -20,9 +20,12 @@ def near_distance(points: DataFrame, marks: DataFrame, by: Sequence[str], x: str
     step = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     spread = marks.select(*by, F.col(x).alias("_mx"), F.col(y).alias("_my"), F.explode(step).alias("_s"), cell(x).alias("_cx"), cell(y).alias("_cy"))
     spread = spread.select(*by, "_mx", "_my", (F.col("_cx") + F.col("_s.i")).alias("_i"), (F.col("_cy") + F.col("_s.j")).alias("_j"))
-    met = points.withColumn("_i", cell(x)).withColumn("_j", cell(y)).join(spread, [*by, "_i", "_j"], "left")
+    # by place, so that points that repeat stay as many as they are
+    places = points.select(*by, x, y).distinct()
+    met = places.withColumn("_i", cell(x)).withColumn("_j", cell(y)).join(spread, [*by, "_i", "_j"])
     d = F.hypot(F.col(x) - F.col("_mx"), F.col(y) - F.col("_my"))
-    return met.groupBy(*points.columns).agg(F.min(F.when(d <= reach, d)).alias("distance"))
+    near = met.where(d <= reach).groupBy(*by, x, y).agg(F.min(d).alias("distance"))
+    return points.join(near, [*by, x, y], "left").select(*points.columns, "distance")
 
 
 def shell_of(distance: str, width: float):

@@ -40,10 +40,47 @@ def with_p(df: DataFrame, statistic: str, dfs: Sequence[str], kind: str) -> Data
     return df.withColumn("p", p(F.col(statistic).cast("double"), F.col(dfs[0]).cast("double"), F.col(dfs[-1]).cast("double")))
 
 
+#: Ranges that a group's values are cut into for ranking.
+RANGES = 64
+
+
+def in_ranges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """A column ``_range``: the value's range among about ``RANGES`` of its group, equal values together.
+
+    Cuts are approximate quantiles, a few numbers a group; a large group is then ordered range by
+    range in many tasks, and what lies in earlier ranges is added from counts of ranges.
+    """
+    cuts = df.groupBy(*by).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 2000).alias("_cuts"))
+    on = same(by, "_cut_")
+    dealt = df.join(cuts.select(*(F.col(c).alias(f"_cut_{c}") for c in by), "_cuts"), on, "left")
+    at = F.coalesce(F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value))), F.lit(0))
+    return dealt.withColumn("_range", at).drop("_cuts", *(f"_cut_{c}" for c in by))
+
+
+def same(by: Sequence[str], prefix: str) -> Column:
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(prefix + c))
+    return on
+
+
+def _of_ranges(df: DataFrame, by: Sequence[str], **totals: Column) -> DataFrame:
+    """``df`` with a group's range-level figures joined on: one row a range, windows over these only."""
+    w = Window.partitionBy(*by).orderBy("_range")
+    rows = df.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_size"), *(c.alias(f"_{name}") for name, c in totals.items()))
+    earlier, later = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    figures = [F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(*by)).alias("_all")]
+    figures += [F.min(f"_{n}").over(later).alias(f"_later_{n}") for n in totals] + [F.max(f"_{n}").over(earlier).alias(f"_earlier_{n}") for n in totals]
+    small = rows.select(*(F.col(c).alias(f"_of_{c}") for c in [*by, "_range"]), *figures)
+    return df.join(small, same([*by, "_range"], "_of_"), "left").drop(*(f"_of_{c}" for c in [*by, "_range"]))
+
+
 def mid_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
     """Ranks from 1 within each group; equal values share the mean of their ranks."""
-    rank = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    return df.withColumn(name, rank + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0)
+    rows = _of_ranges(in_ranges(df, by, value), by)
+    own = F.rank().over(Window.partitionBy(*by, "_range").orderBy(value))
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, "_range", value))
+    return rows.withColumn(name, F.col("_before") + own + (ties - 1) / 2.0).drop("_range", "_before", "_all")
 
 
 def rank_sum(df: DataFrame, by: Sequence[str], in_a: Column, value: str) -> DataFrame:
@@ -69,21 +106,34 @@ def pearson2_from_sums(df: DataFrame, by: Sequence[str], x: Column, y: Column) -
     return df.groupBy(*by).agg(F.try_divide(top * top, (n * sxx - sx * sx) * (n * syy - sy * sy)).alias("r2"))
 
 
+def _adjusted(df: DataFrame, family: Sequence[str], p: str, id_col: str, raw, upwards: bool) -> DataFrame:
+    """P values times a factor of rank and count, made monotone over the ranks; nulls stay null."""
+    known = _of_ranges(in_ranges(df.where(F.col(p).isNotNull()), family, p), family)
+    own = Window.partitionBy(*family, "_range")
+    rows = known.withColumn("_r", F.col("_before") + F.row_number().over(own.orderBy(p, id_col)))
+    rows = rows.withColumn("_raw", raw(F.col(p), F.col("_all"), F.col("_r"))).drop("_before", "_all")
+    rows = _of_ranges(rows, family, raw=F.max("_raw") if upwards else F.min("_raw"))
+    if upwards:
+        best = F.greatest(F.max("_raw").over(own.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)), F.col("_earlier_raw"))
+    else:
+        best = F.least(F.min("_raw").over(own.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)), F.col("_later_raw"))
+    return rows.withColumn("q", F.least(best, F.lit(1.0))).select(*df.columns, "q").unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+
+
 def benjamini_hochberg(df: DataFrame, family: Sequence[str], p: str, id_col: str) -> DataFrame:
     """P values of each family times n over rank, made monotone from the largest down; nulls stay null."""
-    w = Window.partitionBy(*family)
-    rows = df.withColumn("_n", F.count(p).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.col(p).asc_nulls_last(), id_col)))
-    raw = F.col(p) * F.col("_n") / F.col("_r")
-    q = F.least(F.min(raw).over(w.orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
-    return rows.withColumn("q", F.when(F.col(p).isNotNull(), q)).drop("_n", "_r")
+    return _adjusted(df, family, p, id_col, lambda x, n, r: x * n / r, upwards=False)
 
 
 def holm(df: DataFrame, family: Sequence[str], p: str, id_col: str) -> DataFrame:
     """Holm's step-down adjustment within each family; nulls stay null."""
-    w = Window.partitionBy(*family)
-    rows = df.withColumn("_n", F.count(p).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.col(p).asc_nulls_last(), id_col)))
-    q = F.least(F.max((F.col("_n") - F.col("_r") + 1) * F.col(p)).over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
-    return rows.withColumn("q", F.when(F.col(p).isNotNull(), q)).drop("_n", "_r")
+    return _adjusted(df, family, p, id_col, lambda x, n, r: (n - r + 1) * x, upwards=True)
+
+
+def _row_keys(df: DataFrame) -> Column:
+    """A hash for each row that repeats on any partitioning; equal rows are numbered and get keys of their own."""
+    again = F.row_number().over(Window.partitionBy(*df.columns).orderBy(F.lit(0)))
+    return F.xxhash64(*df.columns, again)
 
 
 def permutation(df: DataFrame, strata: Sequence[str], in_a: Column, value: str, repeats: int, seed: int = 7) -> DataFrame:
@@ -92,7 +142,7 @@ def permutation(df: DataFrame, strata: Sequence[str], in_a: Column, value: str,
     Repeats are dealt over tasks. In each, every row draws a hash-seeded key, and the smallest keys of
     a stratum become group a, as many as it has: labels are shuffled by sorting, on Spark.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*strata, in_a.alias("_a"), F.col(value).cast("double").alias("_v"), F.xxhash64(*df.columns).alias("_id"))
+    rows = df.where(F.col(value).isNotNull()).select(*strata, in_a.alias("_a"), F.col(value).cast("double").alias("_v"), _row_keys(df).alias("_id"))
     sizes = rows.groupBy(*strata).agg(F.count_if("_a").alias("_k"))
     rows = rows.join(sizes, list(strata)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats))))
     place = F.row_number().over(Window.partitionBy("rep", *strata).orderBy(F.when(F.col("rep") == 0, F.when(F.col("_a"), 0).otherwise(1)).otherwise(F.xxhash64("_id", "rep", F.lit(seed))), "_id"))
@@ -105,7 +155,7 @@ def permutation(df: DataFrame, strata: Sequence[str], in_a: Column, value: str,
 
 def bootstrap_median(df: DataFrame, by: Sequence[str], value: str, repeats: int, seed: int = 7) -> DataFrame:
     """Percentile interval of each group's median: rows get hash-seeded Poisson weights in every repeat."""
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.xxhash64(*df.columns).alias("_id"))
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), _row_keys(df).alias("_id"))
     rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     u = F.pmod(F.xxhash64("_id", "rep", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     cuts = np.cumsum([np.exp(-1.0) / np.prod(range(1, k + 1)) for k in range(8)])

@@ -221,7 +221,7 @@ def group_means(spark, d):
 
 @query(f"""with {MATRIX}, n as (select count(*) as n from supplier), m as (select p_brand, sum(v) / max(n) as m, sqrt(greatest(sum(v * v) / max(n) - (sum(v) / max(n)) ** 2, 0)) as sd from x, n group by 1),
   p as (select a.p_brand as a, b.p_brand as b, sum(a.v * b.v) as s from x a join x b using (l_suppkey) where a.p_brand < b.p_brand group by 1, 2)
-  select a, b, round((s / n - ma.m * mb.m) / (ma.sd * mb.sd), 6) + 0 as r from p join m ma on a = ma.p_brand join m mb on b = mb.p_brand, n""")
+  select ma.p_brand as a, mb.p_brand as b, round((coalesce(s, 0) / n - ma.m * mb.m) / (ma.sd * mb.sd), 6) + 0 as r from m ma join m mb on ma.p_brand < mb.p_brand and ma.sd > 0 and mb.sd > 0 left join p on a = ma.p_brand and b = mb.p_brand, n""")
 def feature_correlations(spark, d):
     return _r(matrix.feature_correlations(_matrix(spark, d), _t(spark, d, "supplier"), "l_suppkey", "p_brand", "v"), "r", digits=6)
 
