@@ -79,3 +79,29 @@ def dominance(a: Column, b: Column, least: float, margin: float) -> Column:
     """host, donor, mixed or none: which of two signals stands out by a log2 margin."""
     ratio = F.log2((a + 1e-9) / (b + 1e-9))
     return F.when((a < least) & (b < least), "none").when(ratio >= margin, "host").when(ratio <= -margin, "donor").otherwise("mixed")
+
+
+def cut_edges(c: Column, edges: Sequence[float]) -> Column:
+    """The number of the interval [a, b) between given edges, from 0; the last holds its upper end; null outside."""
+    inside = (c >= edges[0]) & (c <= edges[-1])
+    below = sum(((c >= e).cast("long") for e in edges[1:-1]), F.lit(0).cast("long"))
+    return F.when(inside, below)
+
+
+def threshold_label(c: Column, cuts: Sequence[float], names: Sequence[str]) -> Column:
+    """The name of the first cut that a value lies under; the last name beyond all of them; null for null."""
+    out = F.when(c.isNull(), F.lit(None).cast("string"))
+    for cut, name in zip(cuts, names):
+        out = out.when(c < cut, name)
+    return out.otherwise(names[len(cuts)])
+
+
+def padded(c: Column, digits: int) -> Column:
+    """An id with leading zeros; longer ids stay whole."""
+    text = c.cast("string")
+    return F.when(F.length(text) >= digits, text).otherwise(F.lpad(text, digits, "0"))
+
+
+def log_ratio(a: Column, b: Column, shift: float) -> Column:
+    """log2 of a ratio with the same shift above and below."""
+    return F.log2((a + shift) / (b + shift))

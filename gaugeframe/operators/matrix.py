@@ -35,9 +35,10 @@ def feature_moments(x: DataFrame, rows: DataFrame, feature: str, value: str) ->
     return sums.crossJoin(F.broadcast(n)).select(feature, "nnz", mean.alias("mean"), sd.alias("sd"))  # one row on the right
 
 
-def feature_filter(x: DataFrame, rows: DataFrame, feature: str, value: str, mean_cut: float, sd_cut: float) -> DataFrame:
-    """Features with any value, and mean and sd strictly above the cuts."""
-    return feature_moments(x, rows, feature, value).where((F.col("nnz") > 0) & (F.col("mean") > mean_cut) & (F.col("sd") > sd_cut))
+def feature_filter(x: DataFrame, rows: DataFrame, feature: str, value: str, mean_cut: float, sd_cut: float, any_value: bool = True) -> DataFrame:
+    """Features with any value (unless that isn't asked), and mean and sd strictly above the cuts."""
+    held = (F.col("nnz") > 0) if any_value else F.lit(True)
+    return feature_moments(x, rows, feature, value).where(held & (F.col("mean") > mean_cut) & (F.col("sd") > sd_cut))
 
 
 def unit_variance(x: DataFrame, rows: DataFrame, feature: str, value: str) -> DataFrame:

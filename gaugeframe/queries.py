@@ -2,48 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import table_queries as table_queries  # registers its own
 from .functions import columns as fx
 from .operators import joins, learn, matrix, profiles, search, series, space, stats
 from .plans import verify
 from .plans.spec import Panel
+from .registry import ORACLES as ORACLES
+from .registry import QUERIES as QUERIES
+from .registry import query
+from .registry import rounded as _r
+from .registry import table as _t
 from .streaming import windows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL twin."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _r(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
-    """Round figures for comparison, with no negative zero."""
-    return df.withColumns({n: F.round(n, digits) + 0.0 for n in names})
-
 
 def _seconds(c: str):
     return F.expr(f"timestampdiff(SECOND, timestamp_ntz'2020-01-01 00:00:00', {c})")
 
 
-def _series(spark: SparkSession, d: str) -> DataFrame:
+def _series(spark, d):
     """Events as series: hours since 2020, numbered within each user; one row per user and second."""
     e = _t(spark, d, "events").select("user_id", "event_id", _seconds("ts").alias("s"), "value")
     return e.groupBy("user_id", "s").agg(F.max_by("value", "event_id").alias("value")).withColumn("hours", F.col("s") / 3600.0)
