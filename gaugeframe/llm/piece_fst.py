@@ -405,23 +405,27 @@ def _machine(path: str) -> PieceTransducer:
     return resident(("pieces", path), lambda: PieceTransducer.from_file(path))
 
 
-def _encoded(path: str):
+def _encoded(path: str, checked: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(path)
         for batch in small_batches(batches, 2 << 20):
-            ids = machine.encode_all([t or "" for t in batch["text"].to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            ids = machine.encode_all(texts)
+            out = [batch["doc_id"], pa.array(ids, pa.list_(pa.int32()))]
+            if checked:
+                out.append(pa.array([machine.decode(i.tolist()) == t for i, t in zip(ids, texts)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "round_trip"][: len(out)])
 
     return rows
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id`` and its piece ``ids``.
+def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", checked: bool = False) -> DataFrame:
+    """One row per document: ``doc_id`` and its piece ``ids``; if ``checked``, also whether they decode to the text.
 
     Null and empty texts have no ids. Rows are encoded one by one: repeated rows and null ids come
     back as they are, further columns are ignored, and an empty table gives an empty result.
     """
-    return id_and_text(docs, id_col, text_col).mapInArrow(_encoded(model_path), "doc_id long, ids array<int>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(_encoded(model_path, checked), "doc_id long, ids array<int>" + (", round_trip boolean" if checked else ""))
 
 
 def _decoded(path: str):

@@ -75,6 +75,7 @@ def test_encoding_stage(stages):
     assert len(stages[0][5]) == len(stages[0][4])
     for r in stages[0][5][:150]:
         assert r.ids == library.encode(texts[r.doc_id].text) and r.n_ids == len(r.ids)
+        assert r.round_trip == (library.decode(r.ids) == texts[r.doc_id].text)
 
 
 def test_run_is_the_stages(spark, stages):
@@ -91,7 +92,7 @@ def test_odd_rows_pass_every_stage(spark):
         d = start
         for _, stage in corpus_pipeline.STAGES:
             d = corpus_pipeline.written(stage(spark, d, DIR), "stage")
-        assert d.columns == ["doc_id", "ids", "n_ids"] and d.where(F.col("n_ids") > 0).count() == d.where(F.size("ids") > 0).count()
+        assert d.columns == ["doc_id", "ids", "round_trip", "n_ids"] and d.where(F.col("n_ids") > 0).count() == d.where(F.size("ids") > 0).count()
 
 
 def test_registered():

@@ -198,5 +198,7 @@ def test_piece_rows(make_docs, pieces):
     encoded = piece_fst.encode_pieces(docs, PIECES)
     assert sorted((r.doc_id or 0, r.ids) for r in encoded.collect()) == sorted([(1, library.encode("né\n  x"))] * 2 + [(0, library.encode("a▁b")), (3, []), (4, [])])
     assert sorted(r.text for r in piece_fst.decode_pieces(encoded, PIECES).collect()) == sorted(["né\n  x"] * 2 + ["a b", "", ""])
+    checked = piece_fst.encode_pieces(docs, PIECES, checked=True)
+    assert sorted((r.doc_id or 0, r.ids, r.round_trip) for r in checked.collect()) == sorted((r.doc_id or 0, r.ids, r.doc_id is not None) for r in encoded.collect())
     rows = {r.doc_id: r for r in piece_fst.piece_digests(docs, PIECES).collect()}
     assert rows[1].round_trip and rows[4].round_trip and rows[3].n_ids == 0 and not rows[None].round_trip
