@@ -38,8 +38,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document: ``doc_id``, ``ids`` and ``n_ids``."""
-    encoded = piece_fst.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """Piece ids of each document, decoded again: ``doc_id``, ``ids``, ``round_trip`` and ``n_ids``."""
+    encoded = piece_fst.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), checked=True)
     return encoded.withColumn("n_ids", F.size("ids").cast("long"))
 
 
