@@ -161,14 +161,14 @@ def _for_parts(leads: DataFrame, hot: DataFrame) -> DataFrame:
     return leads.join(hot, "a", "left").withColumn("part", F.explode(parts)).drop("parts")
 
 
-def _star_tests(stars: DataFrame, sets: DataFrame, percent: int, tables: Scratch) -> DataFrame:
+def _star_tests(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Each lead a and member b: sizes, the shingles in one set but not the other, and whether they are linked."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     apart = F.concat(F.array_except("of_a", "of_b"), F.array_except("of_b", "of_a"))
     size = lambda x: F.size(x).cast("long")
-    stars, hot = _in_parts(stars, tables, "hot")
-    rows = stars.join(_for_parts(one, hot), ["a", "part"]).join(other, "b").select("a", "b", size("of_a").alias("n_a"), size("of_b").alias("n_b"), apart.alias("apart"))
+    # both joins read one shuffle of the sets; Spark splits a lead whose members are too many for a task
+    rows = stars.join(one, "a").join(other, "b").select("a", "b", size("of_a").alias("n_a"), size("of_b").alias("n_b"), apart.alias("apart"))
     # 100 * shared >= percent * union, written with the number of shingles apart
     return rows.withColumn("linked", (100 - percent) * (F.col("n_a") + F.col("n_b")) >= (100 + percent) * size("apart"))
 
@@ -260,8 +260,8 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, shingle_words: int
     leads = members.join(middle, "node").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("node")).alias("minus"))).alias("lead")).select("bucket", (-F.col("lead.minus")).alias("lead"))
     stars = members.join(leads, "bucket").where(F.col("lead") != F.col("node")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     sets = _member_sets(rows, classes, members, shingle_words, tables)
-    tested = tables.write(_star_tests(tables.write(stars, "stars"), sets, percent, tables), "tested")
-    tables.drop("buckets", "members", "nodes", "sets", "stars", "hot")
+    tested = tables.write(_star_tests(tables.write(stars, "stars"), sets, percent), "tested")
+    tables.drop("buckets", "members", "nodes", "sets", "stars")
     linked = components(tested.where("linked").select("a", "b"))
     # cells whose members are of several components: look for links across them
     at = linked.withColumnRenamed("node", "at")
