@@ -28,7 +28,7 @@ def rows(stage):
 
 
 def test_columns_stay(stages):
-    assert all(c == stages[1][0] for c in stages[1][1:-1]) and stages[1][-1] == ["doc_id", "ids", "n_ids"]
+    assert all(c == stages[1][0] for c in stages[1][1:-1]) and stages[1][-1] == ["doc_id", "ids", "round_trip", "n_ids"]
 
 
 def test_quality_stage(spark, stages):
