@@ -98,7 +98,8 @@ def outliers(df: DataFrame, entity: str, place: str, value: str, least: int) ->
 def match(one: DataFrame, other: DataFrame, by: Sequence[str], id_col: str, at: Sequence[str], reach: float) -> DataFrame:
     """One-to-one matches of least total distance within each group, none farther than ``reach``.
 
-    A group is one frame of one series, small by nature; groups are solved side by side.
+    A group is solved in one task as a dense matrix, groups side by side, so ``by`` must keep groups
+    small (one frame of one series); nothing splits a large one.
     """
     def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values(id_col), b.sort_values(id_col)
