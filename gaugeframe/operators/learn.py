@@ -10,7 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import joins
+from ..session import cut
+from . import joins, stats
 
 
 def project(reference: DataFrame, other: DataFrame, vector: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +51,7 @@ def communities(edges: DataFrame, rounds: int, seed: int = 7) -> DataFrame:
     for n in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
         labels = near.groupBy(F.col("a").alias("node")).agg(F.max_by("label", F.struct("w", F.xxhash64("label", F.lit(seed + n)))).alias("label"))
-        labels = labels.checkpoint() if labels.sparkSession.sparkContext.getCheckpointDir() else labels
+        labels = cut(labels)
     return labels
 
 
@@ -66,9 +67,11 @@ def chosen_features(x: DataFrame, labels: DataFrame, row: str, feature: str, val
     pairs = named.select("_l").distinct().withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("_k", order).where("_k <= 2")
     drawn = named.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).where(F.pmod(F.xxhash64(row, "trial", F.lit(seed)), F.lit(1000)) < int(1000 * share))
     drawn = drawn.join(pairs, ["trial", "_l"]).withColumn("_r", F.xxhash64(row, "trial", F.lit(seed + 1)))
-    w = Window.partitionBy("trial")
-    shuffled = F.row_number().over(w.orderBy("_r", row)) <= F.sum((F.col("_k") == 1).cast("int")).over(w)
-    sides = drawn.withColumn("real", F.col("_k") == 1).withColumn("shuffled", shuffled)
+    # labels are shuffled by the order of hashes; a trial is ordered range by range, as many tasks as ranges
+    dealt = stats.of_ranges(drawn.withColumn("_range", F.shiftright("_r", 58)), ["trial"])
+    sizes = drawn.groupBy("trial").agg(F.count_if(F.col("_k") == 1).alias("_n_a"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("trial", "_range").orderBy("_r", row))
+    sides = dealt.join(sizes, "trial").withColumn("real", F.col("_k") == 1).withColumn("shuffled", place <= F.col("_n_a"))
     totals = sides.groupBy("trial").agg(F.count_if("real").alias("n_a"), F.count_if(~F.col("real")).alias("n_b"))
     both = x.join(sides.select(row, "trial", F.explode(F.array(F.struct(F.lit("real").alias("kind"), F.col("real").alias("a")), F.struct(F.lit("shuffled").alias("kind"), F.col("shuffled").alias("a")))).alias("s")), row)
     v = F.col(value)

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stats
+
 
 def row_metrics(x: DataFrame, row: str, value: str, flags: dict[str, Column]) -> DataFrame:
     """Total, features above 0, and for each flag the percentage of the total in flagged features."""
@@ -50,7 +52,7 @@ def unit_variance(x: DataFrame, rows: DataFrame, feature: str, value: str) -> Da
 def normalize_total(x: DataFrame, row: str, value: str) -> DataFrame:
     """Each row scaled to the median of the row totals."""
     totals = x.groupBy(row).agg(F.sum(value).alias("_total"))
-    target = totals.agg(F.median("_total").alias("_target"))
+    target = stats.exact_quantile(totals, [], "_total", 0.5, "_target")
     scale = totals.crossJoin(F.broadcast(target)).select(row, F.try_divide("_target", "_total").alias("_scale"))  # one row on the right
     return x.join(scale, row).withColumn(value, F.col(value) * F.col("_scale")).drop("_scale")
 
@@ -118,15 +120,18 @@ def rollup_levels(df: DataFrame, levels: Sequence[str], counts: Sequence[str], r
 
 def nested_median(df: DataFrame, inner: Sequence[str], outer: Sequence[str], value: str, least: int) -> DataFrame:
     """Median over inner groups of their medians; groups of fewer than ``least`` values are left out."""
-    one = df.groupBy(*inner).agg(F.median(value).alias("m"), F.count(value).alias("n")).where(F.col("n") >= least)
-    return one.groupBy(*outer).agg(F.median("m").alias("median"), F.count(F.lit(1)).alias("n_groups"))
+    enough = df.groupBy(*inner).agg(F.count(value).alias("n")).where(F.col("n") >= least)
+    one = stats.exact_quantile(df, inner, value, 0.5, "m").join(enough, list(inner))
+    sizes = one.groupBy(*outer).agg(F.count(F.lit(1)).alias("n_groups"))
+    return stats.exact_quantile(one, outer, "m", 0.5, "median").join(sizes, list(outer))
 
 
 def robust_sigma(df: DataFrame, by: Sequence[str], value: str, floor: float) -> DataFrame:
     """Median and 1.4826 times the median absolute deviation, at least ``floor``."""
-    middle = df.groupBy(*by).agg(F.median(value).alias("median"))
+    middle = stats.exact_quantile(df, by, value, 0.5, "median")
     off = df.join(middle, list(by)).withColumn("_off", F.abs(F.col(value) - F.col("median")))
-    return off.groupBy(*by).agg(F.first("median").alias("median"), F.greatest(1.4826 * F.median("_off"), F.lit(floor)).alias("sigma"))
+    spread = stats.exact_quantile(off, by, "_off", 0.5, "_mad")
+    return middle.join(spread, list(by)).select(*by, "median", F.greatest(1.4826 * F.col("_mad"), F.lit(floor)).alias("sigma"))
 
 
 def set_scores(x: DataFrame, members: DataFrame, row: str, feature: str, value: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import stats
+
 
 def _summary(value: str) -> list[Column]:
     """Mean, sd (0 for one value), standard error and count."""
@@ -147,8 +149,9 @@ def region_table(pixels: DataFrame, by: Sequence[str], label: str, x: str, y: st
 
 def illumination(pixels: DataFrame, frame: str, x: str, y: str, value: str) -> DataFrame:
     """The field of a stack: per frame over its median, then the median over frames at each pixel."""
-    middle = pixels.groupBy(frame).agg(F.median(value).alias("_m"))
-    return pixels.join(middle, frame).groupBy(x, y).agg(F.median(F.try_divide(value, "_m")).alias("field"))
+    middle = stats.exact_quantile(pixels, [frame], value, 0.5, "_m")
+    flat = pixels.join(middle, frame).select(x, y, F.try_divide(value, "_m").alias("_flat"))
+    return stats.exact_quantile(flat, [x, y], "_flat", 0.5, "field")
 
 
 def mask_overlap(pixels: DataFrame, by: Sequence[str], time: str, pixel: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import assign
+from ..session import cut
+from . import graph
 
 
 def top_two(df: DataFrame, row: str, col: str, score: str) -> DataFrame:
@@ -96,25 +98,43 @@ def outliers(df: DataFrame, entity: str, place: str, value: str, least: int) ->
 
 
 def match(one: DataFrame, other: DataFrame, by: Sequence[str], id_col: str, at: Sequence[str], reach: float) -> DataFrame:
-    """One-to-one matches of least total distance within each group, none farther than ``reach``.
+    """One-to-one matches within each group: as many as can be, of least total distance, none farther than ``reach``.
 
-    A group is solved in one task as a dense matrix, groups side by side, so ``by`` must keep groups
-    small (one frame of one series); nothing splits a large one.
+    Pairs come from an equi-join on cells as wide as the reach. The pairs fall into connected sets, which
+    joins find; no match crosses two of them, so each is solved by itself, groups side by side. A set is one
+    task, and how large sets get depends on how densely points lie within the reach, not on the table.
+    Rows without a place, and rows of a null group, match nothing; ids are unique on each side of a group.
     """
-    def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(id_col), b.sort_values(id_col)
-        d = np.sqrt(((a[list(at)].to_numpy(float)[:, None] - b[list(at)].to_numpy(float)[None]) ** 2).sum(2))
-        far = 1e6 * (1 + reach)
-        pairs = [(i, j) for i, j in assign(np.where(d <= reach, d, far)) if d[i, j] <= reach] if d.size else []
-        i, j = [p[0] for p in pairs], [p[1] for p in pairs]
-        left, right = a.iloc[i].reset_index(drop=True), b[id_col].iloc[j].reset_index(drop=True)
-        return left[[*by]].assign(a=left[id_col], b=right, distance=np.array([d[p] for p in pairs], float))
-
-    kinds = {f.name: f.dataType.simpleString() for f in one.schema.fields}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), f"a {kinds[id_col]}", f"b {kinds[id_col]}", "distance double"])
-    one, other = one.join(other.select(*by).distinct(), list(by), "left_semi"), other.join(one.select(*by).distinct(), list(by), "left_semi")
-    other = other.select(*(F.col(c).alias(c) for c in other.columns))  # so that both may come from one table
-    return one.groupBy(*by).cogroup(other.groupBy(*by)).applyInPandas(solve, schema)
+    pairs = cut(_within(one, other, by, id_col, at, reach))
+    node = lambda side, c: F.xxhash64(*by, F.lit(side), c)  # noqa: E731  equal hashes would only join two sets
+    linked = pairs.withColumn("_a", node(0, "a")).withColumn("_b", node(1, "b"))
+    roots = graph.components(linked, "_a", "_b")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*by, "a", "b"]).drop_duplicates([*by, "a", "b"])
+        i, _ = pd.factorize(pd.MultiIndex.from_frame(pdf[[*by, "a"]]))
+        j, _ = pd.factorize(pd.MultiIndex.from_frame(pdf[[*by, "b"]]))
+        cost = np.full((i.max() + 1, j.max() + 1), 1e6 * (1 + reach))
+        row = np.full(cost.shape, -1)
+        cost[i, j], row[i, j] = pdf["distance"], np.arange(len(pdf))
+        chosen = [row[p] for p in assign(cost)]
+        return pdf.iloc[[k for k in chosen if k >= 0]].drop(columns="_root")
+
+    sets = linked.join(roots.select(F.col("node").alias("_a"), F.col("root").alias("_root")), "_a").select(*pairs.columns, "_root")
+    return sets.groupBy("_root").applyInPandas(solve, pairs.schema)
+
+
+def _within(one: DataFrame, other: DataFrame, by: Sequence[str], id_col: str, at: Sequence[str], reach: float) -> DataFrame:
+    """Pairs (a, b) of a group within the reach: the other side goes to all cells around its own."""
+    cells = lambda p: [F.floor(F.col(f"{p}{i}") / reach).cast("long") for i in range(len(at))]
+    rows = lambda df, p, name: df.select(*by, F.col(id_col).alias(name), *(F.col(c).cast("double").alias(f"{p}{i}") for i, c in enumerate(at))).dropna()
+    left = rows(one, "_x", "a").select("*", *(c.alias(f"_c{i}") for i, c in enumerate(cells("_x"))))
+    right = rows(other, "_y", "b").select("*", *(c.alias(f"_c{i}") for i, c in enumerate(cells("_y"))))
+    for i in range(len(at)):
+        right = right.withColumn(f"_c{i}", F.explode(F.array(*(F.col(f"_c{i}") + k for k in (-1, 0, 1)))))
+    met = left.join(right, [*by, *(f"_c{i}" for i in range(len(at)))])
+    d = F.sqrt(sum(((F.col(f"_x{i}") - F.col(f"_y{i}")) ** 2 for i in range(len(at))), F.lit(0.0)))
+    return met.select(*by, "a", "b", d.alias("distance")).where(F.col("distance") <= reach)
 
 
 def beam(spark, items: Sequence[str], score, width: int, rounds: int, start: Sequence[str] = ()) -> tuple[tuple[str, ...], float]:

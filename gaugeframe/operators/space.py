@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import search
 
 
@@ -44,7 +45,7 @@ def chain_roots(links: DataFrame, node: str, before: str) -> DataFrame:
     while True:
         jump = at.select(F.col("node").alias("root"), F.col("root").alias("_next"))
         moved = at.join(jump, "root").select("node", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("_moved"))
-        moved = moved.checkpoint() if moved.sparkSession.sparkContext.getCheckpointDir() else moved.persist()
+        moved = cut(moved)
         at = moved.select("node", "root")
         if moved.where("_moved").isEmpty():
             return at
@@ -53,7 +54,8 @@ def chain_roots(links: DataFrame, node: str, before: str) -> DataFrame:
 def tracks(detections: DataFrame, by: Sequence[str], frame: str, id_col: str, at: Sequence[str], reach: float) -> DataFrame:
     """A track id for each detection: one-to-one links of least distance between neighbouring frames, chained.
 
-    Each pair of frames is solved by itself, side by side; the id is that of the track's first detection.
+    Each pair of frames is solved by itself, side by side, and in it each set of detections that chain within
+    the reach; the id is that of the track's first detection.
     """
     here = detections.select(*by, F.col(frame).alias("_f"), id_col, *at)
     following = here.withColumn("_f", F.col("_f") - 1)
@@ -80,7 +82,7 @@ def regions(cells: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
         near = rows.join(told, [*by, "place"])
         root = rows.select(*by, F.col("place").alias("_near"), F.col("region").alias("_root"))
         moved = near.join(root, [*by, "_near"]).select(*by, x, y, "place", F.col("_root").alias("_new"), (F.col("_root") < F.col("region")).alias("_moved"))
-        moved = moved.checkpoint() if moved.sparkSession.sparkContext.getCheckpointDir() else moved.persist()
+        moved = cut(moved)
         rows = moved.select(*by, x, y, "place", F.col("_new").alias("region"))
         if moved.where("_moved").isEmpty():
             return rows.select(*by, x, y, "region")

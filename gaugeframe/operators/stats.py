@@ -42,15 +42,20 @@ def with_p(df: DataFrame, statistic: str, dfs: Sequence[str], kind: str) -> Data
 
 #: Ranges that a group's values are cut into for ranking.
 RANGES = 64
+#: Groups of up to as many rows are one range.
+SMALL = 10_000
 
 
 def in_ranges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """A column ``_range``: the value's range among about ``RANGES`` of its group, equal values together.
 
     Cuts are approximate quantiles, a few numbers a group; a large group is then ordered range by
-    range in many tasks, and what lies in earlier ranges is added from counts of ranges.
+    range in many tasks, and what lies in earlier ranges is added from counts of ranges. A small group
+    is a single range, which gives the same figures.
     """
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 2000).alias("_cuts"))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > SMALL)
+    large = sizes.select(*(F.col(c).alias(f"_cut_{c}") for c in by), "_rows")
+    cuts = df.join(large, same(by, "_cut_"), "left_semi").groupBy(*by).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 2000).alias("_cuts"))
     on = same(by, "_cut_")
     dealt = df.join(cuts.select(*(F.col(c).alias(f"_cut_{c}") for c in by), "_cuts"), on, "left")
     at = F.coalesce(F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value))), F.lit(0))
@@ -64,7 +69,7 @@ def same(by: Sequence[str], prefix: str) -> Column:
     return on
 
 
-def _of_ranges(df: DataFrame, by: Sequence[str], **totals: Column) -> DataFrame:
+def of_ranges(df: DataFrame, by: Sequence[str], **totals: Column) -> DataFrame:
     """``df`` with a group's range-level figures joined on: one row a range, windows over these only."""
     w = Window.partitionBy(*by).orderBy("_range")
     rows = df.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_size"), *(c.alias(f"_{name}") for name, c in totals.items()))
@@ -75,9 +80,34 @@ def _of_ranges(df: DataFrame, by: Sequence[str], **totals: Column) -> DataFrame:
     return df.join(small, same([*by, "_range"], "_of_"), "left").drop(*(f"_of_{c}" for c in [*by, "_range"]))
 
 
+def exact_quantile(df: DataFrame, by: Sequence[str], value: str, q: float, name: str) -> DataFrame:
+    """Each group's quantile, between the two nearest values in proportion; null for a group without values.
+
+    Equal values are counted together first. The groups' ranges tell which of them holds the wanted place,
+    and only those are ordered, so that no task holds a group's values whole.
+    """
+    counts = df.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = in_ranges(counts.where("_v is not null"), by, "_v")
+    sums = rows.groupBy(*by, "_range").agg(F.sum("_n").alias("_size"))
+    w = Window.partitionBy(*by)
+    sums = sums.withColumn("_before", F.sum("_size").over(w.orderBy("_range")) - F.col("_size")).withColumn("_at", q * (F.sum("_size").over(w) - 1))
+    held = sums.where((F.col("_before") <= F.ceil("_at")) & (F.col("_before") + F.col("_size") > F.floor("_at")))
+    small = held.select(*(F.col(c).alias(f"_of_{c}") for c in [*by, "_range"]), "_before", "_at")
+    near = rows.join(small, same([*by, "_range"], "_of_"))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy("_v"))
+    place = lambda k: F.min(F.when(F.col("_upto") > k("_at"), F.col("_v")))
+    low, high = place(F.floor), place(F.ceil)
+    found = near.withColumn("_upto", upto).groupBy(*by).agg((low + (high - low) * (F.max("_at") - F.floor(F.max("_at")))).alias(name))
+    if not by:
+        return found
+    groups = df.select(*by).distinct()
+    own = found.select(*(F.col(c).alias(f"_of_{c}") for c in by), name)
+    return groups.join(own, same(by, "_of_"), "left").select(*by, name)
+
+
 def mid_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
     """Ranks from 1 within each group; equal values share the mean of their ranks."""
-    rows = _of_ranges(in_ranges(df, by, value), by)
+    rows = of_ranges(in_ranges(df, by, value), by)
     own = F.rank().over(Window.partitionBy(*by, "_range").orderBy(value))
     ties = F.count(F.lit(1)).over(Window.partitionBy(*by, "_range", value))
     return rows.withColumn(name, F.col("_before") + own + (ties - 1) / 2.0).drop("_range", "_before", "_all")
@@ -108,11 +138,11 @@ def pearson2_from_sums(df: DataFrame, by: Sequence[str], x: Column, y: Column) -
 
 def _adjusted(df: DataFrame, family: Sequence[str], p: str, id_col: str, raw, upwards: bool) -> DataFrame:
     """P values times a factor of rank and count, made monotone over the ranks; nulls stay null."""
-    known = _of_ranges(in_ranges(df.where(F.col(p).isNotNull()), family, p), family)
+    known = of_ranges(in_ranges(df.where(F.col(p).isNotNull()), family, p), family)
     own = Window.partitionBy(*family, "_range")
     rows = known.withColumn("_r", F.col("_before") + F.row_number().over(own.orderBy(p, id_col)))
     rows = rows.withColumn("_raw", raw(F.col(p), F.col("_all"), F.col("_r"))).drop("_before", "_all")
-    rows = _of_ranges(rows, family, raw=F.max("_raw") if upwards else F.min("_raw"))
+    rows = of_ranges(rows, family, raw=F.max("_raw") if upwards else F.min("_raw"))
     if upwards:
         best = F.greatest(F.max("_raw").over(own.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)), F.col("_earlier_raw"))
     else:
