@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, line_dedup, merkle, near_dups, piece_fst, quality, secrets, token_store, url_filter
+from . import conv_repair, decontam, fill_middle, licenses, line_dedup, merkle, near_dups, neighbour_graph, piece_fst, quality, secrets, token_store, url_filter
 from .oracles import ORACLES as ORACLES
 
 
@@ -60,6 +60,18 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_graph.nearest_rows(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"), digests=True)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_repair.repair(conv_repair.damage(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_secret_scan": op2_secret_scan,
@@ -71,4 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_merkle": op10_merkle,
+    "op11_neighbours": op11_neighbours,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
