@@ -1,96 +1,233 @@
 """Exact small-sample statistics and resampling of series.
 
-Exact tests enumerate a group's assignments, so a group is one experiment: at most ``MOST`` of them are
-enumerated, and a larger group's P is null, to be had from ``stats.permutation``. Groups are counted by
-Spark before any reaches a task, so a large one never does.
+An exact test counts all ways to relabel a group's rows within its strata. A group with few ways is enumerated in
+one task. One with many is met in the middle: its rows are split in two sides, every choice on either side is a row
+with its sum, and both sides' sums are counted against each other range by range, so 10^11 ways need 10^6 rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import t_two_sided
-from .stats import welch
+from ..session import cut
+from .stats import in_tied_order, placed, same, welch
 
-MOST = 20_000
+#: Ways of a group that one task enumerates, at most, and rows that a group's sides may have.
+MOST, MOST_SUMS = 20_000, 50_000_000
+#: Rows of a group that are ever gathered: the sides of more would be beyond ``MOST_SUMS`` for most splits.
+MOST_ROWS = 120
+#: Rows of a side whose choices one row of work enumerates.
+SUFFIX = 14
 
 
-class _Assignments:
-    """All ways to choose group a within each stratum: their sums, and how many of a's own values they keep."""
-
-    def __init__(self, strata: list[tuple[np.ndarray, np.ndarray]]):
-        self.sums, self.kept = [], []
-        for a, b in strata:
-            values, own = np.concatenate([a, b]), np.arange(len(a) + len(b)) < len(a)
-            chosen = np.array(list(combinations(range(len(values)), len(a))), int).reshape(comb(len(values), len(a)), len(a))
-            self.sums.append(values[chosen].sum(1))
-            self.kept.append(own[chosen].sum(1))
-        self.n_a, self.n = sum(len(a) for a, _ in strata), sum(len(a) + len(b) for a, b in strata)
-        self.in_a, self.total = sum(a.sum() for a, _ in strata), sum(a.sum() + b.sum() for a, b in strata)
+class Relabelled:
+    """A group's rows by stratum, and the statistic: the strata's differences of means, weighted by their sizes.
 
-    def share_as_far(self, shift: float = 0.0) -> float:
-        """The share of assignments whose difference of means is as far from 0 as the observed, group a moved down by ``shift``.
+    It is linear in the rows that are chosen for group a: the sum of their ``weights`` times values, less ``middle``.
+    """
 
-        The total of group a decides the difference. The last stratum's sums are sorted, and each sum
-        of the others counts both tails there by bisection.
+    def __init__(self, strata: Sequence, in_a: Sequence, values: Sequence) -> None:
+        _, at = np.unique(np.array(strata, str), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        self.stratum, self.own, v = at[order], np.asarray(in_a, bool)[order], np.asarray(values, float)[order]
+        self.n, self.k = np.bincount(self.stratum), np.bincount(self.stratum, self.own).astype(int)
+        share, b = self.n / self.n.sum(), self.n - self.k
+        self.weights = (share * self.n / (self.k * b))[self.stratum]
+        self.values = v * self.weights
+        self.middle = float((share / b * np.bincount(self.stratum, v)).sum())
+        self.seen = float(self.values[self.own].sum()) - self.middle
+        #: how much the statistic's middle falls when group a is moved down by 1; sums fall by the weights they keep
+        self.fall = float((share * self.k / b).sum())
+        self.slack = 1e-9 * max(1.0, abs(self.middle))
+        self.span = float(np.ptp(v)) or 1.0
+
+    def split(self) -> tuple[int, int]:
+        """Where to cut the rows in two sides so that these have the fewest choices, and how many they have."""
+        ends = np.cumsum(self.n)
+        best = None
+        for p in range(len(self.stratum) + 1):
+            left = right = 1
+            for n, k, end in zip(self.n.tolist(), self.k.tolist(), ends.tolist()):
+                m = min(max(p - (end - n), 0), n)
+                counts = [(comb(m, j), comb(n - m, k - j)) for j in range(max(0, k - n + m), min(k, m) + 1)]
+                left, right = left * sum(c for c, _ in counts), right * sum(c for _, c in counts)
+            if best is None or left + right < best[1]:
+                best = (p, left + right)
+        return best
+
+    def ways(self) -> float:
+        return float(np.prod([float(comb(n, k)) for n, k in zip(self.n.tolist(), self.k.tolist())]))
+
+    def sums(self, first: int, last: int, mask: int, fixed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All choices from the rows ``first`` to ``last``: how many of the stratum that the cut divides, sums, kept weights.
+
+        The bits of ``mask`` say which of the ``fixed`` leading rows are chosen. A stratum that ends before the cut, or
+        begins behind it, has its full number; behind the cut the divided one is counted by what is left before it.
         """
-        middle = (self.total - shift * self.n_a) * self.n_a / self.n  # where the difference of means is 0
-        seen = abs(self.in_a - shift * self.n_a - middle)
+        here = self.stratum[first:last]
+        ends = np.cumsum(self.n)
+        sums, kept, count = np.zeros(1), np.zeros(1), np.zeros(1, int)
+        key = np.zeros(1, int)
+        for i in range(first, last):
+            s = int(self.stratum[i])
+            if i == first or s != here[i - 1 - first]:
+                count = np.zeros(len(sums), int)
+            options = (0, 1) if i - first >= fixed else (mask >> (i - first) & 1,)
+            sums, kept, count, key = (np.concatenate(x) for x in zip(*((sums + o * self.values[i], kept + o * self.weights[i] * self.own[i], count + o, key) for o in options)))
+            left = int(ends[s]) - 1 - i if last >= ends[s] else self.n[s]
+            whole = ends[s] - self.n[s] >= first
+            good = count <= self.k[s]
+            if last >= ends[s] and whole:
+                good &= count + left >= self.k[s]
+            sums, kept, count, key = sums[good], kept[good], count[good], key[good]
+            if i + 1 == last or self.stratum[i + 1] != s:
+                if not whole:  # the part of the divided stratum behind the cut
+                    key = self.k[s] - count
+                elif last < ends[s]:
+                    key = count
+        return key, sums, kept
+
+
+class _Assignments:
+    """All ways to choose group a within each stratum, for groups with few of them."""
+
+    def __init__(self, rows: Relabelled):
+        self.rows, self.sums, self.kept = rows, [], []
+        for s in range(len(rows.n)):
+            at = np.flatnonzero(rows.stratum == s)
+            chosen = at[np.array(list(combinations(range(len(at)), int(rows.k[s]))), int)]
+            self.sums.append(rows.values[chosen].sum(1))
+            self.kept.append((rows.weights * rows.own)[chosen].sum(1))
+
+    def share_as_far(self, shift: float = 0.0) -> float:
+        """The share of ways whose statistic is as far from 0 as the observed, group a moved down by ``shift``."""
+        middle, far = self.rows.middle - shift * self.rows.fall, abs(self.rows.seen - shift) - self.rows.slack
         every = [s - shift * k for s, k in zip(self.sums, self.kept)]
         last, rest = np.sort(every[-1]), np.zeros(1)
         for sums in every[:-1]:
             rest = (rest[:, None] + sums[None, :]).ravel()
-        slack = 1e-9 * max(1.0, abs(self.total))
-        low = np.searchsorted(last, middle - seen + slack - rest, "right")
-        high = len(last) - np.searchsorted(last, middle + seen - slack - rest, "left")
+        low = np.searchsorted(last, middle - far - rest, "right")
+        high = len(last) - np.searchsorted(last, middle + far - rest, "left")
         return float(np.minimum(low + high, len(last)).sum() / (len(last) * len(rest)))
 
-    def limit(self, inside: float, outside: float, alpha: float, steps: int) -> float | None:
-        """Where P falls to ``alpha`` between a shift that is kept and one that is not, by bisection."""
-        if self.share_as_far(outside) > alpha:
+    def limit(self, side: int, alpha: float, steps: int) -> float | None:
+        """Where P falls below ``alpha`` between the observed difference and three spans beside it, by bisection."""
+        inside, outside = self.rows.seen, self.rows.seen + side * 3 * self.rows.span
+        if self.share_as_far(outside) >= alpha:
             return None
         for _ in range(steps):
             at = (inside + outside) / 2
-            inside, outside = (at, outside) if self.share_as_far(at) > alpha else (inside, at)
+            inside, outside = (at, outside) if self.share_as_far(at) >= alpha else (inside, at)
         return (inside + outside) / 2
 
 
-def exact_permutation(df: DataFrame, by: Sequence[str], stratum: str, in_a: Column, value: str, alpha: float = 0.05, steps: int = 18) -> DataFrame:
+def exact_permutation(df: DataFrame, by: Sequence[str], stratum: str, in_a: Column, value: str, alpha: float = 0.05, steps: int = 18, interval: bool = True, most: int = MOST) -> DataFrame:
     """Each group's difference of means, its exact stratified P, and the interval of shifts that aren't rejected.
 
-    Null values are left out. A group without both sides has no row; an end of the interval that no
-    shift reaches is null.
+    The difference is that of each stratum, weighted by the stratum's share of the rows; a stratum with one side only
+    tells nothing and is left out, and so is a group of such strata. Null values are left out. An end of the interval
+    that no shift reaches is null. P and interval are null for a group of more than ``MOST_ROWS`` rows, or whose sides
+    need more than ``MOST_SUMS`` rows: ``stats.permutation`` estimates these. Groups of up to ``most`` ways are
+    enumerated in a task each; how a group is counted doesn't change its figures.
     """
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(stratum).alias("_s"), in_a.alias("_a"), F.col(value).cast("double").alias("_v")).where("_a is not null")
-    sizes = rows.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_a").alias("_k"))
-    # ways to choose, by logarithms of factorials: log C(n, k)
-    ways = sum((sign * F.aggregate(F.sequence(F.lit(0), n.cast("int")), F.lit(0.0), lambda acc, i: acc + F.log(F.greatest(i, F.lit(1)).cast("double"))) for sign, n in ((1, F.least("_n", F.lit(2000))), (-1, F.least("_k", F.lit(2000))), (-1, F.least(F.col("_n") - F.col("_k"), F.lit(2000))))), F.lit(0.0))
-    small = F.coalesce(F.sum(F.when(F.col("_n") <= 2000, ways).otherwise(1e9)) <= float(np.log(MOST)), F.lit(False))
-    groups = sizes.groupBy(*by).agg(small.alias("_small"), F.sum("_k").alias("na"), F.sum(F.col("_n") - F.col("_k")).alias("nb")).where("na > 0 and nb > 0")
-
-    @F.pandas_udf("struct<p double, low double, high double>")
-    def solve(names: pd.Series, sides: pd.Series, values: pd.Series) -> pd.DataFrame:
+    m = rows.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_a").alias("_k"), F.avg(F.when(F.col("_a"), F.col("_v"))).alias("_m"), F.avg(F.when(~F.col("_a"), F.col("_v"))).alias("_o"))
+    m = cut(m.where("_k > 0 and _k < _n"))
+    groups = m.groupBy(*by).agg(F.sum("_k").alias("na"), F.sum(F.col("_n") - F.col("_k")).alias("nb"), (F.sum(F.col("_n") * (F.col("_m") - F.col("_o"))) / F.sum("_n")).alias("difference"))
+    told = groups.where(F.col("na") + F.col("nb") <= MOST_ROWS).select(*(F.col(c).alias(f"_g_{c}") for c in by), "na")
+    kept = m.select(*(F.col(c).alias(f"_g_{c}") for c in by), F.col("_s").alias("_g__s"))
+    rows = rows.join(kept, same([*by, "_s"], "_g_"), "left_semi").join(told, same(by, "_g_"), "left_semi")
+    one = F.struct(F.coalesce(F.col("_s").cast("string"), F.lit("")).alias("s"), F.col("_a").alias("a"), F.col("_v").alias("v"))
+    held = rows.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("_x")).withColumn("_id", F.to_json(F.struct(F.lit(0).alias("_"), *by)))
+
+    @F.pandas_udf("struct<ways double, sums double, p double, low double, high double>")
+    def solve(strata: pd.Series, sides: pd.Series, values: pd.Series) -> pd.DataFrame:
         out = []
-        for s, in_first, v in zip(names, sides, values):
-            v, at = np.asarray(v, float), np.asarray(in_first, bool)
-            _, stratum = np.unique(np.array(s, str), return_inverse=True)
-            ways = _Assignments([(v[(stratum == k) & at], v[(stratum == k) & ~at]) for k in range(stratum.max() + 1)])
-            seen, span = v[at].mean() - v[~at].mean(), float(np.ptp(v)) or 1.0
-            out.append((ways.share_as_far(), *(ways.limit(seen, seen + side * 3 * span, alpha, steps) for side in (-1, 1))))
-        return pd.DataFrame(out, columns=["p", "low", "high"], dtype="float64")
-
-    row = F.struct(F.coalesce(F.col("_s").cast("string"), F.lit("")).alias("s"), F.col("_a").alias("a"), F.col("_v").alias("v"))
-    small = rows.join(groups.where("_small").select(*by), list(by), "left_semi").groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_x"))
-    solved = small.select(*by, solve(F.col("_x.s"), F.col("_x.a"), F.col("_x.v")).alias("_y")).select(*by, "_y.p", "_y.low", "_y.high")
-    means = rows.groupBy(*by).agg((F.avg(F.when(F.col("_a"), F.col("_v"))) - F.avg(F.when(~F.col("_a"), F.col("_v")))).alias("difference"))
-    return groups.drop("_small").join(means, list(by)).join(solved, list(by), "left")
+        for s, a, v in zip(strata, sides, values):
+            group = Relabelled(s, a, v)
+            if group.ways() > most:
+                out.append((group.ways(), float(group.split()[1]), None, None, None))
+                continue
+            every = _Assignments(group)
+            out.append((group.ways(), 0.0, every.share_as_far(), *(every.limit(side, alpha, steps) if interval else None for side in (-1, 1))))
+        return pd.DataFrame(out, columns=["ways", "sums", "p", "low", "high"], dtype="float64")
+
+    solved = cut(held.withColumn("_y", solve(F.col("_x.s"), F.col("_x.a"), F.col("_x.v"))).select(*by, "_id", "_x", "_y.*"))
+    large = solved.where((F.col("ways") > most) & (F.col("sums") <= MOST_SUMS))
+    figures = solved.select(*by, "_id", "p", "low", "high")
+    if not large.isEmpty():
+        found = _meet(large.select("_id", "_x"), alpha, steps, interval).select(F.col("_id").alias("_of"), *(F.col(c).alias(f"_{c}") for c in ("p", "low", "high")))
+        figures = figures.join(found, F.col("_id") == F.col("_of"), "left").select(*by, *(F.coalesce(c, f"_{c}").alias(c) for c in ("p", "low", "high")))
+    figures = figures.select(*(F.col(c).alias(f"_g_{c}") for c in by), "p", "low", "high")
+    joined = groups.join(figures, same(by, "_g_"), "left")
+    return joined.select(*by, "na", "nb", "difference", "p", *(["low", "high"] if interval else []))
+
+
+def _meet(groups: DataFrame, alpha: float, steps: int, interval: bool) -> DataFrame:
+    """(_id, p, low, high) of groups (_id, rows ``_x``): sums of both sides as rows, counted for one shift after another."""
+    figures = "struct<seen double, middle double, fall double, slack double, span double, ways double, pieces array<struct<side int, first int, last int, mask long, fixed int>>>"
+
+    @F.pandas_udf(figures)
+    def plan(strata: pd.Series, sides: pd.Series, values: pd.Series) -> pd.DataFrame:
+        out = []
+        for s, a, v in zip(strata, sides, values):
+            g = Relabelled(s, a, v)
+            cut_at = g.split()[0]
+            pieces = []
+            for side, (first, last) in enumerate(((0, cut_at), (cut_at, len(g.stratum)))):
+                fixed = max(0, last - first - SUFFIX)
+                pieces += [{"side": side, "first": first, "last": last, "mask": mask, "fixed": fixed} for mask in range(1 << fixed)]
+            out.append((g.seen, g.middle, g.fall, g.slack, g.span, g.ways(), pieces))
+        return pd.DataFrame(out, columns=["seen", "middle", "fall", "slack", "span", "ways", "pieces"])
+
+    def enumerate_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, x, piece in zip(*(batch[c].to_pylist() for c in ("_id", "_x", "_p"))):
+                group = Relabelled(*([r[c] for r in x] for c in "sav"))
+                key, sums, kept = group.sums(piece["first"], piece["last"], piece["mask"], piece["fixed"])
+                n = len(sums)
+                yield pa.RecordBatch.from_arrays([pa.array([id_] * n, pa.string()), pa.array(np.full(n, piece["side"], np.int32)), pa.array(key.astype(np.int32)), pa.array(sums), pa.array(kept)], ["_id", "side", "key", "sum", "kept"])
+
+    planned = cut(groups.withColumn("_y", plan(F.col("_x.s"), F.col("_x.a"), F.col("_x.v"))).select("_id", "_x", "_y.*"))
+    pieces = planned.select("_id", "_x", F.explode("pieces").alias("_p")).repartition(groups.sparkSession.sparkContext.defaultParallelism * 4, "_id", "_p")
+    sums = cut(pieces.mapInArrow(enumerate_, "_id string, side int, key int, sum double, kept double"))
+    figures = planned.drop("_x", "pieces")
+
+    def share(points: DataFrame) -> DataFrame:
+        """P for each (_id, point, shift): what of both sides lies beyond the observed difference, either way."""
+        asked = points.join(figures, "_id")
+        moved = sums.join(asked.select("_id", "point", "shift", (F.col("middle") - F.col("shift") * F.col("fall")).alias("_c"), (F.abs(F.col("seen") - F.col("shift")) - F.col("slack")).alias("_far")), "_id")
+        at = F.col("sum") - F.col("shift") * F.col("kept")
+        # 1: a sum of the first side; 0 and 2: bounds from the second, before and after equal sums
+        lines = F.when(F.col("side") == 0, F.array(F.struct(at.alias("at"), F.lit(1).alias("kind")))).otherwise(F.array(F.struct((F.col("_c") + F.col("_far") - at).alias("at"), F.lit(0).alias("kind")), F.struct((F.col("_c") - F.col("_far") - at).alias("at"), F.lit(2).alias("kind"))))
+        laid = moved.select("_id", "point", "key", F.explode(lines).alias("_l")).select("_id", "point", "key", "_l.at", "_l.kind")
+        counted = in_tied_order(laid, ["_id", "point", "key"], ["at", "kind"], F.col("kind") == 1)
+        per = counted.groupBy("_id", "point", "key").agg(F.sum(F.when(F.col("kind") == 0, F.col("_all") - F.col("_upto"))).alias("_above"), F.sum(F.when(F.col("kind") == 2, F.col("_upto"))).alias("_below"))
+        all_ = per.groupBy("_id", "point").agg((F.sum("_above") + F.sum("_below")).cast("double").alias("_n"))
+        return asked.join(all_, ["_id", "point"], "left").select("_id", "point", "shift", F.least(F.coalesce("_n", F.lit(0.0)) / F.col("ways"), F.lit(1.0)).alias("p"))
+
+    observed = share(figures.select("_id", F.lit(0).alias("point"), F.lit(0.0).alias("shift"))).select("_id", "p")
+    if not interval:
+        return observed.select("_id", "p", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    sides = F.explode(F.array(F.lit(-1), F.lit(1)))
+    ends = figures.select("_id", sides.alias("point"), F.col("seen").alias("inside"), "seen", "span").withColumn("outside", F.col("seen") + F.col("point") * 3 * F.col("span"))
+    reached = share(ends.select("_id", "point", F.col("outside").alias("shift"))).where(F.col("p") < alpha).select("_id", "point")
+    ends = cut(ends.select("_id", "point", "inside", "outside").join(reached, ["_id", "point"]))
+    for _ in range(steps):
+        p = share(ends.select("_id", "point", ((F.col("inside") + F.col("outside")) / 2).alias("shift"))).select("_id", "point", "shift", "p")
+        holds = F.col("p") >= alpha
+        ends = cut(ends.join(p, ["_id", "point"]).select("_id", "point", F.when(holds, F.col("shift")).otherwise(F.col("inside")).alias("inside"), F.when(holds, F.col("outside")).otherwise(F.col("shift")).alias("outside")))
+    end = lambda point: F.max(F.when(F.col("point") == point, (F.col("inside") + F.col("outside")) / 2))
+    return observed.join(ends.groupBy("_id").agg(end(-1).alias("low"), end(1).alias("high")), "_id", "left")
 
 
 def _u_counts(na: int, nb: int) -> np.ndarray:
@@ -175,9 +312,9 @@ def wilcoxon_markers(x: DataFrame, labels: DataFrame, row: str, feature: str, va
     total = labels.agg(F.count(F.lit(1)).alias("_rows"))
     sizes = labels.groupBy(label).agg(F.count(F.lit(1)).alias("_na"))
     held = x.where(F.col(value) > 0).join(labels.select(row, label), row)
-    rank = F.rank().over(Window.partitionBy(feature).orderBy(value))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(feature, value))
-    ranked = held.withColumn("_r", rank + (ties - 1) / 2.0).withColumn("_t", ties * ties - 1.0)
+    counts = placed(held, [feature], value)
+    ties = counts.select(F.col(feature).alias(f"_of_{feature}"), F.col(value).alias(f"_of_{value}"), (F.col("_before") + (F.col("_n") + 1) / 2.0).alias("_r"), (F.col("_n") * F.col("_n") - 1.0).alias("_t"))
+    ranked = held.join(ties, same([feature, value], "_of_"))
     per = ranked.groupBy(feature).agg(F.count(F.lit(1)).alias("_pos"), F.sum("_t").alias("_ties"))
     own = ranked.groupBy(feature, label).agg(F.sum("_r").alias("_sum"), F.count(F.lit(1)).alias("_own"))
     grid = per.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(total))  # labels times features: the result's own size

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import stats
 
 
@@ -121,16 +122,17 @@ def rollup_levels(df: DataFrame, levels: Sequence[str], counts: Sequence[str], r
 def nested_median(df: DataFrame, inner: Sequence[str], outer: Sequence[str], value: str, least: int) -> DataFrame:
     """Median over inner groups of their medians; groups of fewer than ``least`` values are left out."""
     enough = df.groupBy(*inner).agg(F.count(value).alias("n")).where(F.col("n") >= least)
-    one = stats.exact_quantile(df, inner, value, 0.5, "m").join(enough, list(inner))
+    one = cut(stats.exact_quantile(df, inner, value, 0.5, "m").join(enough, list(inner)))
     sizes = one.groupBy(*outer).agg(F.count(F.lit(1)).alias("n_groups"))
     return stats.exact_quantile(one, outer, "m", 0.5, "median").join(sizes, list(outer))
 
 
 def robust_sigma(df: DataFrame, by: Sequence[str], value: str, floor: float) -> DataFrame:
     """Median and 1.4826 times the median absolute deviation, at least ``floor``."""
-    middle = stats.exact_quantile(df, by, value, 0.5, "median")
+    most = stats.largest(df, by)
+    middle = cut(stats.exact_quantile(df, by, value, 0.5, "median", most))
     off = df.join(middle, list(by)).withColumn("_off", F.abs(F.col(value) - F.col("median")))
-    spread = stats.exact_quantile(off, by, "_off", 0.5, "_mad")
+    spread = stats.exact_quantile(off, by, "_off", 0.5, "_mad", most)
     return middle.join(spread, list(by)).select(*by, "median", F.greatest(1.4826 * F.col("_mad"), F.lit(floor)).alias("sigma"))
 
 

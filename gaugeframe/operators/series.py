@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import mid_ranks, same
+from .stats import SMALL, largest, placed, same
 
 
 def _w(by: Sequence[str], t: str) -> Window:
@@ -143,11 +143,12 @@ def completeness(df: DataFrame, by: Sequence[str], t: str, expected: int) -> Dat
 
 def ecdf(df: DataFrame, by: Sequence[str], y: str) -> DataFrame:
     """Each row's share of its group's values that are no larger; null values are left out."""
-    ranked = mid_ranks(df.where(F.col(y).isNotNull()), by, y, "_mid")
-    w = Window.partitionBy(*by, y)
-    upper = F.col("_mid") + (F.count(F.lit(1)).over(w) - 1) / 2.0  # the last rank among equals
-    sizes = df.groupBy(*by).agg(F.count(y).alias("_n")).select(*(F.col(c).alias(f"_of_{c}") for c in by), "_n")
-    return ranked.withColumn("_upper", upper).join(sizes, same(by, "_of_")).withColumn("share", F.col("_upper") / F.col("_n")).select(*df.columns, "share")
+    rows = df.where(F.col(y).isNotNull())
+    if largest(rows, by) <= SMALL:
+        return rows.withColumn("share", F.cume_dist().over(Window.partitionBy(*by).orderBy(y)))
+    places = placed(rows, by, y)
+    share = places.select(*(F.col(c).alias(f"_of_{c}") for c in [*by, y]), ((F.col("_before") + F.col("_n")) / F.col("_all")).alias("share"))
+    return rows.join(share, same([*by, y], "_of_")).select(*df.columns, "share")
 
 
 def split_scan(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import f_upper, fit_logistic4, nonnegative_fit, t_two_sided
+from ..session import cut
 
 
 def welch(df: DataFrame, by: Sequence[str], in_a: Column, in_b: Column, value: str) -> DataFrame:
@@ -40,26 +41,23 @@ def with_p(df: DataFrame, statistic: str, dfs: Sequence[str], kind: str) -> Data
     return df.withColumn("p", p(F.col(statistic).cast("double"), F.col(dfs[0]).cast("double"), F.col(dfs[-1]).cast("double")))
 
 
-#: Ranges that a group's values are cut into for ranking.
-RANGES = 64
-#: Groups of up to as many rows are one range.
-SMALL = 10_000
+#: Groups of up to as many rows are ordered in one task each.
+SMALL = 100_000
 
 
-def in_ranges(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """A column ``_range``: the value's range among about ``RANGES`` of its group, equal values together.
+def largest(df: DataFrame, by: Sequence[str]) -> int:
+    """How many rows the largest group has: one aggregation, of which a number reaches the driver."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0] or 0
 
-    Cuts are approximate quantiles, a few numbers a group; a large group is then ordered range by
-    range in many tasks, and what lies in earlier ranges is added from counts of ranges. A small group
-    is a single range, which gives the same figures.
+
+def in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` written in ranges of group and order, with a column ``_range`` that grows with the order.
+
+    A large group is spread over many ranges, and what lies in earlier ones is added from figures of ranges
+    (``of_ranges``). Rows of equal order are in one range. It is read back as often as needed: ``df`` itself is read
+    for the sample that the ranges are drawn from, and once more to be written.
     """
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > SMALL)
-    large = sizes.select(*(F.col(c).alias(f"_cut_{c}") for c in by), "_rows")
-    cuts = df.join(large, same(by, "_cut_"), "left_semi").groupBy(*by).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 2000).alias("_cuts"))
-    on = same(by, "_cut_")
-    dealt = df.join(cuts.select(*(F.col(c).alias(f"_cut_{c}") for c in by), "_cuts"), on, "left")
-    at = F.coalesce(F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value))), F.lit(0))
-    return dealt.withColumn("_range", at).drop("_cuts", *(f"_cut_{c}" for c in by))
+    return cut(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
 
 
 def same(by: Sequence[str], prefix: str) -> Column:
@@ -69,10 +67,14 @@ def same(by: Sequence[str], prefix: str) -> Column:
     return on
 
 
-def of_ranges(df: DataFrame, by: Sequence[str], **totals: Column) -> DataFrame:
-    """``df`` with a group's range-level figures joined on: one row a range, windows over these only."""
+def of_ranges(df: DataFrame, by: Sequence[str], weight: Column | None = None, **totals: Column) -> DataFrame:
+    """``df`` with a group's range-level figures joined on: one row a range, windows over these only.
+
+    ``_before`` and ``_all``: rows, or sums of ``weight``, in earlier ranges and in all.
+    """
     w = Window.partitionBy(*by).orderBy("_range")
-    rows = df.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_size"), *(c.alias(f"_{name}") for name, c in totals.items()))
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    rows = df.groupBy(*by, "_range").agg(size.alias("_size"), *(c.alias(f"_{name}") for name, c in totals.items()))
     earlier, later = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     figures = [F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(*by)).alias("_all")]
     figures += [F.min(f"_{n}").over(later).alias(f"_later_{n}") for n in totals] + [F.max(f"_{n}").over(earlier).alias(f"_earlier_{n}") for n in totals]
@@ -80,37 +82,49 @@ def of_ranges(df: DataFrame, by: Sequence[str], **totals: Column) -> DataFrame:
     return df.join(small, same([*by, "_range"], "_of_"), "left").drop(*(f"_of_{c}" for c in [*by, "_range"]))
 
 
-def exact_quantile(df: DataFrame, by: Sequence[str], value: str, q: float, name: str) -> DataFrame:
+def in_tied_order(df: DataFrame, by: Sequence[str], order: Sequence[str], flag: Column) -> DataFrame:
+    """``_upto`` and ``_all``: how many rows with the flag a group has up to a row without it, and in all."""
+    rows = of_ranges(in_ranges(df.withColumn("_flag", flag.cast("long")), by, order), by, F.col("_flag"))
+    return rows.withColumn("_upto", F.col("_before") + F.sum("_flag").over(Window.partitionBy(*by, "_range").orderBy(*order))).drop("_flag", "_before", "_range")
+
+
+def placed(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """One row for each value of a group: its rows ``_n``, those with smaller values ``_before``, and ``_all``.
+
+    Equal values are counted together before they are ordered, so a common one is a single row.
+    """
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    rows = of_ranges(in_ranges(counts, by, [value]), by, F.col("_n"))
+    own = F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy(value)) - F.col("_n")
+    return rows.withColumn("_before", F.col("_before") + own).drop("_range")
+
+
+def exact_quantile(df: DataFrame, by: Sequence[str], value: str, q: float, name: str, most: int | None = None) -> DataFrame:
     """Each group's quantile, between the two nearest values in proportion; null for a group without values.
 
-    Equal values are counted together first. The groups' ranges tell which of them holds the wanted place,
-    and only those are ordered, so that no task holds a group's values whole.
+    ``most``: rows of the largest group, if known. Groups of up to ``SMALL`` rows are aggregated; larger ones are put
+    in order range by range, equal values counted together, so that no task holds a group's values whole.
     """
-    counts = df.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    rows = in_ranges(counts.where("_v is not null"), by, "_v")
-    sums = rows.groupBy(*by, "_range").agg(F.sum("_n").alias("_size"))
-    w = Window.partitionBy(*by)
-    sums = sums.withColumn("_before", F.sum("_size").over(w.orderBy("_range")) - F.col("_size")).withColumn("_at", q * (F.sum("_size").over(w) - 1))
-    held = sums.where((F.col("_before") <= F.ceil("_at")) & (F.col("_before") + F.col("_size") > F.floor("_at")))
-    small = held.select(*(F.col(c).alias(f"_of_{c}") for c in [*by, "_range"]), "_before", "_at")
-    near = rows.join(small, same([*by, "_range"], "_of_"))
-    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy("_v"))
-    place = lambda k: F.min(F.when(F.col("_upto") > k("_at"), F.col("_v")))
-    low, high = place(F.floor), place(F.ceil)
-    found = near.withColumn("_upto", upto).groupBy(*by).agg((low + (high - low) * (F.max("_at") - F.floor(F.max("_at")))).alias(name))
+    if (largest(df, by) if most is None else most) <= SMALL:
+        return df.groupBy(*by).agg(F.percentile(F.col(value).cast("double"), q).alias(name))
+    rows = placed(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")), by, "_v")
+    at = q * (F.col("_all") - 1)
+    near = rows.withColumn("_at", at).where((F.col("_before") <= F.ceil("_at")) & (F.col("_before") + F.col("_n") > F.floor("_at")))
+    found = near.groupBy(*by).agg((F.min("_v") + (F.max("_v") - F.min("_v")) * (F.max("_at") - F.floor(F.max("_at")))).alias(name))
     if not by:
         return found
-    groups = df.select(*by).distinct()
     own = found.select(*(F.col(c).alias(f"_of_{c}") for c in by), name)
-    return groups.join(own, same(by, "_of_"), "left").select(*by, name)
+    return df.select(*by).distinct().join(own, same(by, "_of_"), "left").select(*by, name)
 
 
-def mid_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+def mid_ranks(df: DataFrame, by: Sequence[str], value: str, name: str, most: int | None = None) -> DataFrame:
     """Ranks from 1 within each group; equal values share the mean of their ranks."""
-    rows = of_ranges(in_ranges(df, by, value), by)
-    own = F.rank().over(Window.partitionBy(*by, "_range").orderBy(value))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, "_range", value))
-    return rows.withColumn(name, F.col("_before") + own + (ties - 1) / 2.0).drop("_range", "_before", "_all")
+    if (largest(df, by) if most is None else most) <= SMALL:
+        w = Window.partitionBy(*by)
+        return df.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0)
+    places = placed(df, by, value)
+    rank = places.select(*(F.col(c).alias(f"_of_{c}") for c in [*by, value]), (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(name))
+    return df.join(rank, same([*by, value], "_of_")).select(*df.columns, name)
 
 
 def rank_sum(df: DataFrame, by: Sequence[str], in_a: Column, value: str) -> DataFrame:
@@ -121,7 +135,9 @@ def rank_sum(df: DataFrame, by: Sequence[str], in_a: Column, value: str) -> Data
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    ranked = mid_ranks(mid_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, x, "_x"), by, y, "_y")
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    most = largest(rows, by)
+    ranked = mid_ranks(mid_ranks(rows, by, x, "_x", most), by, y, "_y", most)
     return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
@@ -138,16 +154,22 @@ def pearson2_from_sums(df: DataFrame, by: Sequence[str], x: Column, y: Column) -
 
 def _adjusted(df: DataFrame, family: Sequence[str], p: str, id_col: str, raw, upwards: bool) -> DataFrame:
     """P values times a factor of rank and count, made monotone over the ranks; nulls stay null."""
-    known = of_ranges(in_ranges(df.where(F.col(p).isNotNull()), family, p), family)
+    known, unknown = df.where(F.col(p).isNotNull()), df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double"))
+    if largest(known, family) <= SMALL:
+        w = Window.partitionBy(*family)
+        rows = known.withColumn("_r", F.row_number().over(w.orderBy(p, id_col))).withColumn("_raw", raw(F.col(p), F.count(F.lit(1)).over(w), F.col("_r")))
+        best = F.max("_raw").over(w.orderBy("_r")) if upwards else F.min("_raw").over(w.orderBy(F.desc("_r")))
+        return rows.withColumn("q", F.least(best, F.lit(1.0))).select(*df.columns, "q").unionByName(unknown)
+    rows = of_ranges(in_ranges(known, family, [p, id_col]), family)
     own = Window.partitionBy(*family, "_range")
-    rows = known.withColumn("_r", F.col("_before") + F.row_number().over(own.orderBy(p, id_col)))
+    rows = rows.withColumn("_r", F.col("_before") + F.row_number().over(own.orderBy(p, id_col)))
     rows = rows.withColumn("_raw", raw(F.col(p), F.col("_all"), F.col("_r"))).drop("_before", "_all")
     rows = of_ranges(rows, family, raw=F.max("_raw") if upwards else F.min("_raw"))
     if upwards:
         best = F.greatest(F.max("_raw").over(own.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)), F.col("_earlier_raw"))
     else:
         best = F.least(F.min("_raw").over(own.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)), F.col("_later_raw"))
-    return rows.withColumn("q", F.least(best, F.lit(1.0))).select(*df.columns, "q").unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+    return rows.withColumn("q", F.least(best, F.lit(1.0))).select(*df.columns, "q").unionByName(unknown)
 
 
 def benjamini_hochberg(df: DataFrame, family: Sequence[str], p: str, id_col: str) -> DataFrame:
@@ -167,17 +189,19 @@ def _row_keys(df: DataFrame) -> Column:
 
 
 def permutation(df: DataFrame, strata: Sequence[str], in_a: Column, value: str, repeats: int, seed: int = 7) -> DataFrame:
-    """Stratified Monte-Carlo permutation of the difference of means, with the +1 correction.
+    """Stratified Monte-Carlo permutation of the strata's differences of means, weighted by their sizes, with the +1 correction.
 
-    Repeats are dealt over tasks. In each, every row draws a hash-seeded key, and the smallest keys of
-    a stratum become group a, as many as it has: labels are shuffled by sorting, on Spark.
+    In each repeat every row draws a hash-seeded key, and the smallest keys of a stratum become group a, as many as
+    it has: labels are shuffled by sorting, on Spark. A stratum with one side only tells nothing and is left out.
     """
     rows = df.where(F.col(value).isNotNull()).select(*strata, in_a.alias("_a"), F.col(value).cast("double").alias("_v"), _row_keys(df).alias("_id"))
-    sizes = rows.groupBy(*strata).agg(F.count_if("_a").alias("_k"))
-    rows = rows.join(sizes, list(strata)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats))))
+    sizes = rows.groupBy(*strata).agg(F.count_if("_a").alias("_k"), F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_t")).where("_k > 0 and _k < _n")
+    sizes = sizes.select(*(F.col(c).alias(f"_of_{c}") for c in strata), "_k", "_n", "_t")
+    rows = rows.join(sizes, same(strata, "_of_")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats))))
     place = F.row_number().over(Window.partitionBy("rep", *strata).orderBy(F.when(F.col("rep") == 0, F.when(F.col("_a"), 0).otherwise(1)).otherwise(F.xxhash64("_id", "rep", F.lit(seed))), "_id"))
-    chosen = rows.withColumn("_in", place <= F.col("_k"))
-    stat = chosen.groupBy("rep").agg((F.avg(F.when(F.col("_in"), F.col("_v"))) - F.avg(F.when(~F.col("_in"), F.col("_v")))).alias("d"))
+    chosen = rows.withColumn("_in", place <= F.col("_k")).where("_in").groupBy("rep", *strata).agg(F.sum("_v").alias("_s"), F.first("_k").alias("_k"), F.first("_n").alias("_n"), F.first("_t").alias("_t"))
+    difference = F.col("_s") / F.col("_k") - (F.col("_t") - F.col("_s")) / (F.col("_n") - F.col("_k"))
+    stat = chosen.groupBy("rep").agg((F.sum(F.col("_n") * difference) / F.sum("_n")).alias("d"))
     seen = stat.where("rep = 0").select(F.col("d").alias("observed"))
     both = stat.where("rep > 0").crossJoin(F.broadcast(seen))  # one row on the right
     return both.groupBy("observed").agg(((F.count_if(F.abs("d") >= F.abs("observed") - 1e-12) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))

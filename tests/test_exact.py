@@ -11,45 +11,87 @@ from gaugeframe.operators import exact, filters
 
 
 def brute_p(rows, shift=0.0):
-    """All assignments within strata, one by one."""
+    """All assignments within strata, one by one; strata differences are weighted by their sizes."""
     moved = [(s, a, v - shift * a) for s, a, v in rows]
-    n_a = sum(a for _, a, _ in moved)
+    strata = [s for s in sorted({s for s, _, _ in moved}) if len({a for t, a, _ in moved if t == s}) == 2]
+    total = sum(s in strata for s, _, _ in moved)
 
     def difference(chosen):
-        x = [v for i, (_, _, v) in enumerate(moved) if i in chosen]
-        return np.mean(x) - np.mean([v for i, (_, _, v) in enumerate(moved) if i not in chosen])
+        out = 0.0
+        for s in strata:
+            own = [i for i, r in enumerate(moved) if r[0] == s]
+            x, y = ([moved[i][2] for i in own if (i in chosen) == side] for side in (True, False))
+            out += len(own) / total * (np.mean(x) - np.mean(y))
+        return out
 
     seen = abs(difference({i for i, (_, a, _) in enumerate(moved) if a}))
     ways = [set()]
-    for s in sorted({s for s, _, _ in moved}):
+    for s in strata:
         own = [i for i, r in enumerate(moved) if r[0] == s]
         k = sum(moved[i][1] for i in own)
         ways = [w | set(c) for w in ways for c in combinations(own, k)]
-    assert all(len(w) == n_a for w in ways)
     return np.mean([abs(difference(w)) >= seen - 1e-9 for w in ways])
 
 
-def test_exact_permutation(spark):
+@pytest.mark.parametrize("most", [exact.MOST, 5])
+def test_exact_permutation(spark, most):
     rng = np.random.default_rng(3)
     rows = []
     for g in range(6):
         for s in "xyz"[: 1 + g % 3]:
             rows += [(g, s, bool(a), float(np.round(rng.normal(2.0 * a * (g > 2), 1), 1))) for a in rng.random(5) < 0.5]
     rows += [(7, "x", True, 1.0), (7, "y", False, 2.0), (8, "x", True, 1.0), (9, "x", True, None)] + [(10, "x", i % 2 == 0, float(i)) for i in range(60)]
+    rows += [(None, s, a, v) for g, s, a, v in rows if g == 5]
     df = spark.createDataFrame(rows, "g int, s string, a boolean, v double")
-    got = {r.g: r for r in exact.exact_permutation(df, ["g"], "s", F.col("a"), "v").collect()}
-    for g in range(6):
+    got = {r.g: r for r in exact.exact_permutation(df, ["g"], "s", F.col("a"), "v", most=most, steps=18 if most > 5 else 6).collect()}
+    for g in [*range(6), None]:
         own = [(s, a, v) for k, s, a, v in rows if k == g]
-        if len({a for _, a, _ in own}) < 2:
+        if all(len({a for t, a, _ in own if t == s}) < 2 for s, _, _ in own):
             assert g not in got
             continue
         assert got[g].p == pytest.approx(brute_p(own))
         for end in (got[g].low, got[g].high):
             if end is not None:  # P crosses the level there
-                near = 1e-3 * max(1.0, abs(end))
-                assert min(brute_p(own, end - near), brute_p(own, end + near)) <= 0.05 < max(brute_p(own, end - near), brute_p(own, end + near))
-    assert got[7].p == 1.0 and 8 not in got and 9 not in got
-    assert got[10].p is None and got[10].na == 30  # too many to enumerate
+                near = (1e-3 if most > 5 else 0.5) * max(1.0, abs(end))
+                inner, outer = sorted((end - near, end + near), key=lambda x: abs(x - got[g].difference))
+                assert brute_p(own, outer) < 0.05 <= brute_p(own, inner)
+    assert not {7, 8, 9} & set(got)
+    assert got[10].p is None and got[10].na == 30  # too many for sums of either side
+
+
+def test_exact_permutation_of_175_thousand_million_ways(spark):
+    rng = np.random.default_rng(8)
+    sizes = (("x", 22, 9), ("y", 21, 10))
+    rows = [(s, i < k, float(np.round(rng.normal(0.55 * (i < k), 1), 3))) for s, n, k in sizes for i in range(n)]
+
+    def subset_sums(v, k):
+        sums, count = np.zeros(1), np.zeros(1, int)
+        for x in v:
+            sums, count = np.concatenate([sums, sums + x]), np.concatenate([count, count + 1])
+        return sums[count == k]
+
+    def p(shift):
+        parts, seen = [], 0.0
+        for s, n, k in sizes:
+            v = np.array([x - shift * a for t, a, x in rows if t == s])
+            d = lambda a: n / 43 * (a / k - (v.sum() - a) / (n - k))  # noqa: B023, E731
+            seen += d(v[:k].sum())
+            parts.append(d(subset_sums(v, k)))
+        x, y = np.sort(parts[0]), parts[1]
+        far = abs(seen) - 1e-9
+        return ((len(x) - np.searchsorted(x, far - y)).sum() + np.searchsorted(x, -far - y, "right").sum()) / (len(x) * len(y)), seen
+
+    got = exact.exact_permutation(spark.createDataFrame(rows, "s string, a boolean, v double"), [], "s", F.col("a"), "v", steps=2).collect()[0]
+    want, seen = p(0.0)
+    assert (got.na, got.nb) == (19, 24)
+    assert got.difference == pytest.approx(seen) and got.p == pytest.approx(want, rel=1e-9)
+    span = max(r[2] for r in rows) - min(r[2] for r in rows)
+    for end, side in ((got.low, -1), (got.high, 1)):
+        inside, outside = seen, seen + side * 3 * span
+        for _ in range(2):
+            at = (inside + outside) / 2
+            inside, outside = (at, outside) if p(at)[0] >= 0.05 else (inside, at)
+        assert end == pytest.approx((inside + outside) / 2)
 
 
 def test_exact_u(spark):

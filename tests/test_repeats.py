@@ -35,9 +35,10 @@ def test_points_that_repeat_stay(spark):
     assert got == [(1, 5.0), (1, 5.0), (2, None), (3, None)]
 
 
-@pytest.mark.parametrize("ranges", [3, 64])
-def test_ranks_by_ranges_are_plain_ranks(spark, monkeypatch, ranges):
-    monkeypatch.setattr(stats, "RANGES", ranges)
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_ranks_by_ranges_are_plain_ranks(spark, monkeypatch, small):
+    monkeypatch.setattr(stats, "SMALL", small)
+    monkeypatch.setattr(series, "SMALL", small)
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"g": rng.choice(["a", "b", None], 900), "i": range(900), "v": np.round(rng.exponential(1, 900), 1)})
     pdf.loc[pdf.g == "a", "v"] = np.where(rng.random((pdf.g == "a").sum()) < 0.4, 0.5, pdf.v[pdf.g == "a"])  # one very common value
@@ -57,3 +58,17 @@ def test_ranks_by_ranges_are_plain_ranks(spark, monkeypatch, ranges):
         step = np.minimum(np.maximum.accumulate((n - np.arange(n)) * x.p.to_numpy()), 1)
         assert all(abs(q[i][0] - b) < 1e-12 and abs(q[i][1] - s) < 1e-12 for i, b, s in zip(x.i, bh, step))
     assert all(q[i] == (None, None) for i in range(0, 900, 10))
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_plans_read_their_input_twice_at_most(spark, monkeypatch, small, sf):
+    monkeypatch.setattr(stats, "SMALL", small)
+    monkeypatch.setattr(series, "SMALL", small)
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    plans = [
+        stats.exact_quantile(li, ["l_suppkey"], "l_quantity", 0.5, "m"), stats.mid_ranks(li, ["l_suppkey"], "l_quantity", "k"), stats.rank_sum(li, ["l_suppkey"], F.col("l_linenumber") == 1, "l_quantity"),
+        series.ecdf(li, ["l_suppkey"], "l_quantity"), matrix.nested_median(li, ["l_suppkey", "l_returnflag"], ["l_suppkey"], "l_quantity", 2), matrix.robust_sigma(li, ["l_suppkey"], "l_quantity", 0.1),
+    ]
+    for df in plans:
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("lineitem.parquet") <= 2, plan

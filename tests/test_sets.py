@@ -52,7 +52,7 @@ def test_match_of_one_table_and_of_nothing(spark):
     assert search.match(p.limit(0), p, ["k"], "id", ["x"], 1.0).isEmpty()
 
 
-@pytest.mark.parametrize(("q", "small"), [(0.0, 0), (0.2, 0), (0.5, 500), (0.995, 0), (1.0, 10_000)])
+@pytest.mark.parametrize(("q", "small"), [(0.0, 0), (0.2, 0), (0.5, 5000), (0.995, 0), (1.0, 100_000)])
 def test_exact_quantile(spark, monkeypatch, q, small):
     monkeypatch.setattr(stats, "SMALL", small)
     rng = np.random.default_rng(5)
