@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path under the folder that driver and executors share.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder of this machine is used.
+    The cluster names the folder in ``spark.checkpoint.dir``. Where that is unset, a local session
+    gets a temporary folder; on a cluster that would not be shared, so it is an error there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

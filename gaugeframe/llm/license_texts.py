@@ -1,4 +1,11 @@
-"""Licence templates: published notices and grants, stated as text."""
+"""Licence templates: published notices and grants, stated as text; whole licences are files beside this module.
+
+``license_files`` holds the texts as their publishers word them, without a work's own copyright lines.
+"""
+
+from __future__ import annotations
+
+from importlib import resources
 
 # Name -> text of the notice or licence, as its publisher words it.
 TEMPLATES: dict[str, str] = {
@@ -29,6 +36,24 @@ TEMPLATES: dict[str, str] = {
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
         "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
     ),
+    "gpl-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "lgpl-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. "
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "agpl-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
         '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
@@ -48,3 +73,14 @@ TEMPLATES: dict[str, str] = {
         "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
 }
+
+
+def whole_licences() -> dict[str, str]:
+    """name -> text of every licence file, under its lower-case name."""
+    files = resources.files(__package__).joinpath("license_files").iterdir()
+    return {f.name.removesuffix(".txt").lower(): f.read_text("utf-8") for f in sorted(files, key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
+def all_templates() -> dict[str, str]:
+    """Notices, grants and whole licences."""
+    return TEMPLATES | whole_licences()

@@ -5,7 +5,7 @@ words and becomes its set of distinct bigrams. With sizes a and b, a Dice coeffi
 needs ``t/(2-t) * b <= a <= (2-t)/t * b``; templates outside that bound are pruned before any
 bigram is compared, and a unit outside every template's bound is not even split into bigrams.
 
-On request, runs of consecutive words are compared too, wherever they start and end, so that a
+By default, runs of consecutive words are compared too, wherever they start and end, so that a
 licence over several paragraphs of a longer text, or a notice within a line, is found. A run at t or
 more holds at least ``t/(2-t) * b`` of a template's bigrams, so only templates with so many bigrams
 in the text, and only stretches with so many of them, are looked at.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, small_batches
-from .license_texts import TEMPLATES
+from .license_texts import all_templates
 
 _WORD = re.compile(r"[^\W_]+")
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]+)*")
@@ -49,6 +49,10 @@ def _within(start: int, end: int, spans: list[tuple[int, int]]) -> bool:
     return k >= 0 and end <= spans[k][1]
 
 
+#: Bigrams of a template beyond which its runs are looked for as stretches, at a cost in proportion to the text.
+LONG = 600
+
+
 class Matcher:
     """Templates by size, with postings from bigrams to templates."""
 
@@ -112,6 +116,20 @@ class Matcher:
                 out.append((i, a, b, shared, -dice))
         return out
 
+    def _stretch_of(self, i: int, pairs: list[tuple[str, ...]], at: list[int]) -> list[tuple[int, int, int, int, float]]:
+        """As ``_runs_of``, for a long template: stretches of its bigrams with no gap of over an eighth of its size."""
+        size, gap = self.sizes[i], max(1, self.sizes[i] // 8)
+        breaks = [k for k in range(1, len(at)) if at[k] - at[k - 1] > gap]
+        found = []
+        for a, b in zip([0, *breaks], [*breaks, len(at)]):
+            if b - a < self.low * size - 1e-9:
+                continue
+            shared = len({pairs[k] for k in at[a:b]})
+            dice = 2 * shared / (len(set(pairs[at[a] : at[b - 1] + 1])) + size)
+            if dice >= self.threshold:
+                found.append((i, at[a], at[b - 1] + 2, shared, dice))
+        return found
+
     def runs(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, template, Dice) of runs of words that match, wherever they stand in the text.
 
@@ -129,7 +147,7 @@ class Matcher:
         for i, own in at.items():
             least = self.low * self.sizes[i] - 1e-9
             if len(own) >= least and len({pairs[k] for k in own}) >= least:
-                found += self._runs_of(i, pairs, own)
+                found += (self._runs_of if self.sizes[i] <= LONG else self._stretch_of)(i, pairs, own)
         if self.alone:
             found += [(self.alone[w], k, k + 1, 1, 1.0) for k, w in enumerate(words) if w in self.alone]
         if not found:
@@ -174,7 +192,7 @@ def _scan(templates: Mapping[str, str], threshold: float, runs: bool):
             n, best, dice, spans = [], [], [], []
             for text in batch["text"].to_pylist():
                 hits = matcher.scan(text or "", runs)
-                top = min(hits, key=lambda h: (-h[3], h[2]), default=None)
+                top = min(hits, key=lambda h: (-h[3], h[0] - h[1], h[2]), default=None)
                 n.append(len(hits))
                 best.append(top and top[2])
                 dice.append(round(top[3], 6) if top else 0.0)
@@ -187,14 +205,16 @@ def _scan(templates: Mapping[str, str], threshold: float, runs: bool):
     return rows
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, runs: bool = False) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] | None = None, threshold: float = 0.8, runs: bool = True) -> DataFrame:
     """One row per document: ``n_matches``, the likest ``license`` and its ``dice``, and all ``spans``.
 
-    Spans are ``template:start:end`` in code points, ordered by start. Ties between templates go to
-    the name that sorts first. ``runs``: compare runs of words too, across paragraphs and within lines.
+    Spans are ``template:start:end`` in code points, ordered by start. Ties of the likest go to
+    the longer span, then to the name that sorts first. ``templates``: all that ``license_texts`` has, if not given. ``runs``: compare runs of
+    words too, across paragraphs and within lines; those of a template of over ``LONG`` bigrams are stretches of its
+    bigrams, taken whole.
     Null, empty and wordless texts match nothing (``license`` null, ``dice`` 0). Rows are scanned one by one: repeated rows and null ids come back as they are, further columns
     are ignored, and an empty table gives an empty result.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    return id_and_text(docs, id_col, text_col).mapInArrow(_scan(dict(templates), threshold, runs), "doc_id long, n_matches long, license string, dice double, spans string")
+    return id_and_text(docs, id_col, text_col).mapInArrow(_scan(dict(all_templates() if templates is None else templates), threshold, runs), "doc_id long, n_matches long, license string, dice double, spans string")

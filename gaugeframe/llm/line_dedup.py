@@ -76,8 +76,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with boilerplate lines removed; documents that lose every line go, all others stay."""
     columns = docs.columns
-    out = dedup_lines(docs, id_col, text_col, **how)
-    return out.where("not (n_removed > 0 and n_removed = n_lines)").select(*columns)
+    # counts of the lines take names of their own, so that a column of these names stays as it is
+    held = {c: f"_gf_own_{c}" for c in ("n_lines", "n_removed") if c in columns}
+    out = dedup_lines(docs.withColumnsRenamed(held), id_col, text_col, **how)
+    out = out.where("not (n_removed > 0 and n_removed = n_lines)").drop("n_lines", "n_removed")
+    return out.withColumnsRenamed({new: c for c, new in held.items()}).select(*columns)
 
 
 #: DuckDB SQL for the digests of ``dedup_lines`` over ``documents``.

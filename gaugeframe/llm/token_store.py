@@ -137,6 +137,14 @@ _OTHERS = [b for b in range(256) if b not in _PRINTED]
 _BYTE_CHARS = [chr(b if b in _PRINTED else 0x100 + _OTHERS.index(b)) for b in range(256)]
 
 
+def _byte_level(split) -> bool:
+    """Whether a pre-tokenizer is the byte-level split that ``ByteTokenizer.starts`` makes."""
+    import json
+
+    told = json.loads(split.__getstate__()) if split is not None else {}
+    return told.get("type") == "ByteLevel" and not told.get("add_prefix_space") and told.get("use_regex", True)
+
+
 class ByteTokenizer:
     """Whole texts to ids with the tokenizers library, each distinct word encoded once.
 
@@ -154,6 +162,8 @@ class ByteTokenizer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.model = Tokenizer.from_file(path)
+        if self.model.normalizer is not None or self.model.truncation or self.model.padding or not _byte_level(self.model.pre_tokenizer):
+            raise ValueError("only a byte-level split without prefix space, and no normaliser, truncation or padding, is encoded as the library does")
         self.model.encode_special_tokens = encode_special_tokens
         added = self.model.get_added_tokens_decoder()
         self.added = {t.content: i for i, t in added.items() if not (encode_special_tokens and t.special)}

@@ -71,3 +71,9 @@ def test_empty_table(make_docs):
     empty = make_docs(["x"]).where("false")
     assert line_dedup.dedup_lines(empty).count() == 0
     assert line_dedup.dedup_lines(make_docs([None, ""])).where(F.col("n_removed") > 0).count() == 0
+
+
+def test_dropping_leaves_columns_of_the_same_names(make_docs):
+    docs = make_docs(["one\ntwo", None, ""]).withColumns({"n_lines": F.lit(99), "n_removed": F.lit("x")})
+    kept = line_dedup.drop_boilerplate(docs)
+    assert kept.columns == docs.columns and sorted(kept.collect(), key=repr) == sorted(docs.collect(), key=repr)

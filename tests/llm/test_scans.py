@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeframe.llm import decontam, licenses, secrets
+from gaugeframe.llm import decontam, license_texts, licenses, secrets
 
 ODD = [None, "", " ", "\n\n", "a", "é" * 5, "퟿ x", "x " * 60000]
 
@@ -109,15 +109,46 @@ def brute_best(text, templates, threshold):
 
 def test_size_bounds_prune_no_match(real_docs):
     for threshold in (0.4, 0.8):
-        m = licenses.Matcher(licenses.TEMPLATES, threshold)
-        units = [u for r in real_docs.collect() for u in [r.text, *r.text.split("\n")]] + [t[: k * len(t) // 7] for t in licenses.TEMPLATES.values() for k in range(8)]
+        templates = license_texts.all_templates()
+        m = licenses.Matcher(templates, threshold)
+        units = [u for r in real_docs.collect()[:20] for u in [r.text, *r.text.split("\n")]] + [t[: k * len(t) // 7] for t in templates.values() for k in (3, 6)]
         for u in units:
-            assert m.best(u) == brute_best(u, licenses.TEMPLATES, threshold), u
+            assert m.best(u) == brute_best(u, templates, threshold), u
+
+
+@pytest.fixture(scope="module")
+def whole():
+    return license_texts.whole_licences()
+
+
+def test_whole_licences_as_published(whole, make_docs):
+    assert len(whole) >= 20
+    about = "Copyright (c) 2024 Someone\n\n"
+    after = "\n\n" + "then what comes after it " * 300
+    inside = "An introduction.\n\n" + "some other words of prose " * 300 + "\n\n"
+    texts = [t for t in whole.values()] + [about + t for t in whole.values()] + [inside + t + after for t in whole.values()]
+    texts += ["\n".join("# " + line for line in t.split("\n")) + after for t in whole.values()]  # as a comment before code
+    rows = licenses.scan_licenses(make_docs(texts)).orderBy("doc_id").collect()
+    for k, row in enumerate(rows):
+        name = list(whole)[k % len(whole)]
+        spans = [s.split(":") for s in row.spans.split(",")]
+        # its words in order, nearly all of them
+        n = len(whole[name])
+        assert any(s[0] == name and int(s[2]) - int(s[1]) > 0.9 * n for s in spans), (k, name, row.spans)
+        if k < len(whole):
+            assert (row.license, row.dice) == (name, 1.0)
+
+
+def test_part_of_a_long_licence_is_none(whole, make_docs):
+    parts = [t[: len(t) // 2] + "\n\n" + "other words " * 200 for t in whole.values() if len(t) > 10000]
+    assert len(parts) > 8
+    for row, name in zip(licenses.scan_licenses(make_docs(parts)).orderBy("doc_id").collect(), [n for n, t in whole.items() if len(t) > 10000]):
+        assert f"{name}:" not in row.spans
 
 
 def test_license_units(make_docs):
-    mit = licenses.TEMPLATES["mit"]
-    rows = {r.doc_id: r for r in licenses.scan_licenses(make_docs([mit, "words here\n\n" + mit.replace(". ", ".\n") + "\n\nmore", "Some text. All rights reserved. More", "x\nAll Rights  RESERVED\ny", *ODD])).collect()}
+    mit = license_texts.TEMPLATES["mit"]
+    rows = {r.doc_id: r for r in licenses.scan_licenses(make_docs([mit, "words here\n\n" + mit.replace(". ", ".\n") + "\n\nmore", "Some text. All rights reserved. More", "x\nAll Rights  RESERVED\ny", *ODD]), runs=False).collect()}
     assert (rows[0].license, rows[0].dice) == ("mit", 1.0)
     assert rows[1].license == "mit" and f"mit:12:{12 + len(mit)}" in rows[1].spans
     assert rows[2].n_matches == 0
@@ -134,7 +165,7 @@ PUBLISHED = {
 
 @pytest.mark.parametrize("name", PUBLISHED)
 def test_licences_over_several_paragraphs(make_docs, name):
-    text = licenses.TEMPLATES[name]
+    text = license_texts.TEMPLATES[name]
     for cut in PUBLISHED[name]:
         text = text.replace(cut + " ", cut + "\n\n", 1)
     assert text.count("\n\n") > 1
@@ -185,7 +216,7 @@ def brute_hits(text, items, size=13):
 ITEMS = [(9, "What is é the answer"), (10, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"), (11, "the answer"), (12, "a a a"), (13, None), (14, ""), (15, "..."), (10, "again again")]
 
 
-@pytest.mark.parametrize("most", [1 << 20, 60])
+@pytest.mark.parametrize("most", [1 << 28, 4000])
 def test_decontamination_matches_brute_force(make_docs, spark, real_docs, sf, most):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     texts = [
@@ -193,12 +224,12 @@ def test_decontamination_matches_brute_force(make_docs, spark, real_docs, sf, mo
         "zero " + ITEMS[1][1] + " sixteen", ITEMS[1][1].upper()[5:], "x " * 300 + "the answer", "the answer", "the answer",
     ]
     docs = make_docs(texts)
-    got = [tuple(r)[:6] for r in decontam.benchmark_hits(docs, bench, max_pattern_bytes=most).collect()]
+    got = [tuple(r)[:6] for r in decontam.benchmark_hits(docs, bench, max_automaton_bytes=most).collect()]
     want = [(i, *brute_hits(t, ITEMS)) for i, t in enumerate(texts)]
     assert sorted(got) == sorted(want)
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = [tuple(r) for r in bench.collect()]
-    got = [tuple(r)[:6] for r in decontam.benchmark_hits(real_docs, bench, max_pattern_bytes=400 * most).collect()]
+    got = [tuple(r)[:6] for r in decontam.benchmark_hits(real_docs, bench, max_automaton_bytes=300 * most).collect()]
     assert sorted(got) == sorted((r.doc_id, *brute_hits(r.text, items)) for r in real_docs.collect())
     assert any(g[2] for g in got)
 
@@ -206,12 +237,14 @@ def test_decontamination_matches_brute_force(make_docs, spark, real_docs, sf, mo
 def test_decontamination_offsets_and_repeated_rows(make_docs, spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = make_docs([(1, "né: The, Answer!"), (1, "né: The, Answer!"), (None, "x"), (2, "clean text")])
-    for most in (1 << 20, 60):
-        rows = decontam.benchmark_hits(docs, bench, max_pattern_bytes=most).collect()
+    for most in (1 << 28, 4000):
+        rows = decontam.benchmark_hits(docs, bench, max_automaton_bytes=most).collect()
         assert len(rows) == 4
         assert [r.char_spans for r in rows if r.doc_id == 1] == [[4, 15]] * 2
-    kept = decontam.decontaminate(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["clean text", "x"]
+    docs = docs.unionByName(make_docs([(1, "a clean row of the same id"), (1, None)]))
+    for most in (1 << 28, 4000):
+        kept = decontam.decontaminate(docs, bench, max_automaton_bytes=most)
+        assert kept.columns == docs.columns and sorted((r.text for r in kept.collect()), key=str) == [None, "a clean row of the same id", "clean text", "x"]
     assert decontam.benchmark_hits(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 
@@ -222,3 +255,12 @@ def test_another_benchmark_never_meets_an_old_automaton(make_docs, spark, monkey
         for k, text in enumerate(["one two", "three four"]):
             rows = decontam.benchmark_hits(docs, spark.createDataFrame([(k, text)], "item_id long, text string")).collect()
             assert {r.doc_id: r.n_hit for r in rows} == {k: 2, 1 - k: 0}
+
+
+def test_an_automaton_stays_within_its_bound(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(5000)]
+    windows = {" ".join(rng.choices(words, k=13)): [k] for k in range(4000)}
+    held = decontam._automaton(windows).get_stats()["total_size"]
+    told = sum(decontam.NODE_BYTES * len(w) + decontam.ITEM_BYTES for w in windows)
+    assert held <= told <= 2 * held

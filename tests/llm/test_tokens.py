@@ -202,3 +202,13 @@ def test_piece_rows(make_docs, pieces):
     assert sorted((r.doc_id or 0, r.ids, r.round_trip) for r in checked.collect()) == sorted((r.doc_id or 0, r.ids, r.doc_id is not None) for r in encoded.collect())
     rows = {r.doc_id: r for r in piece_fst.piece_digests(docs, PIECES).collect()}
     assert rows[1].round_trip and rows[4].round_trip and rows[3].n_ids == 0 and not rows[None].round_trip
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "Whitespace"}}])
+def test_other_tokenizer_files_are_refused(tmp_path, change):
+    import json
+
+    told = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    (tmp_path / "other.json").write_text(json.dumps(told | change), encoding="utf-8")
+    with pytest.raises(ValueError, match="byte-level"):
+        token_store.ByteTokenizer(str(tmp_path / "other.json"))
