@@ -6,13 +6,14 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
+def scratch_dir(spark: SparkSession, name: str, outside: bool = False) -> str:
     """A new path under the folder that driver and executors share.
 
     The cluster names the folder in ``spark.checkpoint.dir``. Where that is unset, a local session
@@ -24,7 +25,29 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return "/".join([base.rstrip("/"), *([] if outside else _INSIDE), f"{name}-{uuid.uuid4().hex}"])
+
+
+#: Folders below the shared one that new paths lie in, on the driver.
+_INSIDE: list[str] = []
+
+
+@contextmanager
+def passing_folder(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is written meanwhile lies in a folder of its own, which is deleted at the end."""
+    path = scratch_dir(spark, name)
+    _INSIDE.append(path.rsplit("/", 1)[1])
+    try:
+        yield
+    finally:
+        _INSIDE.pop()
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder and all below it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,19 +61,18 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = scratch_dir(self.spark, name)
+    def write(self, df: DataFrame, name: str, outside: bool = False) -> DataFrame:
+        """Write a table and read it back; ``outside`` of any folder that is going to be deleted."""
+        path = scratch_dir(self.spark, name, outside)
         df.write.parquet(path)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete every table written under these names."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
         for name in names:
             for path in self.paths.pop(name, []):
-                folder = hadoop.Path(path)
-                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+                delete(self.spark, path)
 
 
 _HELD: dict[object, object] = {}

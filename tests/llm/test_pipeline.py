@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gaugeframe.llm import quality
+from gaugeframe.llm.common import written
 from tests.llm import test_line_dedup, test_near_dups, test_scans
 
 DIR = "/root/testdata/sf0.01"
@@ -19,7 +20,7 @@ def stages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     out = [docs]
     for _, stage in corpus_pipeline.STAGES:
-        out.append(corpus_pipeline.written(stage(spark, out[-1], DIR), "stage"))
+        out.append(written(stage(spark, out[-1], DIR), "stage"))
     return [d.collect() for d in out], [d.columns for d in out]
 
 
@@ -91,7 +92,7 @@ def test_odd_rows_pass_every_stage(spark):
     for start in (docs, docs.where("false")):
         d = start
         for _, stage in corpus_pipeline.STAGES:
-            d = corpus_pipeline.written(stage(spark, d, DIR), "stage")
+            d = written(stage(spark, d, DIR), "stage")
         assert d.columns == ["doc_id", "ids", "round_trip", "n_ids"] and d.where(F.col("n_ids") > 0).count() == d.where(F.size("ids") > 0).count()
 
 
@@ -101,3 +102,14 @@ def test_registered():
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names and sum(n.startswith("op") for n in names) == 10
     assert set(entry.oracle_sql()) <= names
     assert "corpus_pipeline" in sys.modules
+
+
+def test_tables_are_deleted_when_their_readers_are_done(spark, tmp_path, stages):
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        rows = corpus_pipeline.run(spark, DIR).collect()
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+    assert sorted(rows) == sorted(stages[0][-1])
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["decontamination"]
