@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import decontam, line_dedup, near_dups, piece_fst, quality
-from gaugeframe.llm.common import written
+from gaugeframe.llm.common import Scratch, passing_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``.
+
+    A stage's own tables are deleted when its result is written, and that when the next one's is; what the
+    last stage reads stays.
+    """
+    docs, kept, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        name = name.replace(" ", "-")
+        with passing_folder(spark, f"tables-of-{name}"):
+            rows = stage(spark, docs, sf_dir)
+            # the result lies beside the folder of the stage's tables
+            docs = kept.write(rows, name, outside=True)
+        if before:
+            kept.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
