@@ -121,10 +121,15 @@ def rollup_levels(df: DataFrame, levels: Sequence[str], counts: Sequence[str], r
 
 def nested_median(df: DataFrame, inner: Sequence[str], outer: Sequence[str], value: str, least: int) -> DataFrame:
     """Median over inner groups of their medians; groups of fewer than ``least`` values are left out."""
-    enough = df.groupBy(*inner).agg(F.count(value).alias("n")).where(F.col("n") >= least)
-    one = cut(stats.exact_quantile(df, inner, value, 0.5, "m").join(enough, list(inner)))
-    sizes = one.groupBy(*outer).agg(F.count(F.lit(1)).alias("n_groups"))
-    return stats.exact_quantile(one, outer, "m", 0.5, "median").join(sizes, list(outer))
+    held = df.where(F.col(value).isNotNull())
+    if (most := stats.largest(held, inner)) <= stats.SMALL:
+        one = held.groupBy(*inner).agg(F.percentile(F.col(value).cast("double"), 0.5).alias("m"), F.count(F.lit(1)).alias("n"))
+    else:
+        sizes = held.groupBy(*(F.col(c).alias(f"_of_{c}") for c in inner)).agg(F.count(F.lit(1)).alias("n"))
+        one = stats.exact_quantile(held, inner, value, 0.5, "m", most).join(sizes, stats.same(inner, "_of_")).select(*inner, "m", "n")
+    one = cut(one.where(F.col("n") >= least))
+    sizes = one.groupBy(*(F.col(c).alias(f"_of_{c}") for c in outer)).agg(F.count(F.lit(1)).alias("n_groups"))
+    return stats.exact_quantile(one, outer, "m", 0.5, "median").join(sizes, stats.same(outer, "_of_")).select(*outer, "median", "n_groups")
 
 
 def robust_sigma(df: DataFrame, by: Sequence[str], value: str, floor: float) -> DataFrame:

@@ -44,19 +44,23 @@ def _moved(nodes: DataFrame, edges: DataFrame, labels: DataFrame, seed: int) ->
             F.max(F.struct(F.round("score", 12).alias("score"), (-F.xxhash64("run", "label", F.lit(seed))).alias("tie"), "label")).alias("best"),
         )
         choice = cut(choice)
-        inside = choice.groupBy("run").agg((F.sum(F.col("inside") + F.col("own")) / F.first("m2")).alias("in"))
+        wants = F.col("best.score") > F.col("stays") + LEAST_RISE
+        inside = choice.groupBy("run").agg((F.sum(F.col("inside") + F.col("own")) / F.first("m2")).alias("in"), F.count_if(wants).alias("wants"))
         spread = choice.groupBy("run", F.col("now").alias("label")).agg(F.sum("k").alias("t"), F.first("m2").alias("m2"), F.first("gamma").alias("gamma")).groupBy("run").agg(F.sum(F.col("gamma") * F.col("t") * F.col("t") / (F.col("m2") * F.col("m2"))).alias("out"))
-        figures = {r["run"]: r["in"] - r["out"] for r in inside.join(spread, "run").collect()}  # one row a run
+        told = inside.join(spread, "run").collect()  # one row a run
+        figures = {r["run"]: r["in"] - r["out"] for r in told}
         risen = [run for run, q in figures.items() if run not in seen or q > seen[run] + LEAST_RISE]
         if risen:
             seen |= {run: figures[run] for run in risen}
             now = choice.select("run", "node", F.col("now").alias("label"))
             best = now if len(risen) == len(figures) else now.where(F.col("run").isin(risen)).unionByName(best.where(~F.col("run").isin(risen)))
         quiet = 0 if risen else quiet + 1
+        if not any(r["wants"] for r in told):
+            break
         # of two rounds a move has its turn in one; two communities never swap nodes in the same round
         rank = lambda c: F.xxhash64("run", c, F.lit(step // 2), F.lit(seed))  # noqa: B023, E731
         turn = (rank("now") < rank("best.label")) == (step % 2 == 0)
-        goes = turn & (F.col("best.score") > F.col("stays") + LEAST_RISE)
+        goes = turn & wants
         labels = choice.select("run", "node", F.when(goes, F.col("best.label")).otherwise(F.col("now")).alias("label"))
         step += 1
     return cut(best), seen
@@ -91,23 +95,25 @@ def communities(edges: DataFrame, a: str, b: str, weight: str, resolutions: Sequ
     arcs = first_arcs = cut(both.where("node != other").crossJoin(runs.select("run")))
     place = nodes.select("run", "node", F.col("node").alias("label"))  # each first node's node at this level
     known: dict[int, float] = {}
+    named = place
     while True:
-        before = dict(known)
+        before = known
         # from single nodes at first; later from the communities found so far, on the first graph
         start = place if not before else named.select("run", "node", "label")
         nodes, arcs = first_nodes, first_arcs
-        named, at_level = place.select("run", "node", F.col("node").alias("label")), None
+        found, at_level = place, None
         while True:
             labels, figures = _moved(nodes, arcs, start if at_level is None else nodes.select("run", "node", F.col("node").alias("label")), seed)
-            rise = at_level is None or any(q > at_level[run] + LEAST_RISE for run, q in figures.items())
-            if not rise:
+            # the communities of all levels before are what the first graph is refined from, and what a level must beat
+            beaten = at_level if at_level is not None else before
+            if not any(q > beaten.get(run, float("-inf")) + LEAST_RISE for run, q in figures.items()):
                 break
-            named = cut(named.select("run", "node", F.col("label").alias("_l")).join(labels.select("run", F.col("node").alias("_l"), "label"), ["run", "_l"]).select("run", "node", "label"))
+            found = cut(found.select("run", "node", F.col("label").alias("_l")).join(labels.select("run", F.col("node").alias("_l"), "label"), ["run", "_l"]).select("run", "node", "label"))
             at_level = figures
             nodes, arcs = _contracted(nodes, arcs, labels)
-        known = at_level or {}
-        if not any(q > before.get(run, float("-inf")) + LEAST_RISE for run, q in known.items()):
+        if at_level is None:
             break
+        known, named = at_level, found
     chosen = [(max(range(i * orders, (i + 1) * orders), key=lambda run: (round(known[run], 9), -run)), float(g)) for i, g in enumerate(resolutions)] if known else []
     picked = F.broadcast(spark.createDataFrame([(run, g, known[run]) for run, g in chosen], "run int, resolution double, modularity double"))
     smallest = named.groupBy("run", "label").agg(F.min("node").alias("community"), F.count(F.lit(1)).alias("n"))

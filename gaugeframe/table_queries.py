@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import columns as fx
-from .operators import exact, filters, joins, profiles, reshape, search, stats
+from .operators import exact, filters, joins, matrix, modularity, profiles, reshape, search, stats
 from .plans import verify
 from .registry import query
 from .registry import rounded as _r
@@ -354,3 +355,77 @@ def expand_ranges(spark, d):
 @query("""with w as (select event_type, value, time_bucket(interval '2 hours', ts, timestamp '1970-01-01') - interval '2 hours' * k as s from events, range(2) r(k)) select event_type, s as "start", s + interval '4 hours' as "end", round(avg(value), 8) as mean, count(value) as n from w group by 1, 2""")
 def sliding(spark, d):
     return _r(windows.fixed_bins(_t(spark, d, "events"), "ts", "event_type", "value", "4 hours", "2 hours"), "mean", digits=8)
+
+
+# --- what the library has had without a query -------------------------------------------------
+
+
+@query("""with cells as (select c_mktsegment as g, c_nationkey % 5 as s, c_nationkey as k, avg(c_acctbal) as v, c_nationkey < 10 as a from customer group by 1, 2, 3),
+  strata as (select g, s, list(v order by k) as vs, list(a order by k) as own, count(*) as n, count(*) filter (a) as na, sum(v) as t from cells group by 1, 2 having count(*) filter (a) between 1 and count(*) - 1),
+  told as (select g, sum(n) as total, sum(na)::bigint as na, (sum(n) - sum(na))::bigint as nb from strata group by 1),
+  ways as (select g, s, n, na, t, list_sum(list_transform(range(1, n + 1), lambda i: case when (m >> (i - 1)) & 1 = 1 then vs[i] else 0 end)) as x, len(list_filter(range(1, n + 1), lambda i: ((m >> (i - 1)) & 1 = 1) <> own[i])) = 0 as seen
+    from strata, range(32) r(m) where m < 1 << n and bit_count(m) = na),
+  moves as (select g, s, n / total * (x / w.na - (t - x) / (n - w.na)) as d, seen, n / total * t / (n - w.na) as middle from ways w join told using (g)
+    union all select g, s, 0, true, 0 from (select distinct g from cells), range(5) r(s) where (g, s) not in (select (g, s) from strata)),
+  five as (select g, a.d + b.d + c.d + d.d + e.d as d, a.seen and b.seen and c.seen and d.seen and e.seen as seen, a.middle + b.middle + c.middle + d.middle + e.middle as middle
+    from moves a join moves b using (g) join moves c using (g) join moves d using (g) join moves e using (g) where a.s = 0 and b.s = 1 and c.s = 2 and d.s = 3 and e.s = 4),
+  observed as (select g, max(d) as o, 1e-9 * greatest(1, abs(max(middle))) as slack from five where seen group by 1)
+  select g as c_mktsegment, na, nb, round(o, 6) as difference, round(count(*) filter (abs(d) >= abs(o) - slack) / count(*), 9) as p from five join observed using (g) join told using (g) group by g, na, nb, o""")
+def nation_exact(spark, d):
+    cells = _t(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.avg("c_acctbal").alias("v")).withColumn("region", F.col("c_nationkey") % 5)
+    rows = exact.exact_permutation(cells, ["c_mktsegment"], "region", F.col("c_nationkey") < 10, "v", interval=False)
+    return _r(_r(rows, "difference", digits=6), "p", digits=9)
+
+
+@query("""with v as (select vec_id, embedding::double[] as e from embeddings), d as (select q.vec_id as q, r.vec_id as r, sqrt(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - r.e[i]) * (q.e[i] - r.e[i])))) as x from v q, v r where q.vec_id % 50 = 0)
+  select q, r, round(x, 6) as distance, k as "rank", true as certified from (select *, row_number() over (partition by q order by round(x, 9), r) as k from d) where k <= 4""")
+def certified_neighbours(spark, d):
+    e = _t(spark, d, "embeddings")
+    return _r(joins.indexed_knn(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 4, exact=True), "distance", digits=6)
+
+
+@query()
+def resolution_scan(spark, d):
+    bought = _t(spark, d, "lineitem").join(_t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey").join(_t(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    trade = bought.join(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").groupBy("c_nationkey", "s_nationkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("w"))
+    return modularity.communities(trade, "c_nationkey", "s_nationkey", "w", (0.9, 1.0, 1.1))[1]
+
+
+@query("""select p_partkey, lower(substr(p_brand, 7, 1)) in ('1', 'true', 'yes') as first_line, try_cast(substr(p_brand, 7) as double) as line, least(greatest(p_size, 10), 40) as size, list_filter(list_transform(string_split_regex(p_brand || ';' || p_size || ',' || p_partkey, '[;,]'), lambda x: try_cast(trim(x) as int)), lambda x: x is not null) as numbers from part""")
+def coerced(spark, d):
+    p = _t(spark, d, "part")
+    told = F.concat_ws(",", F.concat_ws(";", "p_brand", F.col("p_size").cast("string")), F.col("p_partkey").cast("string"))
+    return p.select("p_partkey", fx.truthy(F.substring("p_brand", 7, 1)).alias("first_line"), fx.number(F.expr("substr(p_brand, 7)")).alias("line"), fx.clip(F.col("p_size"), 10, 40).alias("size"), fx.list_of_ints(told).alias("numbers"))
+
+
+@query("""with t as (select o_custkey, case when o_orderkey % 9 = 0 then 'x' || o_orderkey else (o_orderkey % 40) || '-' || (o_orderkey % 17) end as id from orders)
+  select o_custkey, id, row_number() over (partition by o_custkey order by coalesce(try_cast(regexp_extract(id, '^(\\d+)-(\\d+)$', 1) as int), 1000000000), coalesce(try_cast(regexp_extract(id, '^(\\d+)-(\\d+)$', 2) as int), 1000000000), id) as place from t""")
+def natural_order(spark, d):
+    key = F.col("o_orderkey")
+    t = _t(spark, d, "orders").select("o_custkey", F.when(key % 9 == 0, F.concat(F.lit("x"), key.cast("string"))).otherwise(F.concat_ws("-", (key % 40).cast("string"), (key % 17).cast("string"))).alias("id"))
+    return t.withColumn("place", F.row_number().over(Window.partitionBy("o_custkey").orderBy(*fx.natural_key(F.col("id")))).cast("long"))
+
+
+@query("""with c as (select 'l_discount' as name, l_discount::double as v from lineitem union all select 'l_extendedprice', l_extendedprice from lineitem union all select 'l_quantity', l_quantity from lineitem union all select 'third', l_quantity / 3 from lineitem),
+  f as (select name, k, bool_and(abs(round_even(v, k::int) - v) <= greatest(abs(v) * pow(2, -23), 1e-15)) as fits from c, range(13) r(k) group by 1, 2), top as (select name, max(abs(v)) as m from c group by 1)
+  select name, min(k) filter (fits) as decimals, round(greatest(coalesce(0.5 * pow(10, -min(k) filter (fits)), 0), 1e-12 * max(m), 1e-15), 12) as tolerance from f join top using (name) group by 1""")
+def carried_decimals(spark, d):
+    li = _t(spark, d, "lineitem").withColumn("third", F.col("l_quantity") / 3)
+    rows = [(c, verify.decimals(li, c), round(verify.tolerance(li, c), 12)) for c in ("l_discount", "l_extendedprice", "l_quantity", "third")]  # a row a column
+    return spark.createDataFrame(rows, "name string, decimals long, tolerance double")
+
+
+@query("""with a as (select l_returnflag as f, l_quantity as v, row_number() over (partition by l_returnflag order by l_quantity) as k from lineitem), b as (select f, w as v, row_number() over (partition by f order by w) as k from (select l_returnflag as f, l_quantity + case when l_suppkey % 3 = 0 then 1 else 0 end as w from lineitem where l_linenumber < 7))
+  select count(*) filter (a.k is not null and b.k is not null) as matched, count(*) filter (b.k is null) as only_left, count(*) filter (a.k is null) as only_right, count(*) filter (abs(a.v - b.v) > 0.5) as over from a full join b on a.f = b.f and a.k = b.k""")
+def sorted_difference(spark, d):
+    li = _t(spark, d, "lineitem").select("l_returnflag", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("double").alias("v"))
+    other = li.where("l_linenumber < 7").withColumn("v", F.col("v") + F.when(F.col("l_suppkey") % 3 == 0, 1).otherwise(0))
+    found = verify.sorted_difference(li.select("l_returnflag", "v"), other.select("l_returnflag", "v"), ["l_returnflag"], "v", allowed=0.5)
+    return spark.createDataFrame([(found.matched, found.only_left, found.only_right, found.over)], "matched long, only_left long, only_right long, over long")
+
+
+@query("""with x as (select l_suppkey, l_partkey % 40 as f, sum(l_quantity - 25) as v from lineitem group by 1, 2), n as (select count(*) as n from supplier), m as (select f, count(*) filter (v <> 0) as nnz, sum(v) / max(n) as mean, sqrt(greatest(sum(v * v) / max(n) - (sum(v) / max(n)) ** 2, 0)) as sd from x, n group by 1)
+  select f, nnz, round(mean, 5) as mean, round(sd, 5) as sd from m where mean > 0.5 and sd > 1""")
+def dense_features(spark, d):
+    x = _t(spark, d, "lineitem").groupBy("l_suppkey", (F.col("l_partkey") % 40).alias("f")).agg(F.sum(F.col("l_quantity") - 25).alias("v"))
+    return _r(matrix.feature_filter(x, _t(spark, d, "supplier"), "f", "v", 0.5, 1.0, any_value=False), "mean", "sd", digits=5)
