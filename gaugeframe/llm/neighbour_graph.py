@@ -53,14 +53,14 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def packed(df: DataFrame, id_col: str, vector: str, dims: int) -> DataFrame:
-    """(id, raw, unit): usable vectors as doubles, and of length 1 in half precision; one row an id, the least vector."""
+    """(id, raw, unit): usable vectors as doubles, and of length 1 in single precision; one row an id, the least vector."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 v = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims) + 0.0  # no negative zeros
                 w = np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])  # so that no square overflows
-                unit = (w / np.sqrt((w * w).sum(1))[:, None]).astype(np.float16)
+                unit = (w / np.sqrt((w * w).sum(1))[:, None]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch["id"], _binary(v), _binary(unit)], ["id", "raw", "unit"])
 
     v = F.col(vector).cast("array<double>")
@@ -81,7 +81,7 @@ def _guesses(dims: int, seed: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(seed).normal(size=(dims, ORDERS * BITS)).astype(np.float32)
         for batch in batches:
-            unit = _floats(batch["unit"], np.float16, dims).astype(np.float32)
+            unit = _floats(batch["unit"], np.float32, dims).astype(np.float32)
             signs = (unit @ planes > 0).reshape(-1, ORDERS, BITS)
             # neighbours in Gray order differ in one sign
             gray = np.logical_xor.accumulate(signs, axis=2)
@@ -113,7 +113,7 @@ def _in_blocks(dims: int):
         nodes, unit = np.empty(0, np.int64), np.empty((0, dims), np.float32)
         for batch in batches:
             nodes = np.concatenate([nodes, batch["node"].to_numpy()])
-            unit = np.concatenate([unit, _floats(batch["unit"], np.float16, dims).astype(np.float32)])
+            unit = np.concatenate([unit, _floats(batch["unit"], np.float32, dims).astype(np.float32)])
             while len(nodes) >= 2 * BLOCK:  # so that the last block is no short one
                 yield solve(nodes[:BLOCK], unit[:BLOCK])
                 nodes, unit = nodes[BLOCK:], unit[BLOCK:]
@@ -130,7 +130,7 @@ def _around(dims: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = (batch["hub"].to_numpy(), batch["node"].to_numpy(), batch["fresh"].to_numpy(zero_copy_only=False), batch["worst"].to_numpy(), _floats(batch["unit"], np.float16, dims).astype(np.float32))
+            part = (batch["hub"].to_numpy(), batch["node"].to_numpy(), batch["fresh"].to_numpy(zero_copy_only=False), batch["worst"].to_numpy(), _floats(batch["unit"], np.float32, dims).astype(np.float32))
             part = part if held is None else tuple(np.concatenate(x) for x in zip(held, part))
             starts = np.flatnonzero(np.r_[True, part[0][1:] != part[0][:-1]])
             yield _pairs(*(x[: starts[-1]] for x in part[1:]), np.r_[starts])
@@ -216,10 +216,10 @@ def _step(dims: int, beam: int, width: int):
 
     def update(state: pa.Table, seen: pa.Table) -> pa.Table:
         row = state.to_pylist()[0]
-        own = np.frombuffer(row["unit"], np.float16).astype(np.float32)
+        own = np.frombuffer(row["unit"], np.float32).astype(np.float32)
         there = seen.combine_chunks().to_batches()[0] if seen.num_rows else None
         names = there["node"].to_numpy() if there else np.empty(0, np.int64)
-        near = _floats(there["unit"], np.float16, dims).astype(np.float32) @ own if there else np.empty(0, np.float32)
+        near = _floats(there["unit"], np.float32, dims).astype(np.float32) @ own if there else np.empty(0, np.float32)
         ids, score, closed = np.concatenate([row["beam"], names]).astype(np.int64), np.concatenate([row["near"], near]).astype(np.float32), np.concatenate([row["open"], np.ones(len(names), bool)]).astype(bool)
         top = np.lexsort((ids, -score))[:beam]
         ids, score, closed = ids[top], score[top], closed[top]
