@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import t_two_sided
 from ..session import cut
-from .stats import in_tied_order, placed, same, welch
+from .stats import in_tied_order, mid_ranks, placed, same, welch
 
 #: Ways of a group that one task enumerates, at most, and rows that a group's sides may have.
 MOST, MOST_SUMS = 20_000, 50_000_000
@@ -264,6 +264,16 @@ def exact_u(ranked: DataFrame, u: str, na: str, nb: str, most: int = 400) -> Dat
     return ranked.withColumn("p", p(F.col(u).cast("double"), F.col(na), F.col(nb)))
 
 
+def exact_rank_sum(df: DataFrame, by: Sequence[str], in_a: Column, value: str) -> DataFrame:
+    """The exact two-sided P of the rank sum of the rows in a, ties and all: mid-ranks are relabelled.
+
+    ``difference`` is that of mean ranks; ``p`` the share of ways in which it is as far from 0. Without ties that is
+    the P of ``exact_u``. Bounds and null P are those of ``exact_permutation``; null values are left out.
+    """
+    ranked = mid_ranks(df.where(F.col(value).isNotNull() & in_a.isNotNull()).withColumn("_side", in_a), by, value, "_rank").withColumn("_whole", F.lit(""))
+    return exact_permutation(ranked, by, "_whole", F.col("_side"), "_rank", interval=False)
+
+
 def welch_interval(df: DataFrame, by: Sequence[str], in_a: Column, in_b: Column, value: str, level: float = 0.95) -> DataFrame:
     """Welch's t with P and the interval of the difference of means."""
     t = welch(df, by, in_a, in_b, value)

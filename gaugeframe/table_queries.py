@@ -429,3 +429,12 @@ def sorted_difference(spark, d):
 def dense_features(spark, d):
     x = _t(spark, d, "lineitem").groupBy("l_suppkey", (F.col("l_partkey") % 40).alias("f")).agg(F.sum(F.col("l_quantity") - 25).alias("v"))
     return _r(matrix.feature_filter(x, _t(spark, d, "supplier"), "f", "v", 0.5, 1.0, any_value=False), "mean", "sd", digits=5)
+
+
+@query("""with r as (select l_orderkey as g, l_linenumber as i, l_suppkey % 2 = 0 as a, rank() over w + (count(*) over (partition by l_orderkey, l_quantity) - 1) / 2.0 as r from lineitem window w as (partition by l_orderkey order by l_quantity)),
+  o as (select g, list(r order by i, r, a) as rs, list(a order by i, r, a) as own, count(*) as n, count(*) filter (a) as k, sum(r) filter (a) as seen from r group by 1 having count(*) filter (a) between 1 and count(*) - 1),
+  x as (select g, n, k, seen, list_sum(list_transform(range(1, n + 1), lambda i: case when (m >> (i - 1)) & 1 = 1 then rs[i] else 0 end)) as s from (select *, unnest(range(1 << n)) as m from o) where bit_count(m) = k)
+  select g as l_orderkey, k as na, n - k as nb, round(seen / k - (n * (n + 1) / 2.0 - seen) / (n - k), 6) as difference, round(count(*) filter (abs(s - k * (n + 1) / 2.0) >= abs(seen - k * (n + 1) / 2.0) - 1e-9) / count(*), 9) as p from x group by g, n, k, seen""")
+def exact_ranks(spark, d):
+    rows = exact.exact_rank_sum(_t(spark, d, "lineitem"), ["l_orderkey"], F.col("l_suppkey") % 2 == 0, "l_quantity")
+    return _r(_r(rows, "difference", digits=6), "p", digits=9)

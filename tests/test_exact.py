@@ -145,3 +145,19 @@ def test_lookups_take_nulls_and_repeats(spark):
     names = spark.createDataFrame([("A", 1), ("C", 2), ("C", 3)], "x string, k int")
     asked = spark.createDataFrame([("A",), ("C",), ("D",), (None,)], "x string")
     assert {r.x: (r.k, r.match) for r in filters.only_match(asked, names, "x").collect()} == {"A": (1, "found"), "C": (None, "ambiguous"), "D": (None, "missing"), None: (None, "missing")}
+
+
+def test_exact_rank_sum_takes_ties(spark):
+    rng = np.random.default_rng(12)
+    rows = [(g, bool(k < 4), float(v)) for g in range(3) for k, v in enumerate(rng.permutation(9) if g else rng.integers(0, 4, 9))] + [(0, None, 1.0), (0, True, None)]
+    df = spark.createDataFrame(rows, "g int, a boolean, v double")
+    got = {r.g: r for r in exact.exact_rank_sum(df, ["g"], F.col("a"), "v").collect()}
+    for g in range(3):
+        own = [(a, v) for k, a, v in rows if k == g and a is not None and v is not None]
+        ranks = pd.Series([v for _, v in own]).rank().to_numpy()
+        sums = [sum(ranks[list(c)]) for c in combinations(range(9), 4)]
+        seen = sum(r for r, (a, _) in zip(ranks, own) if a)
+        assert got[g].p == pytest.approx(np.mean([abs(s - 20) >= abs(seen - 20) - 1e-9 for s in sums]))
+        if g:
+            u = spark.createDataFrame([(float(seen) - 10.0, 4, 5)], "u double, na int, nb int")
+            assert exact.exact_u(u, "u", "na", "nb").first().p == pytest.approx(got[g].p)
