@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import columns as fx
-from .operators import exact, filters, joins, matrix, modularity, profiles, reshape, search, stats
+from .operators import exact, filters, joins, matrix, modularity, partition, polyline, profiles, reshape, search, stats
 from .plans import verify
 from .registry import query
 from .registry import rounded as _r
@@ -438,3 +438,75 @@ def dense_features(spark, d):
 def exact_ranks(spark, d):
     rows = exact.exact_rank_sum(_t(spark, d, "lineitem"), ["l_orderkey"], F.col("l_suppkey") % 2 == 0, "l_quantity")
     return _r(_r(rows, "difference", digits=6), "p", digits=9)
+
+
+# --- partitions of a domain, lines and marks -----------------------------------------------------
+
+CELLS = "cells as (select l_returnflag as g, l_suppkey as x, l_partkey % 100 as y, avg(l_quantity) as a, avg(l_discount) * 500 as b from lineitem group by 1, 2, 3)"
+
+
+def _cells(spark, d):
+    """Pixel rows: a place for each supplier and remainder of parts, with two scores."""
+    return _t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.col("l_suppkey").alias("x"), (F.col("l_partkey") % 100).alias("y")).agg(F.avg("l_quantity").alias("a"), (F.avg("l_discount") * 500).alias("b"))
+
+
+@query()
+def flood_partition(spark, d):
+    seeds = F.when((F.col("x") % 25 == 0) & (F.col("y") % 25 == 0), F.col("x") * 100 + F.col("y"))
+    return partition.flood(_cells(spark, d).withColumn("seed", seeds).withColumn("level", F.floor(F.col("a") / 10).cast("double")), ["g"], "x", "y", "seed", "level")
+
+
+@query(f"""with {CELLS}, s as (select g, x, y, x * 100 + y as seed from cells where x % 25 = 0 and y % 25 = 0)
+  select c.g, c.x, c.y, round(min(sqrt((c.x - s.x) ** 2 + (c.y - s.y) ** 2)), 6) as distance, arg_min(s.seed, struct_pack(d := (c.x - s.x) ** 2 + (c.y - s.y) ** 2, k := s.seed)) as owner from cells c left join s on c.g = s.g group by 1, 2, 3""")
+def distance_partition(spark, d):
+    seeds = F.when((F.col("x") % 25 == 0) & (F.col("y") % 25 == 0), F.col("x") * 100 + F.col("y"))
+    return _r(partition.by_distance(_cells(spark, d).withColumn("seed", seeds), ["g"], "x", "y", "seed"), "distance", digits=6).select("g", "x", "y", "distance", "owner")
+
+
+@query(f"""with recursive {CELLS}, c as (select *, case when x % 20 = 0 and y % 20 = 0 then 1 when x % 20 = 10 and y % 20 = 10 then 2 end as seed from cells),
+  side(i, j) as (values (0, 1), (0, -1), (1, 0), (-1, 0)),
+  two as (select g, x, y from c where seed = 2 union select c.g, c.x, c.y from two, side, c where c.g = two.g and c.x = two.x + i and c.y = two.y + j and (c.b > c.a or c.seed = 2)),
+  rest as (select c.g, c.x, c.y, c.seed from c left join two using (g, x, y) where two.g is null or c.seed = 1),
+  one as (select g, x, y from rest where seed = 1 union select r.g, r.x, r.y from one, side, rest r where r.g = one.g and r.x = one.x + i and r.y = one.y + j),
+  kinds as (select g, bool_or(seed = 1) as k1, bool_or(seed = 2) as k2 from c group by 1)
+  select g, c.x, c.y, case when k1 and k2 then case when one.g is not null then 1 else 2 end when k1 then 1 when k2 then 2 end::bigint as owner from c join kinds using (g) left join one using (g, x, y)""")
+def score_partition(spark, d):
+    seeds = F.when((F.col("x") % 20 == 0) & (F.col("y") % 20 == 0), 1).when((F.col("x") % 20 == 10) & (F.col("y") % 20 == 10), 2)
+    return partition.by_scores(_cells(spark, d).withColumn("seed", seeds), ["g"], "x", "y", "seed", "a", "b")
+
+
+LINE = """v as (select l_returnflag as g, date_trunc('month', l_shipdate) as k, avg(l_quantity) as x, avg(l_extendedprice) / 1000 as y from lineitem group by 1, 2),
+  l as (select g, row_number() over w - 1 as item, x as x0, y as y0, lead(x) over w as x1, lead(y) over w as y1 from v window w as (partition by g order by k)),
+  n as (select *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) as len from l where x1 is not null),
+  segs as (select *, coalesce(sum(len) over (partition by g order by item rows between unbounded preceding and 1 preceding), 0) as start, sum(len) over (partition by g) as total from n)"""
+
+
+def _line(spark, d):
+    """A line for each flag: its mean quantity and price month by month."""
+    li = _t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.date_trunc("month", "l_shipdate").alias("k"))
+    return li.agg(F.avg("l_quantity").alias("x"), (F.avg("l_extendedprice") / 1000).alias("y"))
+
+
+@query(f"""with {LINE}, p as (select l_orderkey, l_linenumber, l_returnflag as g, l_quantity as px, l_extendedprice / 1000 as py from lineitem),
+  m as (select p.*, s.*, least(greatest(((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / (len * len), 0), 1) as u from (select distinct g, px, py from p) p join segs s using (g) where len > 0),
+  e as (select *, px - case when u >= 1 then x1 else x0 + u * (x1 - x0) end as ox, py - case when u >= 1 then y1 else y0 + u * (y1 - y0) end as oy from m),
+  best as (select g, px, py, sqrt(ox * ox + oy * oy) as distance, start + u * len as arc, ((x1 - x0) * oy - (y1 - y0) * ox) / len as off from e qualify row_number() over (partition by g, px, py order by ox * ox + oy * oy, item) = 1)
+  select l_orderkey, l_linenumber, round(distance, 6) as distance, round(arc, 4) as arc, round(off, 4) as "offset" from p left join best using (g, px, py)""")
+def line_projection(spark, d):
+    p = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    found = polyline.project(p, _line(spark, d), ["g"], "k", "x", "y")
+    return _r(_r(found, "distance", digits=6), "arc", "offset").select("l_orderkey", "l_linenumber", "distance", "arc", "offset")
+
+
+@query(f"""with {LINE}, t as (select distinct g, total, step, total * step / 100 as arc from segs, range(101) r(step)),
+  s as (select t.g, step, t.arc, x0, y0, x1, y1, least(greatest((t.arc - start) / len, 0), 1) as u from t asof join (select * from segs where len > 0) segs on t.g = segs.g and t.arc >= segs.start)
+  select g, step, round(arc, 5) as arc, round(x0 + u * (x1 - x0), 5) as x, round(y0 + u * (y1 - y0), 5) as y from s""")
+def line_steps(spark, d):
+    return _r(polyline.resample(_line(spark, d), ["g"], "k", "x", "y", 101), "arc", "x", "y", digits=5)
+
+
+@query("""with p as (select p_brand as g, p_partkey as id, cast(p_size as double) as x, p_retailprice / 50 as y from part)
+  select a.g, a.id, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) as distance, arg_min(b.id, struct_pack(d := sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), k := b.id)) as nearest from p a left join p b on a.g = b.g and b.id % 10 = 0 where a.id % 10 <> 0 group by 1, 2""")
+def nearest_marks(spark, d):
+    p = _t(spark, d, "part").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 50).alias("y"))
+    return _r(polyline.nearest_mark(p.where("id % 10 != 0"), p.where("id % 10 = 0"), ["g"], "id", "x", "y"), "distance", digits=6).select("g", "id", "distance", "nearest")
