@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import columns as fx
-from .operators import exact, filters, joins, matrix, modularity, partition, polyline, profiles, reshape, search, stats
+from .operators import exact, filters, joins, matrix, modularity, panels, partition, polyline, profiles, reshape, search, stats
 from .plans import verify
 from .registry import query
 from .registry import rounded as _r
@@ -510,3 +510,39 @@ def line_steps(spark, d):
 def nearest_marks(spark, d):
     p = _t(spark, d, "part").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 50).alias("y"))
     return _r(polyline.nearest_mark(p.where("id % 10 != 0"), p.where("id % 10 = 0"), ["g"], "id", "x", "y"), "distance", digits=6).select("g", "id", "distance", "nearest")
+
+
+# --- panels of features --------------------------------------------------------------------------
+
+
+def _panel_tables(spark, d):
+    """Terms of 24 features for lines of an order against groups of suppliers, and which should match which."""
+    li = _t(spark, d, "lineitem").withColumn("f", (F.col("l_partkey") % 24).cast("string"))
+    mean = lambda k: li.groupBy(k.cast("string").alias("l"), "f").agg(F.avg("l_extendedprice").alias("v"))
+    told = panels.terms(mean(F.col("l_linenumber")), mean(F.col("l_suppkey") % 8), "l", "f", "v")
+    pairs = told.select("a", "b").distinct()
+    apart = F.pmod(F.col("b").cast("int") - F.col("a").cast("int"), F.lit(8))
+    kinds = pairs.select("a", "b", F.when(apart == 0, "preferred").when(apart <= 2, "soft").when(apart == 3, "family").alias("kind"))
+    return told, kinds.where("kind is not null")
+
+
+@query("""with li as (select *, l_partkey % 24 as f from lineitem), one as (select l_linenumber as a, f, avg(l_extendedprice) as x from li group by 1, 2), other as (select l_suppkey % 8 as b, f, avg(l_extendedprice) as y from li group by 1, 2),
+  fs as (select range as f from range(24)), moves as (select f as dropped, null as added from fs where f < 12 union all select null, f from fs where f >= 12 union all select p.f, q.f from fs p, fs q where p.f < 12 and q.f >= 12),
+  members as (select dropped, added, f from moves, fs where (f < 12 and f is distinct from dropped) or f = added),
+  r as (select dropped, added, a, b, count(*) as n, round(corr(x, y), 9) as r, (b - a + 8) % 8 as apart from members join one using (f) join other using (f) group by 1, 2, 3, 4),
+  m as (select dropped, added, a, max(n) as n, list(struct_pack(r := -r, b := b, apart := apart) order by r desc, b) as top, max(r) filter (apart = 0) as own, max(r) filter (apart <> 0) as others, max(r) filter (apart > 3) as bad_ from r group by 1, 2, 3)
+  select dropped::varchar as dropped, added::varchar as added, max(n) as "size", count(*) filter (own is not null and top[1].apart > 3) as bad, count(*) filter (own is not null and top[1].apart in (1, 2)) as soft, count(*) filter (own is not null and top[1].apart = 3) as family,
+  round(quantile_cont(own - bad_, 0.5), 6) as margin_bad, round(quantile_cont(own - others, 0.5), 6) as margin_all, round(quantile_cont(top[2].r - top[1].r, 0.5), 6) as gap, round(avg(-top[1].r), 6) as correlation from m group by dropped, added""")
+def panel_moves(spark, d):
+    told, kinds = _panel_tables(spark, d)
+    beam = panels.keyed(spark, [[str(f) for f in range(12)]])
+    sums = panels.summed(told, beam.select("panel", F.explode("features").alias("feature")))
+    moves = panels.all_moves(beam, [str(f) for f in range(24)])
+    found = panels.scores(panels.moved(told, sums, moves), kinds).join(moves, "panel")
+    return _r(found, "margin_bad", "margin_all", "gap", "correlation", digits=6).select("dropped", "added", "size", "bad", "soft", "family", "margin_bad", "margin_all", "gap", "correlation")
+
+
+@query()
+def panel_search(spark, d):
+    told, kinds = _panel_tables(spark, d)
+    return panels.search(told, kinds, [str(f) for f in range(12)], [str(f) for f in range(24)], width=4, rounds=2)
