@@ -36,24 +36,34 @@ def _places(points: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 def _near_items(places: DataFrame, items: DataFrame, by: Sequence[str]) -> DataFrame:
     """(place, item) pairs that hold each place's nearest item: those left at the end of its descent.
 
-    ``items``: ``item`` numbers those of a group from 0; ``x0 y0`` lies on it, ``x1 y1`` is its other end.
+    ``items``: ``item`` numbers those of a group from 0; ``x0 y0`` lies on it, ``x1 y1`` is its other end. The up to
+    64 boxes below one are a row's array, and what a place is sure to find goes down with it, so a level neither
+    sorts nor shuffles more than its join does.
     """
     last = items.agg(F.max("item")).first()[0]
     levels = 1
     while FAN**levels <= (last or 0):
         levels += 1
-    held = places.withColumn("_box", F.lit(0).cast("long")).withColumn("_copy", F.pmod(F.xxhash64("_px", "_py"), F.lit(COPIES)).cast("int"))
+    held = places.withColumn("_box", F.lit(0).cast("long")).withColumn("_copy", F.pmod(F.xxhash64("_px", "_py"), F.lit(COPIES)).cast("int")).withColumn("_sure", F.lit(float("inf")))
     copies = F.explode(F.array(*(F.lit(i) for i in range(COPIES)))).alias("_copy")
-    part = lambda width: F.floor(F.col("item") / width).cast("long")
-    for level in reversed(range(1, levels)):
-        edges = [f(g(f"{c}0", f"{c}1")).alias(f"_{n}{c}") for n, f, g in (("lo", F.min, F.least), ("hi", F.max, F.greatest)) for c in "xy"]
-        boxes = items.groupBy(*by, part(FAN**level).alias("_next")).agg(*edges, F.min(F.struct("item", "x0", "y0")).alias("_on"))
-        met = held.join(boxes.select("*", F.floor(F.col("_next") / FAN).cast("long").alias("_box"), copies), [*by, "_box", "_copy"])
-        gap = F.hypot(*(F.greatest(F.col(f"_lo{c}") - F.col(f"_p{c}"), F.col(f"_p{c}") - F.col(f"_hi{c}"), F.lit(0.0)) for c in "xy"))
-        sure = F.min(F.hypot(F.col("_on.x0") - F.col("_px"), F.col("_on.y0") - F.col("_py"))).over(Window.partitionBy(*by, "_px", "_py"))
-        kept = met.withColumn("_gap", gap).withColumn("_sure", sure).where(F.col("_gap") <= F.col("_sure") * (1 + 1e-9))
-        held = kept.select(*by, "_px", "_py", F.col("_next").alias("_box"), "_copy")
-    return held.join(items.select("*", part(FAN).alias("_box"), copies), [*by, "_box", "_copy"]).drop("_box", "_copy")
+    edges = [g(f"{c}0", f"{c}1").alias(f"{n}{c}") for n, g in (("lo", F.least), ("hi", F.greatest)) for c in "xy"]
+    kept = [c for c in items.columns if c not in by]
+    for level in reversed(range(levels)):  # the last is 0, that of the items themselves
+        if level:
+            ends = [f(g(f"{c}0", f"{c}1")).alias(f"{n}{c}") for n, f, g in (("lo", F.min, F.least), ("hi", F.max, F.greatest)) for c in "xy"]
+            rows = items.groupBy(*by, F.floor(F.col("item") / FAN**level).cast("long").alias("_next")).agg(*ends, F.min(F.struct("item", "x0", "y0")).alias("_on"))
+            rows = rows.select(*by, "_next", F.struct("_next", "lox", "hix", "loy", "hiy", F.col("_on.x0").alias("x0"), F.col("_on.y0").alias("y0")).alias("_one"))
+        else:
+            rows = items.select(*by, F.col("item").alias("_next"), F.struct(*kept, *edges).alias("_one"))
+        below = rows.groupBy(*by, F.floor(F.col("_next") / FAN).cast("long").alias("_box")).agg(F.collect_list("_one").alias("_below"))
+        met = held.join(below.select("*", copies), [*by, "_box", "_copy"])
+        gap = lambda o: F.hypot(*(F.greatest(o[f"lo{c}"] - F.col(f"_p{c}"), F.col(f"_p{c}") - o[f"hi{c}"], F.lit(0.0)) for c in "xy"))
+        away = lambda o: F.hypot(o["x0"] - F.col("_px"), o["y0"] - F.col("_py"))
+        met = met.withColumn("_sure", F.least("_sure", F.array_min(F.transform("_below", away))))
+        near = met.withColumn("_one", F.explode(F.filter("_below", lambda o: gap(o) <= F.col("_sure") * (1 + 1e-9))))
+        if not level:
+            return near.select(*by, "_px", "_py", *(F.col(f"_one.{c}").alias(c) for c in kept))
+        held = near.select(*by, "_px", "_py", F.col("_one._next").alias("_box"), "_copy", "_sure")
 
 
 def _told(points: DataFrame, found: DataFrame, by: Sequence[str], x: str, y: str, *names: str) -> DataFrame:
