@@ -27,6 +27,8 @@ MOST, MOST_SUMS = 20_000, 50_000_000
 MOST_ROWS = 120
 #: Rows of a side whose choices one row of work enumerates.
 SUFFIX = 14
+#: Steps of a series, at most, whose blocks are held in one row.
+LONG = 100_000
 
 
 class Relabelled:
@@ -399,19 +401,26 @@ def block_bootstrap(df: DataFrame, by: Sequence[str], t: str, y: str, length: in
     """Observed net rise of each series, and its P among series put together from blocks of neighbouring steps.
 
     A null series takes its steps from blocks of ``length`` neighbours whose starts are drawn by hash, as
-    many as the series has. Blocks come from running sums, so a repeat costs a row for each block.
+    many as the series has. Blocks come from running sums; only a series of more than ``LONG`` steps has its draws as rows.
     """
     w = Window.partitionBy(*by).orderBy(t)
-    rows = df.where(F.col(y).isNotNull()).select(*by, t, (F.col(y) - F.lag(y).over(w)).cast("double").alias("_d")).where("_d is not null")
+    rows = df.where(F.col(y).isNotNull()).dropna(subset=list(by)).select(*by, t, (F.col(y) - F.lag(y).over(w)).cast("double").alias("_d")).where("_d is not null")
     k = F.row_number().over(w)
-    ahead = w.rowsBetween(0, length - 1)
-    steps = rows.select(*by, k.alias("_k"), F.sum("_d").over(ahead).alias("_block"), F.count(F.lit(1)).over(ahead).alias("_full"), "_d")
-    whole = steps.groupBy(*by).agg(F.sum("_d").alias("observed"), F.count(F.lit(1)).alias("_n"))
-    middle = steps.join(whole, list(by)).where(F.col("_full") == length)
+    ahead, all_ = w.rowsBetween(0, length - 1), Window.partitionBy(*by)
+    steps = rows.select(*by, k.alias("_k"), F.sum("_d").over(ahead).alias("_block"), F.count(F.lit(1)).over(ahead).alias("_full"), F.sum("_d").over(all_).alias("observed"), F.count(F.lit(1)).over(all_).alias("_n"))
     # blocks of a null series have the series' mean step taken out
-    blocks = middle.select(*by, "_k", (F.col("_block") - length * F.col("observed") / F.col("_n")).alias("_block"))
-    draws = whole.where(F.col("_n") >= length).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    draws = draws.withColumn("_j", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_n") / length).cast("int"))))
-    start = F.pmod(F.xxhash64(*by, "rep", "_j", F.lit(seed)), F.col("_n") - length + 1) + 1
-    drawn = draws.withColumn("_k", start.cast("int")).join(blocks, [*by, "_k"]).groupBy(*by, "rep", "observed").agg(F.sum("_block").alias("_net"))
-    return drawn.groupBy(*by, "observed").agg(((F.count_if(F.abs("_net") >= F.abs("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    blocks = cut(steps.where(F.col("_full") == length).select(*by, "_k", (F.col("_block") - length * F.col("observed") / F.col("_n")).alias("_block"), "observed", "_n"))
+    reps, draws = F.sequence(F.lit(1), F.lit(repeats)), F.sequence(F.lit(1), F.ceil(F.col("_n") / length).cast("int"))
+    start = lambda rep, j: (F.pmod(F.xxhash64(*by, rep, j, F.lit(seed)), F.col("_n") - length + 1) + 1).cast("int")
+    far = lambda net: F.abs(net) >= F.abs("observed")
+    # a series' blocks are an array, in which its draws are looked up; those of a long one are rows to be joined
+    held = blocks.where(F.col("_n") <= LONG).groupBy(*by, "observed", "_n").agg(F.array_sort(F.collect_list(F.struct("_k", "_block")))["_block"].alias("_x"))
+    held = cut(held)  # or the array would be sorted anew at each draw
+    nets = F.transform(reps, lambda rep: F.aggregate(draws, F.lit(0.0), lambda net, j: net + F.element_at("_x", start(rep, j))))
+    short = held.select(*by, "observed", ((F.size(F.filter(nets, far)) + 1) / F.lit(repeats + 1)).alias("p"))
+    long = blocks.where(F.col("_n") > LONG)
+    drawn = long.where("_k = 1").select(*by, "observed", "_n", F.explode(reps).alias("rep")).withColumn("_j", F.explode(draws))
+    # the explosion isn't in Spark's estimate of sizes, so it must be told not to broadcast
+    drawn = drawn.withColumn("_k", start(F.col("rep"), F.col("_j"))).hint("merge").join(long.select(*by, "_k", "_block"), [*by, "_k"])
+    drawn = drawn.groupBy(*by, "rep", "observed").agg(F.sum("_block").alias("_net"))
+    return short.unionByName(drawn.groupBy(*by, "observed").agg(((F.count_if(far(F.col("_net"))) + 1) / F.lit(repeats + 1)).alias("p")))

@@ -161,3 +161,15 @@ def test_exact_rank_sum_takes_ties(spark):
         if g:
             u = spark.createDataFrame([(float(seen) - 10.0, 4, 5)], "u double, na int, nb int")
             assert exact.exact_u(u, "u", "na", "nb").first().p == pytest.approx(got[g].p)
+
+
+def test_block_bootstrap_draws_are_not_broadcast(spark, monkeypatch):
+    rows = [(u, i, float((i * i * (u + 3)) % 17)) for u in range(3) for i in range(12)] + [(9, 0, 1.0), (9, 1, 2.0)]
+    df = spark.createDataFrame(rows, "u long, i long, v double")
+    run = lambda: exact.block_bootstrap(df, ["u"], "i", "v", 4, 50)
+    short = {r["u"]: (r["observed"], r["p"]) for r in run().collect()}
+    assert set(short) == {0, 1, 2}
+    monkeypatch.setattr(exact, "LONG", 5)
+    assert {r["u"]: (r["observed"], r["p"]) for r in run().collect()} == short
+    plan = run()._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan
