@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from gaugeframe import table_queries
 from gaugeframe.operators import partition, polyline
 
 CELL = "g string, x long, y long, level double, seed long"
@@ -192,3 +193,13 @@ def test_nearest_marks_at_any_distance(spark):
             continue
         d, label = min((math.hypot(r.x - x, r.y - y), k) for k, x, y in marks)
         assert abs(r.distance - d) <= 1e-9 * max(1, d) and r.nearest == label
+
+
+def test_cells_add_up_in_the_order_of_rows(spark, tmp_path):
+    row = lambda d, k=0: ("A", 1, 100 * k, 1.0, d)
+    names = "l_returnflag string, l_suppkey long, l_partkey long, l_quantity double, l_discount double"
+    for name, rows in (("a", [row(0.1)]), ("b", [row(0.2), row(0.3), *(("R", 2, i, 1.0, i / 7) for i in range(500))])):
+        spark.createDataFrame(rows, names).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet" / f"part={name}"))
+    got = table_queries._cells_in_order(spark, str(tmp_path)).where("g = 'A'").collect()
+    assert [(r.x, r.y, r.a, r.b) for r in got] == [(1, 0, 1.0, (0.1 + 0.2 + 0.3) / 3 * 500)]
+    assert (0.1 + 0.2 + 0.3) / 3 * 500 != (0.2 + 0.3 + 0.1) / 3 * 500
