@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def spread_filter(moments: DataFrame, least_cv: float) -> DataFrame:
     """Features whose sd over mean is above a cut; a mean of 0 or less fails."""
@@ -113,7 +115,8 @@ def above_own_quantile(df: DataFrame, by: Sequence[str], value: str, q: float) -
 
 def residual_rank(df: DataFrame, by: Sequence[str], x: str, y: str, q: float) -> DataFrame:
     """Rows whose distance from their group's line is beyond the group's quantile of distances."""
-    fit = df.groupBy(*by).agg(F.regr_slope(y, x).alias("_s"), F.regr_intercept(y, x).alias("_i"))
+    # written once: summed again in another order it could put the row at the quantile above it
+    fit = cut(df.groupBy(*by).agg(F.regr_slope(y, x).alias("_s"), F.regr_intercept(y, x).alias("_i")))
     off = df.join(fit, list(by)).withColumn("residual", F.col(y) - F.col("_i") - F.col("_s") * F.col(x)).drop("_s", "_i")
     return above_own_quantile(off.withColumn("_d", F.abs("residual")), by, "_d", q).where("above").drop("_d", "threshold", "above")
 

@@ -173,3 +173,10 @@ def test_block_bootstrap_draws_are_not_broadcast(spark, monkeypatch):
     assert {r["u"]: (r["observed"], r["p"]) for r in run().collect()} == short
     plan = run()._jdf.queryExecution().sparkPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_residual_rank_sums_each_line_once(spark):
+    rows = spark.createDataFrame([(1, float(i), float((i * 7) % 11)) for i in range(51)], "g long, x double, y double")
+    found = filters.residual_rank(rows, ["g"], "x", "y", 0.98)
+    assert found.count() == 1
+    assert "regr_slope" not in found._jdf.queryExecution().executedPlan().toString()
