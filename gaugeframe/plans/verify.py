@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import stats
+
 
 def decimals(df: DataFrame, column: str, most: int = 12) -> int | None:
     """The decimals a column carries: the least at which rounding changes nothing; None if more than ``most``."""
@@ -55,9 +57,33 @@ def keyed_difference(mine: DataFrame, published: DataFrame, keys: Sequence[str],
 
 
 def sorted_difference(mine: DataFrame, published: DataFrame, by: Sequence[str], value: str, allowed: float | None = None) -> Difference:
-    """Compare tables without a key: values of each group in order, against each other."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(value))
-    return keyed_difference(mine.withColumn("_place", place), published.withColumn("_place", place), [*by, "_place"], value, tolerance(published, value) if allowed is None else allowed)
+    """Compare tables without a key: values of each group in order, against each other.
+
+    Equal values are counted together and take a stretch of places; both sides' stretches are cut where either has an
+    end, so no task orders a group. Rows of a null group have no counterpart.
+    """
+    allowed = tolerance(published, value) if allowed is None else allowed
+    held = lambda df: df.select(*by, F.col(value).cast("double").alias("_v"))
+    no_group = lambda df: df.where(~F.coalesce(*(F.when(F.col(c).isNull(), False) for c in by), F.lit(True))).count() if by else 0
+    ends = None
+    for df, side, other in ((mine, "_a", "_b"), (published, "_b", "_a")):
+        rows = stats.placed(held(df).dropna(subset=list(by)) if by else held(df), by, "_v")
+        one = F.struct(F.col("_before").alias("at"), F.lit(True).alias("there"), F.col("_v").alias("v"))
+        last = F.struct(F.col("_all").alias("at"), F.lit(False).alias("there"), F.lit(None).cast("double").alias("v"))
+        starts = rows.select(*by, F.explode(F.when(F.col("_before") + F.col("_n") == F.col("_all"), F.array(one, last)).otherwise(F.array(one))).alias(side))
+        starts = starts.withColumn("_at", F.col(f"{side}.at")).withColumn(other, F.lit(None).cast(starts.schema[side].dataType))
+        ends = starts if ends is None else ends.unionByName(starts)
+    ends = stats.in_ranges(ends.groupBy(*by, "_at").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b")), by, ["_at"])
+    ends = stats.of_ranges(ends, by, at=F.min("_at"), a=F.max("_a"), b=F.max("_b"))
+    w = Window.partitionBy(*by, "_range").orderBy("_at")
+    now = lambda side: F.coalesce(F.max(f"_{side}").over(w), F.col(f"_earlier_{side}"))
+    pieces = ends.select((F.coalesce(F.lead("_at").over(w), F.col("_later_at")) - F.col("_at")).alias("n"), now("a").alias("a"), now("b").alias("b")).where("n is not null")
+    l, r, x, y = F.coalesce("a.there", F.lit(False)), F.coalesce("b.there", F.lit(False)), F.col("a.v"), F.col("b.v")
+    gap = F.when(x.isNull() & y.isNull(), 0.0).when(x.isNull() | y.isNull(), float("inf")).otherwise(F.abs(x - y))
+    pieces = pieces.withColumns({"_l": l, "_r": r}).withColumn("_gap", F.when(F.col("_l") & F.col("_r"), gap))
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    found = pieces.agg(total(F.col("_l") & F.col("_r")), total(F.col("_l") & ~F.col("_r")), total(~F.col("_l") & F.col("_r")), F.coalesce(F.max("_gap"), F.lit(0.0)), total(F.col("_gap") > allowed)).first()
+    return Difference(found[0], found[1] + no_group(mine), found[2] + no_group(published), found[3], found[4])
 
 
 def agreement(one: DataFrame, other: DataFrame, key: str, label: str) -> DataFrame:

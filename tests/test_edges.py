@@ -1,8 +1,10 @@
 """Edge cases of the library's operators: nulls, NaN, ties, one row, empty tables."""
 
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import columns as fx
@@ -151,3 +153,21 @@ def test_streams_match_their_batch_forms(spark, tmp_path):
     want = dict(rows(series.onset(one, ["u"], "k", F.col("v") > 3, 3)))
     got = dict(run(windows.onset_stream(stream().withColumn("k", F.floor(F.col("i") / 3).cast("long")), "u", "k", F.col("v") > 3, 3), "append", "onsets"))
     assert got == {k: v for k, v in want.items() if v is not None}
+
+
+def test_sorted_difference_as_row_by_row(spark):
+    rng = random.Random(3)
+    one = [(rng.choice(["a", "b", None]), rng.choice([None, 0.0, 1.0, 1.4, 7.0, float("nan")])) for _ in range(120)] + [("only", 1.0)]
+    two = [(rng.choice(["a", "b", None]), rng.choice([None, 0.0, 1.0, 2.0, 7.0])) for _ in range(90)] + [("other", 1.0), ("other", 1.0)]
+    a, b = (spark.createDataFrame(rows, "g string, v double") for rows in (one, two))
+    place = F.row_number().over(Window.partitionBy("g").orderBy("v"))
+    want = verify.keyed_difference(a.withColumn("p", place), b.withColumn("p", place), ["g", "p"], "v", allowed=0.5)
+    got = verify.sorted_difference(a, b, ["g"], "v", allowed=0.5)
+    assert (got.matched, got.only_left, got.only_right, got.over, str(got.largest)) == (want.matched, want.only_left, want.only_right, want.over, str(want.largest))
+
+
+def test_sorted_difference_orders_no_group_in_one_task(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(verify, "keyed_difference", lambda *a, **k: seen.append(1))
+    df = spark.createDataFrame([("a", 1.0)] * 5, "g string, v double")
+    assert verify.sorted_difference(df, df, ["g"], "v").matched == 5 and not seen
