@@ -43,6 +43,8 @@ def with_p(df: DataFrame, statistic: str, dfs: Sequence[str], kind: str) -> Data
 
 #: Groups of up to as many rows are ordered in one task each.
 SMALL = 100_000
+#: Groups of up to as many rows have a quantile aggregated: a task holds the values of up to 128 of them, boxed.
+HELD = 10_000
 
 
 def largest(df: DataFrame, by: Sequence[str]) -> int:
@@ -102,10 +104,10 @@ def placed(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def exact_quantile(df: DataFrame, by: Sequence[str], value: str, q: float, name: str, most: int | None = None) -> DataFrame:
     """Each group's quantile, between the two nearest values in proportion; null for a group without values.
 
-    ``most``: rows of the largest group, if known. Groups of up to ``SMALL`` rows are aggregated; larger ones are put
+    ``most``: rows of the largest group, if known. Groups of up to ``HELD`` rows are aggregated; larger ones are put
     in order range by range, equal values counted together, so that no task holds a group's values whole.
     """
-    if (largest(df, by) if most is None else most) <= SMALL:
+    if (largest(df, by) if most is None else most) <= min(HELD, SMALL):
         return df.groupBy(*by).agg(F.percentile(F.col(value).cast("double"), q).alias(name))
     rows = placed(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")), by, "_v")
     at = q * (F.col("_all") - 1)

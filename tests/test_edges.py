@@ -171,3 +171,10 @@ def test_sorted_difference_orders_no_group_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(verify, "keyed_difference", lambda *a, **k: seen.append(1))
     df = spark.createDataFrame([("a", 1.0)] * 5, "g string, v double")
     assert verify.sorted_difference(df, df, ["g"], "v").matched == 5 and not seen
+
+
+def test_quantile_of_a_group_beyond_what_a_task_holds(spark):
+    df = spark.range(stats.HELD + 51).select((F.col("id") % 1).alias("g"), (F.col("id") * 7 % 1009 / 3.0).alias("v"))
+    found = stats.exact_quantile(df, ["g"], "v", 0.5, "m")
+    assert "percentile" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.first()["m"] == df.agg(F.percentile("v", 0.5)).first()[0]
