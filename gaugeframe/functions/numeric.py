@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -68,6 +69,77 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((k, r) if flip else (r, k) for r, k in pairs)
 
 
+def transport(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, supply: np.ndarray, demand: np.ndarray, none: float) -> np.ndarray:
+    """Units sent over each pair (row, col): of least total cost, where a unit of a row that is not sent costs ``none``.
+
+    Shortest augmenting paths with potentials over the given pairs, which are sorted by row and hold each pair once;
+    memory grows with the pairs.
+    """
+    first = np.searchsorted(rows, np.arange(len(supply) + 1))
+    u, v, left = np.zeros(len(supply)), np.zeros(len(demand)), demand.astype(np.int64)
+    sent: list[dict[int, int]] = [{} for _ in demand]  # by column: what each pair brings
+    for row in range(len(supply)):
+        more = int(supply[row])
+        while more:
+            best, via, done = np.full(len(demand), np.inf), np.full(len(demand), -1), []
+            seen, last, heap, closed = {row: 0.0}, {}, [], np.zeros(len(demand), bool)
+            out, stay, ahead = np.inf, -1, [row]
+            while True:
+                for r in ahead:  # rows reached at this length
+                    d, s = seen[r], slice(first[r], first[r + 1])
+                    if d + none - u[r] < out:
+                        out, stay = d + none - u[r], r
+                    new, at = d + np.maximum(cost[s] - u[r] - v[cols[s]], 0.0), cols[s]
+                    for k in np.flatnonzero((new < best[at]) & ~closed[at]).tolist():
+                        best[at[k]], via[at[k]] = new[k], s.start + k
+                        heapq.heappush(heap, (new[k], int(at[k])))
+                while heap and (closed[heap[0][1]] or heap[0][0] > best[heap[0][1]]):
+                    heapq.heappop(heap)
+                if not heap or heap[0][0] >= out:
+                    end, length = -1, out
+                    break
+                length, end = heapq.heappop(heap)
+                closed[end] = True
+                done.append(end)
+                if left[end]:
+                    break
+                ahead = []
+                for pair in sent[end]:
+                    r = int(rows[pair])
+                    if r not in seen:
+                        seen[r], last[r] = length, pair
+                        ahead.append(r)
+            for r, d in seen.items():
+                u[r] += length - d
+            for c in done:
+                v[c] -= length - best[c]
+            # the way back: pairs that gain and, before each, the pair that loses
+            gains, loses, r = [], [], stay
+            if end >= 0:
+                gains.append(int(via[end]))
+                r = int(rows[via[end]])
+            while r != row:
+                pair = last[r]
+                loses.append(pair)
+                gains.append(int(via[cols[pair]]))
+                r = int(rows[gains[-1]])
+            n = min([more, *(sent[cols[p]][p] for p in loses), *([int(left[end])] if end >= 0 else [])])
+            for p in gains:
+                sent[cols[p]][p] = sent[cols[p]].get(p, 0) + n
+            for p in loses:
+                sent[cols[p]][p] -= n
+                if not sent[cols[p]][p]:
+                    del sent[cols[p]][p]
+            if end >= 0:
+                left[end] -= n
+            more -= n
+    units = np.zeros(len(rows), np.int64)
+    for held in sent:
+        for p, n in held.items():
+            units[p] = n
+    return units
+
+
 def nonnegative_fit(a: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Least squares with weights of 0 or more, by active sets."""
     w, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)

@@ -37,13 +37,14 @@ def shell_of(distance: str, width: float):
 def chain_roots(links: DataFrame, node: str, before: str) -> DataFrame:
     """(node, root): the start of the chain that each node ends, by doubling of pointers.
 
-    ``links`` gives each node at most one node before it; chains of n links take log2(n) joins.
+    ``links`` gives each node at most one node before it; chains of n links take log2(n) joins. Tables of nodes are
+    never broadcast: they pack into few bytes, but their rows would lie in the driver's memory.
     """
     at = links.select(F.col(node).alias("node"), F.col(before).alias("root"))
     starts = links.select(F.col(before).alias("node")).join(links.select(F.col(node).alias("node")), "node", "left_anti").distinct().withColumn("root", F.col("node"))
     at = at.unionByName(starts)
     while True:
-        jump = at.select(F.col("node").alias("root"), F.col("root").alias("_next"))
+        jump = at.select(F.col("node").alias("root"), F.col("root").alias("_next")).hint("merge")
         moved = at.join(jump, "root").select("node", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("_moved"))
         moved = cut(moved)
         at = moved.select("node", "root")
@@ -59,9 +60,9 @@ def tracks(detections: DataFrame, by: Sequence[str], frame: str, id_col: str, at
     """
     here = detections.select(*by, F.col(frame).alias("_f"), id_col, *at)
     following = here.withColumn("_f", F.col("_f") - 1)
-    links = search.match(here, following, [*by, "_f"], id_col, at, reach).select(F.col("b").alias("node"), F.col("a").alias("before"))
+    links = cut(search.match(here, following, [*by, "_f"], id_col, at, reach).select(F.col("b").alias("node"), F.col("a").alias("before")))
     roots = chain_roots(links, "node", "before")
-    found = detections.join(roots.withColumnRenamed("node", id_col), id_col, "left").withColumn("track", F.coalesce("root", F.col(id_col)))
+    found = detections.join(roots.withColumnRenamed("node", id_col).hint("merge"), id_col, "left").withColumn("track", F.coalesce("root", F.col(id_col)))
     return found.select(*detections.columns, "track")
 
 

@@ -65,3 +65,12 @@ def test_exact_quantile(spark, monkeypatch, q, small):
     whole = stats.exact_quantile(df.select("v"), [], "v", q, "m").first().m
     assert whole == pytest.approx(np.quantile(np.concatenate(list(groups.values())), q))
     assert stats.exact_quantile(df.where(F.lit(False)), ["g"], "v", q, "m").isEmpty()
+
+
+def test_many_points_at_few_places(spark):
+    """Places are matched, not their points: 50,000 a place would be 2.5 x 10^9 pairs."""
+    make = lambda start, n: spark.range(n).selectExpr("'k' as k", f"2 * id + {start} as id", "cast(id % 2 as double) * 1.5 as x")
+    got = search.match(make(0, 100_000), make(1, 99_000), ["k"], "id", ["x"], 1.0)
+    row = got.selectExpr("count(*) as n", "count(distinct a) as a", "count(distinct b) as b", "sum(distance) as d", "sum(a) as s").first()
+    assert (row.n, row.a, row.b, row.d) == (99_000, 99_000, 99_000, 0.0)
+    assert row.s == sum(2 * i for i in range(99_000))  # in order of ids
