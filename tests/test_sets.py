@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.numeric import assign
+from gaugeframe.functions.numeric import assign, transport
 from gaugeframe.operators import graph, search, stats
 
 
@@ -74,3 +74,17 @@ def test_many_points_at_few_places(spark):
     row = got.selectExpr("count(*) as n", "count(distinct a) as a", "count(distinct b) as b", "sum(distance) as d", "sum(a) as s").first()
     assert (row.n, row.a, row.b, row.d) == (99_000, 99_000, 99_000, 0.0)
     assert row.s == sum(2 * i for i in range(99_000))  # in order of ids
+
+
+def test_transport_is_the_assignment_of_units():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, m = rng.integers(1, 8, 2)
+        at, supply, demand = rng.integers(0, 12, n + m).astype(float), rng.integers(1, 5, n), rng.integers(1, 5, m)
+        apart = np.abs(at[:n, None] - at[None, n:])
+        i, j = np.nonzero(apart <= 3)
+        units = transport(i, j, apart[i, j], supply, demand, 1e6)
+        whole = np.where(apart <= 3, apart, 1e6)[np.ix_(np.repeat(np.arange(n), supply), np.repeat(np.arange(m), demand))]
+        best = [whole[p] for p in assign(whole) if whole[p] < 1e6]
+        assert units.sum() == len(best) and abs((units * apart[i, j]).sum() - sum(best)) < 1e-6
+        assert (np.bincount(i, units, n) <= supply).all() and (np.bincount(j, units, m) <= demand).all()
