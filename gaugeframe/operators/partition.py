@@ -111,6 +111,7 @@ def flood(cells: DataFrame, by: Sequence[str], x: str, y: str, seed: str, level:
 
 def by_distance(cells: DataFrame, by: Sequence[str], x: str, y: str, seed: str) -> DataFrame:
     """Each cell with its nearest seed (straight distance, the smaller label on ties) and the ``distance`` to it."""
+    cells = cut(cells)  # read for its seeds and as points
     found = polyline.nearest_mark(cells, cells.where(F.col(seed).isNotNull()), by, seed, x, y)
     return found.withColumnRenamed("nearest", "owner")
 

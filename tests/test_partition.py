@@ -4,6 +4,7 @@ import heapq
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gaugeframe import table_queries
@@ -203,3 +204,19 @@ def test_cells_add_up_in_the_order_of_rows(spark, tmp_path):
     got = table_queries._cells_in_order(spark, str(tmp_path)).where("g = 'A'").collect()
     assert [(r.x, r.y, r.a, r.b) for r in got] == [(1, 0, 1.0, (0.1 + 0.2 + 0.3) / 3 * 500)]
     assert (0.1 + 0.2 + 0.3) / 3 * 500 != (0.2 + 0.3 + 0.1) / 3 * 500
+
+
+def test_tiles_descend_in_place_of_points(spark, monkeypatch):
+    """Points of a tile are led down the boxes together; few and many tiles give the nearest marks of brute force."""
+    rng = np.random.default_rng(11)
+    marks = [("g", i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(90, 2)) * 40)]
+    points = [("g", float(x), float(y)) for x, y in rng.uniform(-90, 90, (700, 2))]
+    monkeypatch.setattr(polyline, "FAN", 4)
+    at = np.array([m[2:] for m in marks])
+    for tiles in (1, 50):
+        monkeypatch.setattr(polyline, "TILES", tiles)
+        got = polyline.nearest_mark(spark.createDataFrame(points, "g string, x double, y double"), spark.createDataFrame(marks, "g string, id long, x double, y double"), ["g"], "id", "x", "y").collect()
+        assert len(got) == 700
+        for r in got:
+            d = np.hypot(*(at - [r.x, r.y]).T)
+            assert abs(d.min() - r.distance) < 1e-9 and r.nearest == int(d.argmin())
