@@ -1,7 +1,7 @@
 """Nearest places without a reach: on polylines, among marks; arc lengths and points at equal steps.
 
-Tiles of points descend a tree of boxes, a level a join: from a box they go on only to those of the next level that
-may hold something nearer than what they are sure to find. Points then look at what their tile has left. Items of a group are numbered along the line, or along a curve
+Points, or for marks tiles of points, descend a tree of boxes, a level a join: from a box they go on only to those of
+the next level that may hold something nearer than what they are sure to find. Points then look at what a tile has left. Items of a group are numbered along the line, or along a curve
 through the plane, and a box holds 64 following ones of the level below.
 """
 
@@ -37,6 +37,39 @@ def _places(points: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def _near_items(places: DataFrame, items: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(place, item) pairs that hold each place's nearest item: those left at the end of its descent.
+
+    ``items``: ``item`` numbers those of a group from 0; ``x0 y0`` lies on it, ``x1 y1`` is its other end. The up to
+    64 boxes below one are a row's array, and what a place is sure to find goes down with it, so a level neither
+    sorts nor shuffles more than its join does.
+    """
+    last = items.agg(F.max("item")).first()[0]
+    levels = 1
+    while FAN**levels <= (last or 0):
+        levels += 1
+    held = places.withColumn("_box", F.lit(0).cast("long")).withColumn("_copy", F.pmod(F.xxhash64("_px", "_py"), F.lit(COPIES)).cast("int")).withColumn("_sure", F.lit(float("inf")))
+    copies = F.explode(F.array(*(F.lit(i) for i in range(COPIES)))).alias("_copy")
+    edges = [g(f"{c}0", f"{c}1").alias(f"{n}{c}") for n, g in (("lo", F.least), ("hi", F.greatest)) for c in "xy"]
+    kept = [c for c in items.columns if c not in by]
+    for level in reversed(range(levels)):  # the last is 0, that of the items themselves
+        if level:
+            ends = [f(g(f"{c}0", f"{c}1")).alias(f"{n}{c}") for n, f, g in (("lo", F.min, F.least), ("hi", F.max, F.greatest)) for c in "xy"]
+            rows = items.groupBy(*by, F.floor(F.col("item") / FAN**level).cast("long").alias("_next")).agg(*ends, F.min(F.struct("item", "x0", "y0")).alias("_on"))
+            rows = rows.select(*by, "_next", F.struct("_next", "lox", "hix", "loy", "hiy", F.col("_on.x0").alias("x0"), F.col("_on.y0").alias("y0")).alias("_one"))
+        else:
+            rows = items.select(*by, F.col("item").alias("_next"), F.struct(*kept, *edges).alias("_one"))
+        below = rows.groupBy(*by, F.floor(F.col("_next") / FAN).cast("long").alias("_box")).agg(F.collect_list("_one").alias("_below"))
+        met = held.join(below.select("*", copies), [*by, "_box", "_copy"])
+        gap = lambda o: F.hypot(*(F.greatest(o[f"lo{c}"] - F.col(f"_p{c}"), F.col(f"_p{c}") - o[f"hi{c}"], F.lit(0.0)) for c in "xy"))
+        away = lambda o: F.hypot(o["x0"] - F.col("_px"), o["y0"] - F.col("_py"))
+        met = met.withColumn("_sure", F.least("_sure", F.array_min(F.transform("_below", away))))
+        near = met.withColumn("_one", F.explode(F.filter("_below", lambda o: gap(o) <= F.col("_sure") * (1 + 1e-9))))
+        if not level:
+            return near.select(*by, "_px", "_py", *(F.col(f"_one.{c}").alias(c) for c in kept))
+        held = near.select(*by, "_px", "_py", F.col("_one._next").alias("_box"), "_copy", "_sure")
+
+
+def _near_by_tiles(places: DataFrame, items: DataFrame, by: Sequence[str]) -> DataFrame:
     """(place, item) pairs that hold each place's nearest item: those that its own tile and then itself can't rule out.
 
     ``items``: ``item`` numbers those of a group from 0; ``x0 y0`` lies on it, ``x1 y1`` is its other end. Places fall
@@ -100,7 +133,7 @@ def segments(vertices: DataFrame, by: Sequence[str], order: str, x: str, y: str)
     segment without length. A long line is spread over ranges, which hand on their lengths and first vertices.
     """
     v = vertices.select(*by, F.col(order).alias("_o"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    rows = stats.in_ranges(cut(v.where(F.col("_o").isNotNull() & _finite("_x", "_y"))), by, ["_o", "_x", "_y"])
+    rows = stats.in_ranges(v.where(F.col("_o").isNotNull() & _finite("_x", "_y")), by, ["_o", "_x", "_y"])
     here = F.struct("_o", "_x", "_y")
     w = Window.partitionBy(*by, "_range").orderBy("_o", "_x", "_y")
     rows = stats.of_ranges(rows, by, first=F.min(here))
@@ -127,7 +160,7 @@ def project(points: DataFrame, vertices: DataFrame, by: Sequence[str], order: st
     that is equally far from a whole line (the centre of a circle) meets all of it.
     """
     lines = cut(segments(vertices, by, order, x, y))
-    met = _near_items(cut(_places(points, by, x, y)), lines, by)
+    met = _near_items(_places(points, by, x, y), lines, by)
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     squared = dx * dx + dy * dy
     u = F.when(squared > 0, ((F.col("_px") - F.col("x0")) * dx + (F.col("_py") - F.col("y0")) * dy) / squared).otherwise(F.lit(0.0))
@@ -183,7 +216,7 @@ def nearest_mark(points: DataFrame, marks: DataFrame, by: Sequence[str], label:
     is null, or no mark is there.
     """
     items = cut(_along_curve(marks, by, label, x, y))
-    met = _near_items(cut(_places(points, by, x, y)), items, by)
+    met = _near_by_tiles(cut(_places(points, by, x, y)), items, by)
     told = F.struct(F.hypot(F.col("_px") - F.col("x0"), F.col("_py") - F.col("y0")).alias("distance"), F.col("_label").alias("nearest"))
     best = met.groupBy(*by, "_px", "_py").agg(F.min(told).alias("_b")).select(*by, "_px", "_py", "_b.distance", "_b.nearest")
     return _told(points, best, by, x, y, "distance", "nearest")
