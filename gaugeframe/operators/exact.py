@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.numeric import t_two_sided
 from ..session import cut
@@ -23,6 +24,8 @@ from .stats import in_tied_order, mid_ranks, placed, same, welch
 
 #: Ways of a group that one task enumerates, at most, and rows that a group's sides may have.
 MOST, MOST_SUMS = 20_000, 50_000_000
+#: Figures that a task holds at once while it enumerates groups of one shape, about.
+AT_ONCE = 2_000_000
 #: Rows of a group that are ever gathered: the sides of more would be beyond ``MOST_SUMS`` for most splits.
 MOST_ROWS = 120
 #: Rows of a side whose choices one row of work enumerates.
@@ -53,18 +56,7 @@ class Relabelled:
         self.span = float(np.ptp(v)) or 1.0
 
     def split(self) -> tuple[int, int]:
-        """Where to cut the rows in two sides so that these have the fewest choices, and how many they have."""
-        ends = np.cumsum(self.n)
-        best = None
-        for p in range(len(self.stratum) + 1):
-            left = right = 1
-            for n, k, end in zip(self.n.tolist(), self.k.tolist(), ends.tolist()):
-                m = min(max(p - (end - n), 0), n)
-                counts = [(comb(m, j), comb(n - m, k - j)) for j in range(max(0, k - n + m), min(k, m) + 1)]
-                left, right = left * sum(c for c, _ in counts), right * sum(c for _, c in counts)
-            if best is None or left + right < best[1]:
-                best = (p, left + right)
-        return best
+        return _split(self.n, self.k)
 
     def ways(self) -> float:
         return float(np.prod([float(comb(n, k)) for n, k in zip(self.n.tolist(), self.k.tolist())]))
@@ -99,37 +91,99 @@ class Relabelled:
         return key, sums, kept
 
 
+def _split(sizes: np.ndarray, chosen: np.ndarray) -> tuple[int, int]:
+    """Where to cut the rows in two sides so that these have the fewest choices, and how many they have."""
+    ends = np.cumsum(sizes)
+    best = None
+    for p in range(int(ends[-1]) + 1):
+        left = right = 1
+        for n, k, end in zip(sizes.tolist(), chosen.tolist(), ends.tolist()):
+            m = min(max(p - (end - n), 0), n)
+            counts = [(comb(m, j), comb(n - m, k - j)) for j in range(max(0, k - n + m), min(k, m) + 1)]
+            left, right = left * sum(c for c, _ in counts), right * sum(c for _, c in counts)
+        if best is None or left + right < best[1]:
+            best = (p, left + right)
+    return best
+
+
 class _Assignments:
-    """All ways to choose group a within each stratum, for groups with few of them."""
-
-    def __init__(self, rows: Relabelled):
-        self.rows, self.sums, self.kept = rows, [], []
-        for s in range(len(rows.n)):
-            at = np.flatnonzero(rows.stratum == s)
-            chosen = at[np.array(list(combinations(range(len(at)), int(rows.k[s]))), int)]
-            self.sums.append(rows.values[chosen].sum(1))
-            self.kept.append((rows.weights * rows.own)[chosen].sum(1))
-
-    def share_as_far(self, shift: float = 0.0) -> float:
-        """The share of ways whose statistic is as far from 0 as the observed, group a moved down by ``shift``."""
-        middle, far = self.rows.middle - shift * self.rows.fall, abs(self.rows.seen - shift) - self.rows.slack
-        every = [s - shift * k for s, k in zip(self.sums, self.kept)]
-        last, rest = np.sort(every[-1]), np.zeros(1)
+    """All ways to choose group a within each stratum, for groups of one shape with few ways: a row of ``v`` a group.
+
+    The columns are sorted by stratum. ``n`` and ``k`` are the strata's sizes and how many are in group a, which
+    come last in their stratum. The figures are those of ``Relabelled``; which rows a way keeps hangs on the shape alone.
+    """
+
+    def __init__(self, n: np.ndarray, k: np.ndarray, v: np.ndarray):
+        share, b, ends = n / n.sum(), n - k, np.cumsum(n)
+        weights = np.repeat(share * n / (k * b), n)
+        own = np.concatenate([np.arange(x) >= x - y for x, y in zip(n.tolist(), k.tolist())])
+        values = v * weights
+        total = np.stack([np.add.accumulate(v[:, e - x : e], axis=1)[:, -1] for e, x in zip(ends.tolist(), n.tolist())], axis=1)
+        self.middle = (share / b * total).sum(1)
+        self.seen = np.ascontiguousarray(values[:, own]).sum(1) - self.middle
+        self.fall = float((share * k / b).sum())
+        self.slack = 1e-9 * np.maximum(1.0, np.abs(self.middle))
+        self.span = np.ptp(v, axis=1)
+        self.span[self.span == 0] = 1.0
+        self.sums, self.kept = [], []
+        for e, x, y in zip(ends.tolist(), n.tolist(), k.tolist()):
+            chosen = np.array(list(combinations(range(e - x, e), y)), int)
+            self.sums.append(np.ascontiguousarray(values[:, chosen]).sum(2))
+            self.kept.append((weights * own)[chosen].sum(1))
+
+    def share_as_far(self, shift: np.ndarray) -> np.ndarray:
+        """The share of ways whose statistic is as far from 0 as the observed, group a moved down by ``shift``: (any, groups)."""
+        middle, far = self.middle - shift * self.fall, np.abs(self.seen - shift) - self.slack
+        every = [s - shift[..., None] * k for s, k in zip(self.sums, self.kept)]
+        rest = np.zeros((*shift.shape, 1))
         for sums in every[:-1]:
-            rest = (rest[:, None] + sums[None, :]).ravel()
-        low = np.searchsorted(last, middle - far - rest, "right")
-        high = len(last) - np.searchsorted(last, middle + far - rest, "left")
-        return float(np.minimum(low + high, len(last)).sum() / (len(last) * len(rest)))
-
-    def limit(self, side: int, alpha: float, steps: int) -> float | None:
-        """Where P falls below ``alpha`` between the observed difference and three spans beside it, by bisection."""
-        inside, outside = self.rows.seen, self.rows.seen + side * 3 * self.rows.span
-        if self.share_as_far(outside) >= alpha:
-            return None
-        for _ in range(steps):
+            rest = (rest[..., :, None] + sums[..., None, :]).reshape(*shift.shape, -1)
+        last, low, high = every[-1][..., None, :], (middle - far)[..., None] - rest, (middle + far)[..., None] - rest
+        nearer = np.count_nonzero((last > low[..., None]) & (last < high[..., None]), axis=(-2, -1))
+        ways = last.shape[-1] * rest.shape[-1]
+        return (ways - nearer) / ways
+
+    def limits(self, alpha: float, steps: int) -> np.ndarray:
+        """Low and high: where P falls below ``alpha`` between the observed difference and three spans beside it; else NaN."""
+        side = np.array([[-1.0], [1.0]])
+        inside, outside = self.seen + 0.0 * side, self.seen + side * 3 * self.span
+        reached = self.share_as_far(outside) < alpha
+        for _ in range(steps if reached.any() else 0):
             at = (inside + outside) / 2
-            inside, outside = (at, outside) if self.share_as_far(at) >= alpha else (inside, at)
-        return (inside + outside) / 2
+            holds = self.share_as_far(at) >= alpha
+            inside, outside = np.where(holds, at, inside), np.where(holds, outside, at)
+        return np.where(reached, (inside + outside) / 2, np.nan)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], lists: str, least: int) -> Iterator[pa.RecordBatch]:
+    """The batches, put together until their lists hold ``least`` items."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch[lists].flatten())
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _by_shape(strata: pa.Array, sides: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(groups, sizes, of them in group a) for lists that are sorted by stratum and side and divide in the same way."""
+    codes = strata.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    starts = np.zeros(len(codes), bool)
+    starts[offsets[:-1]] = True
+    starts[1:] |= codes[1:] != codes[:-1]
+    at = np.flatnonzero(starts)
+    n, k = np.diff(at, append=len(codes)), np.add.reduceat(sides.astype(np.int64), at) if len(at) else at
+    first = np.searchsorted(at, offsets)
+    parts = np.stack([n, k], axis=1)
+    held: dict[bytes, list[int]] = {}
+    for g, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        held.setdefault(parts[i:j].tobytes(), []).append(g)
+    for shape, groups in held.items():
+        n, k = np.frombuffer(shape, np.int64).reshape(-1, 2).T
+        yield np.array(groups), n, k
 
 
 def exact_permutation(df: DataFrame, by: Sequence[str], stratum: str, in_a: Column, value: str, alpha: float = 0.05, steps: int = 18, interval: bool = True, most: int = MOST) -> DataFrame:
@@ -149,21 +203,35 @@ def exact_permutation(df: DataFrame, by: Sequence[str], stratum: str, in_a: Colu
     kept = m.select(*(F.col(c).alias(f"_g_{c}") for c in by), F.col("_s").alias("_g__s"))
     rows = rows.join(kept, same([*by, "_s"], "_g_"), "left_semi").join(told, same(by, "_g_"), "left_semi")
     one = F.struct(F.coalesce(F.col("_s").cast("string"), F.lit("")).alias("s"), F.col("_a").alias("a"), F.col("_v").alias("v"))
-    held = rows.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("_x")).withColumn("_id", F.to_json(F.struct(F.lit(0).alias("_"), *by)))
-
-    @F.pandas_udf("struct<ways double, sums double, p double, low double, high double>")
-    def solve(strata: pd.Series, sides: pd.Series, values: pd.Series) -> pd.DataFrame:
-        out = []
-        for s, a, v in zip(strata, sides, values):
-            group = Relabelled(s, a, v)
-            if group.ways() > most:
-                out.append((group.ways(), float(group.split()[1]), None, None, None))
+    held = rows.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("_x"))
+
+    def figures_of(x: pa.ListArray) -> dict[str, np.ndarray]:
+        rows, offsets = x.flatten(), np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        strata, sides, v = rows.field("s"), rows.field("a").to_numpy(zero_copy_only=False), rows.field("v").to_numpy(zero_copy_only=False)
+        out = {c: np.full(len(x), np.nan) for c in ("ways", "sums", "p", "low", "high")}
+        for all_, n, k in _by_shape(strata, sides, offsets):
+            out["ways"][all_] = ways = float(np.prod([float(comb(i, j)) for i, j in zip(n.tolist(), k.tolist())]))
+            out["sums"][all_] = 0.0 if ways <= most else float(_split(n, k)[1])
+            if ways > most:
                 continue
-            every = _Assignments(group)
-            out.append((group.ways(), 0.0, every.share_as_far(), *(every.limit(side, alpha, steps) if interval else None for side in (-1, 1))))
-        return pd.DataFrame(out, columns=["ways", "sums", "p", "low", "high"], dtype="float64")
-
-    solved = cut(held.withColumn("_y", solve(F.col("_x.s"), F.col("_x.a"), F.col("_x.v"))).select(*by, "_id", "_x", "_y.*"))
+            few = max(1, int(AT_ONCE // (ways * n.max())))
+            for at in (all_[i : i + few] for i in range(0, len(all_), few)):
+                every = _Assignments(n, k, v[offsets[at][:, None] + np.arange(n.sum())])
+                out["p"][at] = every.share_as_far(np.zeros(len(at)))
+                if interval:
+                    out["low"][at], out["high"][at] = every.limits(alpha, steps)
+        return out
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Several batches together, as shapes of groups are few; rows are kept for those with too many ways."""
+        for table in _gathered(batches, "_x", AT_ONCE // 4):
+            out = figures_of(table["_x"])
+            kept = table["_x"].take(pa.array(np.arange(len(table)), mask=out["ways"] <= most))
+            yield pa.RecordBatch.from_arrays([*(table[c] for c in by), kept, *(pa.array(c, from_pandas=True) for c in out.values())], [*by, "_x", *out])
+
+    schema = held.select("*", *(F.lit(0.0).alias(c) for c in ("ways", "sums", "p", "low", "high"))).schema
+    schema = StructType([StructField(f.name, f.dataType) for f in schema])  # all may be null
+    solved = cut(held.mapInArrow(solve, schema)).withColumn("_id", F.to_json(F.struct(F.lit(0).alias("_"), *by)))
     large = solved.where((F.col("ways") > most) & (F.col("sums") <= MOST_SUMS))
     figures = solved.select(*by, "_id", "p", "low", "high")
     if not large.isEmpty():

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,32 @@ def test_exact_permutation(spark, most):
     assert got[10].p is None and got[10].na == 30  # too many for sums of either side
 
 
+def test_groups_of_a_shape_are_enumerated_together():
+    rng = np.random.default_rng(9)
+    shapes = [(("x", 3, 1), ("y", 4, 2)), (("x", 6, 3),), (("x", 3, 1), ("y", 4, 2))] * 40
+    groups = [[(s, i >= n - k, float(v)) for s, n, k in shape for i, v in enumerate(np.round(rng.normal(0, 3, n), 1))] for shape in shapes]
+    groups[2][0] = ("x", False, float("nan"))
+    offsets = np.cumsum([0, *map(len, groups)])
+    strata, sides, v = (list(c) for c in zip(*(r for g in groups for r in g)))
+    found = list(exact._by_shape(pa.array(strata), np.array(sides), offsets))
+    assert sorted((len(g), *n, *k) for g, n, k in found) == [(40, 6, 3), (80, 3, 4, 1, 2)]
+    for at, n, k in found:
+        every = exact._Assignments(n, k, np.array(v)[offsets[at][:, None] + np.arange(n.sum())])
+        p, ends = every.share_as_far(np.zeros(len(at))), every.limits(0.3, 18)
+        for i, g in enumerate(at.tolist()):
+            if g == 2:  # nothing is nearer than what isn't a number
+                assert p[i] == 1 and np.isnan(ends[:, i]).all()
+                continue
+            alone = exact.Relabelled(*zip(*groups[g]))
+            assert (every.seen[i], every.middle[i], every.span[i]) == pytest.approx((alone.seen, alone.middle, alone.span))
+            assert p[i] == pytest.approx(brute_p(groups[g]))
+            for end in ends[~np.isnan(ends[:, i]), i]:
+                inner, outer = sorted((end - 1e-3, end + 1e-3), key=lambda x: abs(x - alone.seen))
+                assert brute_p(groups[g], outer) < 0.3 <= brute_p(groups[g], inner)
+    batches = [pa.record_batch({"x": pa.array([[1, 2]] * n)}) for n in (3, 1, 2, 1)]
+    assert [len(b) for b in exact._gathered(iter(batches), "x", 8)] == [4, 3]
+
+
 def test_exact_permutation_of_175_thousand_million_ways(spark):
     rng = np.random.default_rng(8)
     sizes = (("x", 22, 9), ("y", 21, 10))
