@@ -340,7 +340,8 @@ def exact_rank_sum(df: DataFrame, by: Sequence[str], in_a: Column, value: str) -
     ``difference`` is that of mean ranks; ``p`` the share of ways in which it is as far from 0. Without ties that is
     the P of ``exact_u``. Bounds and null P are those of ``exact_permutation``; null values are left out.
     """
-    ranked = mid_ranks(df.where(F.col(value).isNotNull() & in_a.isNotNull()).withColumn("_side", in_a), by, value, "_rank").withColumn("_whole", F.lit(""))
+    ranked = mid_ranks(df.where(F.col(value).isNotNull() & in_a.isNotNull()).withColumn("_side", in_a), by, value, "_rank").select(*by, "_side", "_rank")
+    ranked = cut(ranked).withColumn("_whole", F.lit(""))  # read for its strata and as rows
     return exact_permutation(ranked, by, "_whole", F.col("_side"), "_rank", interval=False)
 
 

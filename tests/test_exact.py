@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeframe.operators import exact, filters
+from gaugeframe.operators import exact, filters, stats
 
 
 def brute_p(rows, shift=0.0):
@@ -136,6 +136,17 @@ def test_exact_u(spark):
             assert r.p == pytest.approx(brute(r.u, r.na, r.nb))
 
 
+def test_ranks_are_found_once(spark, monkeypatch):
+    """They are written before the two readings of the test."""
+    seen, whole = [], exact.exact_permutation
+    monkeypatch.setattr(exact, "exact_permutation", lambda df, *args, **more: seen.append(df.inputFiles()) or whole(df, *args, **more))
+    df = spark.createDataFrame([(g, i % 2 == 0, float(i * g % 5)) for g in (1, 2) for i in range(7)], "g int, a boolean, v double")
+    got = {r.g: (r.na, r.nb, r.p) for r in exact.exact_rank_sum(df, ["g"], F.col("a"), "v").collect()}
+    ranks = stats.mid_ranks(df, ["g"], "v", "r").collect()
+    assert got == {g: (4, 3, pytest.approx(brute_p([("", r.a, r.r) for r in ranks if r.g == g]))) for g in (1, 2)}
+    assert all(seen)
+
+
 def test_welch_interval(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4, 5)] + [("b", float(v)) for v in (2, 4, 6, 8, 10)], "g string, v double")
     r = exact.welch_interval(df, [], F.col("g") == "a", F.col("g") == "b", "v").first()
