@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -15,38 +16,54 @@ from . import polyline
 #: Steps and owner of a cell that no seed has reached.
 NONE = np.iinfo(np.int64).max
 
-#: The four neighbours of the inner cells of a tile with a margin of one cell.
-SIDES = ((slice(0, -2), slice(1, -1)), (slice(2, None), slice(1, -1)), (slice(1, -1), slice(0, -2)), (slice(1, -1), slice(2, None)))
-INNER = (slice(1, -1), slice(1, -1))
+
+def _sources(grid: dict[str, np.ndarray], known: np.ndarray) -> tuple[list[int], list[bool]]:
+    """Places of known cells in the flat grid, and which places may be reached: a row more, for steps beyond its end."""
+    return np.flatnonzero(known).tolist(), [*grid["open"].ravel().tolist(), *[False] * grid["open"].shape[1]]
 
 
 def _heights(grid: dict[str, np.ndarray]) -> None:
     """Lowest passes: the least, over ways from a seed, of the highest level on the way."""
-    height, level, inside = grid["height"], grid["level"][INNER], grid["inside"][INNER]
-    while True:
-        near = np.minimum.reduce([height[s] for s in SIDES])
-        new = np.where(inside, np.minimum(height[INNER], np.maximum(near, level)), height[INNER])
-        if np.array_equal(new, height[INNER]):
-            return
-        height[INNER] = new
+    grid["open"] = grid["inside"]
+    height, level, width = grid["height"].ravel().tolist(), grid["level"].ravel().tolist(), grid["height"].shape[1]
+    # what is known inside came from these, so only they can lower it
+    begun, open_ = _sources(grid, np.isfinite(grid["height"]) & (~grid["inside"] | grid["fixed"]))
+    heap = [(height[i], i) for i in begun]
+    heapq.heapify(heap)
+    while heap:
+        h, i = heapq.heappop(heap)
+        if h > height[i]:
+            continue
+        for q in (i - width, i - 1, i + 1, i + width):
+            if open_[q]:
+                new = h if h > level[q] else level[q]
+                if new < height[q]:
+                    height[q] = new
+                    heapq.heappush(heap, (new, q))
+    grid["height"] = np.array(height).reshape(-1, width)
 
 
 def _owners(grid: dict[str, np.ndarray]) -> None:
     """Steps and owners: from lower passes in one step, else from cells of the same pass, the smaller owner on ties."""
-    height, steps, owner = grid["height"], grid["steps"], grid["owner"]
-    open_ = grid["inside"][INNER] & ~grid["fixed"][INNER] & np.isfinite(height[INNER])
-    while True:
-        told = []
-        for s in SIDES:
-            known = steps[s] < NONE
-            lower, same = known & (height[s] < height[INNER]), known & (height[s] == height[INNER])
-            told.append(np.where(lower, 1, np.where(same, np.where(known, steps[s], 0) + 1, NONE)))
-        least = np.minimum.reduce(told)
-        whose = np.minimum.reduce([np.where((t == least) & (t < NONE), owner[s], NONE) for t, s in zip(told, SIDES)])
-        new_steps, new_owner = np.where(open_, least, steps[INNER]), np.where(open_, whose, owner[INNER])
-        if np.array_equal(new_steps, steps[INNER]) and np.array_equal(new_owner, owner[INNER]):
-            return
-        steps[INNER], owner[INNER] = new_steps, new_owner
+    grid["open"] = grid["inside"] & ~grid["fixed"] & np.isfinite(grid["height"])
+    for name in ("steps", "owner"):  # found anew: an owner that was told may have given way to a larger one
+        grid[name][grid["open"]] = NONE
+    height, steps, owner, width = *(grid[n].ravel().tolist() for n in ("height", "steps", "owner")), grid["height"].shape[1]
+    begun, open_ = _sources(grid, grid["steps"] < NONE)
+    heap = [(height[i], steps[i], owner[i], i) for i in begun]
+    heapq.heapify(heap)
+    while heap:
+        h, n, whose, i = heapq.heappop(heap)
+        if n != steps[i] or whose != owner[i]:
+            continue
+        for q in (i - width, i - 1, i + 1, i + width):
+            if open_[q] and height[q] >= h:
+                new = n + 1 if height[q] == h else 1
+                if new < steps[q] or new == steps[q] and whose < owner[q]:
+                    steps[q], owner[q] = new, whose
+                    heapq.heappush(heap, (height[q], new, whose, q))
+    for name, found in (("steps", steps), ("owner", owner)):
+        grid[name] = np.array(found, np.int64).reshape(-1, width)
 
 
 def _until_settled(state: DataFrame, by: Sequence[str], tile: int, settle: Callable[[dict[str, np.ndarray]], None]) -> DataFrame:

@@ -3,6 +3,7 @@
 import heapq
 import math
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -67,6 +68,24 @@ def test_flood_is_a_watershed(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
 
 
+def test_a_tile_is_settled_in_proportion_to_its_cells():
+    """A way that winds through a whole tile is followed cell by cell, not by as many sweeps as it has steps."""
+    n = 256
+    inside = np.zeros((n + 2, n + 2), bool)
+    inside[1 : n + 1 : 2, 1 : n + 1] = True
+    inside[2 : n + 1 : 4, n] = inside[4 : n : 4, 1] = True
+    inside[n, n] = False
+    grid = {"inside": inside, "level": np.where(inside, 0.0, np.inf), "fixed": np.zeros_like(inside)}
+    grid |= {"height": np.full(inside.shape, np.inf), "steps": np.full(inside.shape, partition.NONE), "owner": np.full(inside.shape, partition.NONE)}
+    grid["fixed"][1, 1], grid["height"][1, 1], grid["steps"][1, 1], grid["owner"][1, 1] = True, 0.0, 0, 7
+    began = time.perf_counter()
+    partition._heights(grid)
+    partition._owners(grid)
+    assert time.perf_counter() - began < 5
+    assert (grid["height"][inside] == 0).all() and (grid["owner"][inside] == 7).all()
+    assert sorted(grid["steps"][inside].tolist()) == list(range(inside.sum()))
+
+
 def test_flood_along_a_winding_way(spark):
     """Steps within the domain, over many tiles and back again."""
     way = [(x if (y // 2) % 2 == 0 else 19 - x, y) for y in range(0, 20, 2) for x in range(20)]
