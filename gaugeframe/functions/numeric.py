@@ -140,6 +140,86 @@ def transport(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, supply: np.n
     return units
 
 
+def in_order(x: np.ndarray, y: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Matches (rows of x, rows of y) of two sorted lists on a line: as many as can be within the reach, of least total distance.
+
+    Matches that cross can be uncrossed at no cost, so some best ones keep the order, and prefixes are compared with
+    prefixes. Rows of x are halved where the best of both parts meet, so memory grows with the points and not with their
+    pairs; time grows with the pairs within the reach. A cost is complex: less the number of matches, then the distance,
+    in which order NumPy compares.
+    """
+    found: list[tuple[int, int]] = []
+    parts = [(0, len(x), 0, len(y))]
+    while parts:
+        i, k, j, m = parts.pop()
+        own, other = x[i:k], y[j:m]
+        low, high = _reached(own, other, reach)
+        if k - i <= 1 or (high - low + 1).sum() <= CELLS:
+            found += [(i + a, j + b) for a, b in _traced(own, other, low, high, reach)]
+            continue
+        h = (k - i) // 2
+        before = _prefixes(own[:h], other, low[:h], high[:h], reach)
+        back = -own[h:][::-1], -other[::-1]
+        after = _prefixes(*back, *_reached(*back, reach), reach)[::-1]
+        meet = j + int(np.argmin(before + after))
+        parts += [(i, i + h, j, meet), (i + h, k, meet, m)]
+    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+#: Cells of prefixes, at most, that ``in_order`` holds at once.
+CELLS = 1_000_000
+
+
+def _reached(x: np.ndarray, y: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x the range of y that may lie within the reach, a rounding wider; neither end falls."""
+    wide = reach + 1e-12 * (np.abs(x) + reach)
+    low, high = np.searchsorted(y, x - wide, "left"), np.searchsorted(y, x + wide, "right")
+    return np.minimum.accumulate(low[::-1])[::-1], np.maximum.accumulate(high)
+
+
+def _row(best: np.ndarray, at: float, y: np.ndarray, lo: int, hi: int, reach: float) -> np.ndarray:
+    """Costs of the prefixes of lo to hi of y with one more row of x, from those without it."""
+    apart = np.abs(at - y[lo:hi])
+    gain = np.empty(hi - lo, complex)
+    gain.real, gain.imag = np.where(apart <= reach, -1.0, np.inf), apart
+    new = best[lo : hi + 1].copy()
+    new[1:] = np.minimum(new[1:], best[lo:hi] + gain)
+    return np.minimum.accumulate(new)
+
+
+def _prefixes(x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray, reach: float) -> np.ndarray:
+    """Cost of all of x with each prefix of y; below the last row's range it may be that of fewer rows, which is no less."""
+    best, top = np.zeros(len(y) + 1, complex), 0
+    for at, lo, hi in zip(x, low, high):
+        best[top + 1 : hi + 1] = best[top]  # rows so far reach no farther
+        best[lo : hi + 1] = _row(best, at, y, lo, hi, reach)
+        top = hi
+    best[top + 1 :] = best[top]
+    return best
+
+
+def _traced(x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray, reach: float) -> list[tuple[int, int]]:
+    """Matches of x and y by rows of prefixes that are kept and followed back."""
+    best, top, rows = np.zeros(len(y) + 1, complex), 0, []
+    for at, lo, hi in zip(x, low, high):
+        best[top + 1 : hi + 1] = best[top]
+        rows.append(_row(best, at, y, lo, hi, reach))
+        best[lo : hi + 1] = rows[-1]
+        top = hi
+    pairs, j = [], len(y)
+    for i in range(len(x) - 1, -1, -1):
+        j = min(j, int(high[i]))
+        cost = rows[i][j - low[i]]
+        while j > low[i] and rows[i][j - 1 - low[i]] == cost:
+            j -= 1
+        without = rows[i - 1][min(j, int(high[i - 1])) - low[i - 1]] if i else 0
+        if cost != without:
+            j -= 1
+            pairs.append((i, j))
+    return pairs[::-1]
+
+
 def nonnegative_fit(a: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Least squares with weights of 0 or more, by active sets."""
     w, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeframe.functions import numeric
 from gaugeframe.functions.numeric import assign, transport
 from gaugeframe.operators import graph, search, stats
 
@@ -88,3 +89,47 @@ def test_transport_is_the_assignment_of_units():
         best = [whole[p] for p in assign(whole) if whole[p] < 1e6]
         assert units.sum() == len(best) and abs((units * apart[i, j]).sum() - sum(best)) < 1e-6
         assert (np.bincount(i, units, n) <= supply).all() and (np.bincount(j, units, m) <= demand).all()
+
+
+@pytest.mark.parametrize("cells", [1, 30, 1_000_000])
+def test_order_on_a_line_is_the_assignment(monkeypatch, cells):
+    monkeypatch.setattr(numeric, "CELLS", cells)
+    rng = np.random.default_rng(6)
+    for k in range(150):
+        n, m = rng.integers(1, 14, 2)
+        x, y = (np.sort(rng.integers(0, 25, s) / 10 if k % 2 else rng.uniform(0, 9, s)) for s in (n, m))
+        reach = float(rng.choice([0.1, 0.3, 0.7, 3.0]))
+        i, j = numeric.in_order(x, y, reach)
+        apart = np.abs(x[:, None] - y)
+        best = [apart[p] for p in assign(np.where(apart <= reach, apart, 1e6)) if apart[p] <= reach]
+        assert len(set(i)) == len(set(j)) == len(i) == len(best) and (apart[i, j] <= reach).all()
+        assert apart[i, j].sum() == pytest.approx(sum(best))
+
+
+@pytest.mark.parametrize("dense", [0, 250_000])
+def test_places_on_a_line_make_no_pairs(spark, monkeypatch, dense):
+    """Pairs of distinct places within the reach grow with the square of the places; a line is matched without them."""
+    monkeypatch.setattr(search, "_within", None)
+    monkeypatch.setattr(search, "DENSE", dense)
+    rng = random.Random(8)
+    side = lambda n, start: [(g, start + 100 * g + i, rng.choice([rng.uniform(0, 30), float(rng.randrange(30))])) for g in range(3) for i in range(n)]
+    one, other = side(40, 0), side(35, 1000)
+    make = lambda rows: spark.createDataFrame([*rows, (0, 9000, None), (None, 9500, 0.0), (1, 9600, float("inf"))], "g long, id long, x double")
+    got = search.match(make(one), make([(g, i + 2**60, x) for g, i, x in other]), ["g"], "id", ["x"], 0.4).collect()
+    place = {r[1]: r[2] for r in one} | {r[1] + 2**60: r[2] for r in other}
+    assert len({r.a for r in got}) == len({r.b for r in got}) == len(got)
+    for g in range(3):
+        a, b = ([r[2] for r in rows if r[0] == g] for rows in (one, other))
+        d = np.abs(np.subtract.outer(a, b))
+        best = [d[p] for p in assign(np.where(d <= 0.4, d, 1e6)) if d[p] <= 0.4]
+        own = [r.distance for r in got if r.g == g]
+        assert len(own) == len(best) and sum(own) == pytest.approx(sum(best)) and max(own) <= 0.4
+    assert all(r.distance == abs(place[r.a] - place[r.b]) for r in got)
+
+
+def test_many_places_on_a_line(spark):
+    """3,000 places on either side, 9 million pairs within the reach: in order of both, as all can be matched."""
+    x, y = (np.sort(np.random.default_rng(k).uniform(0, 10, 3000)) for k in (1, 2))
+    make = lambda v: spark.createDataFrame([("k", k, float(at)) for k, at in enumerate(v)], "k string, id long, x double")
+    got = search.match(make(x), make(y), ["k"], "id", ["x"], 10.0).selectExpr("count(distinct a) as a", "count(distinct b) as b", "sum(distance) as d").first()
+    assert (got.a, got.b) == (3000, 3000) and got.d == pytest.approx(np.abs(x - y).sum())
