@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 
 import numpy as np
 
@@ -76,8 +77,21 @@ def transport(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, supply: np.n
     memory grows with the pairs.
     """
     first = np.searchsorted(rows, np.arange(len(supply) + 1))
+    near = lambda r: (cols[first[r] : first[r + 1]], cost[first[r] : first[r + 1]])
+    units = np.zeros(len(rows), np.int64)
+    for col, held in enumerate(transport_near(near, supply, demand, none)):
+        for r, n in held.items():
+            units[first[r] + np.flatnonzero(near(r)[0] == col)[0]] = n
+    return units
+
+
+def transport_near(near: Callable[[int], tuple[np.ndarray, np.ndarray]], supply: np.ndarray, demand: np.ndarray, none: float) -> list[dict[int, int]]:
+    """For each column the units that rows send to it, as in ``transport``; ``near`` gives a row's columns and their costs.
+
+    Memory grows with the rows and columns, if ``near`` doesn't hold the pairs.
+    """
     u, v, left = np.zeros(len(supply)), np.zeros(len(demand)), demand.astype(np.int64)
-    sent: list[dict[int, int]] = [{} for _ in demand]  # by column: what each pair brings
+    sent: list[dict[int, int]] = [{} for _ in demand]  # by column: what each row brings
     for row in range(len(supply)):
         more = int(supply[row])
         while more:
@@ -86,12 +100,12 @@ def transport(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, supply: np.n
             out, stay, ahead = np.inf, -1, [row]
             while True:
                 for r in ahead:  # rows reached at this length
-                    d, s = seen[r], slice(first[r], first[r + 1])
+                    d, (at, apart) = seen[r], near(r)
                     if d + none - u[r] < out:
                         out, stay = d + none - u[r], r
-                    new, at = d + np.maximum(cost[s] - u[r] - v[cols[s]], 0.0), cols[s]
+                    new = d + np.maximum(apart - u[r] - v[at], 0.0)
                     for k in np.flatnonzero((new < best[at]) & ~closed[at]).tolist():
-                        best[at[k]], via[at[k]] = new[k], s.start + k
+                        best[at[k]], via[at[k]] = new[k], r
                         heapq.heappush(heap, (new[k], int(at[k])))
                 while heap and (closed[heap[0][1]] or heap[0][0] > best[heap[0][1]]):
                     heapq.heappop(heap)
@@ -104,10 +118,9 @@ def transport(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, supply: np.n
                 if left[end]:
                     break
                 ahead = []
-                for pair in sent[end]:
-                    r = int(rows[pair])
+                for r in sent[end]:
                     if r not in seen:
-                        seen[r], last[r] = length, pair
+                        seen[r], last[r] = length, end
                         ahead.append(r)
             for r, d in seen.items():
                 u[r] += length - d
@@ -116,28 +129,24 @@ def transport(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, supply: np.n
             # the way back: pairs that gain and, before each, the pair that loses
             gains, loses, r = [], [], stay
             if end >= 0:
-                gains.append(int(via[end]))
-                r = int(rows[via[end]])
+                gains.append((int(via[end]), end))
+                r = int(via[end])
             while r != row:
-                pair = last[r]
-                loses.append(pair)
-                gains.append(int(via[cols[pair]]))
-                r = int(rows[gains[-1]])
-            n = min([more, *(sent[cols[p]][p] for p in loses), *([int(left[end])] if end >= 0 else [])])
-            for p in gains:
-                sent[cols[p]][p] = sent[cols[p]].get(p, 0) + n
-            for p in loses:
-                sent[cols[p]][p] -= n
-                if not sent[cols[p]][p]:
-                    del sent[cols[p]][p]
+                col = last[r]
+                loses.append((r, col))
+                r = int(via[col])
+                gains.append((r, col))
+            n = min([more, *(sent[c][r] for r, c in loses), *([int(left[end])] if end >= 0 else [])])
+            for r, c in gains:
+                sent[c][r] = sent[c].get(r, 0) + n
+            for r, c in loses:
+                sent[c][r] -= n
+                if not sent[c][r]:
+                    del sent[c][r]
             if end >= 0:
                 left[end] -= n
             more -= n
-    units = np.zeros(len(rows), np.int64)
-    for held in sent:
-        for p, n in held.items():
-            units[p] = n
-    return units
+    return sent
 
 
 def in_order(x: np.ndarray, y: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:

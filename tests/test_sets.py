@@ -133,3 +133,18 @@ def test_many_places_on_a_line(spark):
     make = lambda v: spark.createDataFrame([("k", k, float(at)) for k, at in enumerate(v)], "k string, id long, x double")
     got = search.match(make(x), make(y), ["k"], "id", ["x"], 10.0).selectExpr("count(distinct a) as a", "count(distinct b) as b", "sum(distance) as d").first()
     assert (got.a, got.b) == (3000, 3000) and got.d == pytest.approx(np.abs(x - y).sum())
+
+
+def test_set_in_a_plane_is_solved_from_its_places():
+    """Rows find their columns when they are looked at: the units are those over all pairs."""
+    rng = np.random.default_rng(9)
+    for k in range(60):
+        n, m = rng.integers(1, 8, 2)
+        x, y = (rng.integers(0, 6, (s, 2)).astype(float) if k % 2 else rng.uniform(0, 6, (s, 2)) for s in (n, m))
+        supply, demand = rng.integers(1, 5, n), rng.integers(1, 5, m)
+        apart = np.hypot(*(x[:, None] - y).transpose(2, 0, 1))
+        i, j, units = search._by_paths(x, y, supply, demand, 2.0)
+        p, q = np.nonzero(apart <= 2)
+        told = transport(p, q, apart[p, q], supply, demand, 1e6)
+        assert units.sum() == told.sum() and (units * apart[i, j]).sum() == pytest.approx((told * apart[p, q]).sum())
+        assert (apart[i, j] <= 2).all() and (np.bincount(i, units, n) <= supply).all() and (np.bincount(j, units, m) <= demand).all()
