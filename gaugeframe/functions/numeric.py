@@ -77,55 +77,80 @@ def transport(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, supply: np.n
     memory grows with the pairs.
     """
     first = np.searchsorted(rows, np.arange(len(supply) + 1))
-    near = lambda r: (cols[first[r] : first[r + 1]], cost[first[r] : first[r + 1]])
+
+    def near(r: int) -> list[tuple[int, int, np.ndarray]]:
+        apart = np.full(len(demand), np.inf)
+        apart[cols[first[r] : first[r + 1]]] = cost[first[r] : first[r + 1]]
+        return [(0, len(demand), apart)]
+
     units = np.zeros(len(rows), np.int64)
     for col, held in enumerate(transport_near(near, supply, demand, none)):
         for r, n in held.items():
-            units[first[r] + np.flatnonzero(near(r)[0] == col)[0]] = n
+            units[first[r] + np.flatnonzero(cols[first[r] : first[r + 1]] == col)[0]] = n
     return units
 
 
-def transport_near(near: Callable[[int], tuple[np.ndarray, np.ndarray]], supply: np.ndarray, demand: np.ndarray, none: float) -> list[dict[int, int]]:
-    """For each column the units that rows send to it, as in ``transport``; ``near`` gives a row's columns and their costs.
+def transport_near(near: Callable[[int], list[tuple[int, int, np.ndarray]]], supply: np.ndarray, demand: np.ndarray, none: float) -> list[dict[int, int]]:
+    """For each column the units that rows send to it, as in ``transport``.
 
-    Memory grows with the rows and columns, if ``near`` doesn't hold the pairs.
+    ``near`` gives ranges (from, to, costs) of columns that hold all of a row's, with infinite costs of others. A search
+    looks no farther than the nearest end found so far. Memory grows with the rows and columns, if ``near`` doesn't hold
+    the pairs.
     """
     u, v, left = np.zeros(len(supply)), np.zeros(len(demand)), demand.astype(np.int64)
+    free = left > 0
+    best, via = np.full(len(demand), np.inf), np.full(len(demand), -1)
     sent: list[dict[int, int]] = [{} for _ in demand]  # by column: what each row brings
     for row in range(len(supply)):
         more = int(supply[row])
         while more:
-            best, via, done = np.full(len(demand), np.inf), np.full(len(demand), -1), []
-            seen, last, heap, closed = {row: 0.0}, {}, [], np.zeros(len(demand), bool)
-            out, stay, ahead = np.inf, -1, [row]
+            seen, last, heap, done, told = {row: 0.0}, {}, [], [], []
+            length, end, stay, ahead = np.inf, -1, -1, [row]  # of the nearest end so far
             while True:
                 for r in ahead:  # rows reached at this length
-                    d, (at, apart) = seen[r], near(r)
-                    if d + none - u[r] < out:
-                        out, stay = d + none - u[r], r
-                    new = d + np.maximum(apart - u[r] - v[at], 0.0)
-                    for k in np.flatnonzero((new < best[at]) & ~closed[at]).tolist():
-                        best[at[k]], via[at[k]] = new[k], r
-                        heapq.heappush(heap, (new[k], int(at[k])))
-                while heap and (closed[heap[0][1]] or heap[0][0] > best[heap[0][1]]):
+                    d, less = seen[r], seen[r] - u[r]
+                    if less + none < length:
+                        length, end, stay = less + none, -1, r
+                    for lo, hi, apart in near(r):
+                        new = apart - v[lo:hi]
+                        new += less
+                        better = new < best[lo:hi]
+                        better &= new < length
+                        at = better.nonzero()[0]
+                        if not len(at):
+                            continue
+                        new = np.maximum(new[at], d)  # no column is nearer than the row, so none is reached again by a rounding
+                        at += lo
+                        better = new < best[at]
+                        at, new = at[better], new[better]
+                        ends = free[at]
+                        if ends.any():
+                            k = int(np.where(ends, new, np.inf).argmin())
+                            if new[k] < length:
+                                length, end, stay, via[at[k]] = float(new[k]), int(at[k]), -1, r
+                            better = (new < length) & ~ends
+                            at, new = at[better], new[better]
+                        best[at], via[at] = new, r
+                        at = at.tolist()
+                        told += at
+                        for item in zip(new.tolist(), at):
+                            heapq.heappush(heap, item)
+                while heap and heap[0][0] > best[heap[0][1]]:
                     heapq.heappop(heap)
-                if not heap or heap[0][0] >= out:
-                    end, length = -1, out
-                    break
-                length, end = heapq.heappop(heap)
-                closed[end] = True
-                done.append(end)
-                if left[end]:
+                if not heap or heap[0][0] >= length:
                     break
+                far, col = heapq.heappop(heap)
+                done.append(col)
                 ahead = []
-                for r in sent[end]:
+                for r in sent[col]:
                     if r not in seen:
-                        seen[r], last[r] = length, end
+                        seen[r], last[r] = far, col
                         ahead.append(r)
             for r, d in seen.items():
                 u[r] += length - d
             for c in done:
                 v[c] -= length - best[c]
+            best[told] = np.inf
             # the way back: pairs that gain and, before each, the pair that loses
             gains, loses, r = [], [], stay
             if end >= 0:
@@ -145,6 +170,7 @@ def transport_near(near: Callable[[int], tuple[np.ndarray, np.ndarray]], supply:
                     del sent[c][r]
             if end >= 0:
                 left[end] -= n
+                free[end] = left[end] > 0
             more -= n
     return sent
 

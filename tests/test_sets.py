@@ -148,3 +148,30 @@ def test_set_in_a_plane_is_solved_from_its_places():
         told = transport(p, q, apart[p, q], supply, demand, 1e6)
         assert units.sum() == told.sum() and (units * apart[i, j]).sum() == pytest.approx((told * apart[p, q]).sum())
         assert (apart[i, j] <= 2).all() and (np.bincount(i, units, n) <= supply).all() and (np.bincount(j, units, m) <= demand).all()
+
+
+def test_sets_in_a_plane_are_told_without_pairs(spark, monkeypatch):
+    """Pairs within the reach grow with the square of distinct places; links that tell the sets are as few as the places."""
+    told, found = [], graph.components
+    monkeypatch.setattr(search.graph, "components", lambda links, a, b: told.append(links.count()) or found(links, a, b))
+    rng = random.Random(10)
+    side = lambda n, start: [("k", start + i, rng.uniform(0, 3), rng.uniform(0, 200)) for i in range(n)]
+    one, other = side(600, 0), side(590, 1000)
+    make = lambda rows: spark.createDataFrame([*rows, ("k", 9000 + rows[0][1], float("inf"), 0.0)], "k string, id long, x double, y double")
+    got = search.match(make(one), make(other), ["k"], "id", ["x", "y"], 9.0).collect()
+    d = np.array([[np.hypot(p[2] - q[2], p[3] - q[3]) for q in other] for p in one])
+    assert (d <= 9).sum() > 25_000 and told[0] <= 3 * (len(one) + len(other))
+    assert len({r.a for r in got}) == len({r.b for r in got}) == len(got) == 590 and max(r.distance for r in got) <= 9
+    best = [d[p] for p in assign(np.where(d <= 9, d, 1e6)) if d[p] <= 9]
+    assert sum(r.distance for r in got) == pytest.approx(sum(best))
+
+
+def test_ranges_hold_all_within_the_reach():
+    rng = np.random.default_rng(11)
+    for k in range(60):
+        n, m, dim = *rng.integers(1, 20, 2), 1 + k % 3
+        x, y = (rng.integers(-6, 6, (s, dim)) * (0.5 if k % 2 else 1e6) + rng.uniform(0, 1, (s, dim)) for s in (n, m))
+        order, ranges = search._ranges(x, y, 1.5)
+        for r in range(n):
+            held = [order[c] for lo, hi in ranges(r) for c in range(lo, hi)]
+            assert len(held) == len(set(held)) and set(np.flatnonzero(search._apart(x[r], y) <= 1.5)) <= set(held)
